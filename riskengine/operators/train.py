@@ -95,16 +95,6 @@ class TrainResult:
     feature_columns: list = field(default_factory=lambda: list(S.FEATURE_COLUMNS))
 
 
-def _prep_stages(train: DataFrame):
-    """M3 median imputer + M4 population scaler, fitted on ``train`` only."""
-    from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler  # noqa: F401
-    from riskengine.operators.features import medians, scaling_stats
-
-    med = {r["feature"]: r["median"] for r in medians(train).collect()}
-    imputed = {c: f"{c}__imp" for c in S.FEATURE_COLUMNS}
-    return med, imputed
-
-
 def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: int, num_trees: int, max_depth: int):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -125,18 +115,15 @@ def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: i
     else:
         clf = RandomForestClassifier(featuresCol="features", labelCol=S.TARGET_COLUMN, weightCol="weight",
                                      numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                     seed=seed)
+                                     seed=seed, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[prep, asm, clf])
 
 
-class _Strip:
-    """Drop the helper columns that a fitted pipeline leaves behind."""
-
-
 def _fit(kind, train: DataFrame, seed: int, num_trees: int, max_depth: int):
     from riskengine.operators.features import medians, scaling_stats
     from riskengine.operators.split import with_weights
 
+    train = train.persist()  # read by the count, the statistics, the weights and the fit
     n = train.count()
     med = {r["feature"]: r["median"] for r in medians(train).collect()}
     # the scaler sees imputed values, as in the reference's pipeline order
@@ -145,7 +132,26 @@ def _fit(kind, train: DataFrame, seed: int, num_trees: int, max_depth: int):
     mean = {c: st[c][0] for c in S.FEATURE_COLUMNS}
     std = {c: st[c][1] for c in S.FEATURE_COLUMNS}
     pipe = _pipeline(kind, n, med, mean, std, seed, num_trees, max_depth)
-    return pipe.fit(with_weights(train))
+    model = pipe.fit(with_weights(train))
+    train.unpersist()
+    model._riskengine_prep = (med, mean, std)
+    return model
+
+
+def fit_candidate(kind: str, train: DataFrame, seed: int = 42, num_trees: int = 220, max_depth: int = 15):
+    """Fit one candidate ('lr' or 'rf') with its imputer/scaler on ``train``."""
+    from riskengine.session import checkpoint_dir
+
+    checkpoint_dir(train.sparkSession)
+    return _fit(kind, train, seed, num_trees, max_depth)
+
+
+def linear_parts(model):
+    """(coef, intercept, median, mean, std) of a fitted logistic-regression pipeline, by feature."""
+    med, mean, std = model._riskengine_prep
+    lr = model.stages[-1]
+    coef = dict(zip(S.FEATURE_COLUMNS, [float(v) for v in lr.coefficients.toArray()]))
+    return coef, float(lr.intercept), med, mean, std
 
 
 def predict(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -157,24 +163,33 @@ def predict(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.drop(*[c for c in helper if c in out.columns])
 
 
-def cv_scores(df: DataFrame, kind: str, k: int = 5, seed: int = 42, num_trees: int = 220, max_depth: int = 15) -> DataFrame:
-    """Class-1 F1 of each fold as (model, fold, f1)."""
+def cv_scores(df: DataFrame, kind: str, k: int = 5, seed: int = 42, num_trees: int = 220, max_depth: int = 15,
+              parallelism: int = 4) -> DataFrame:
+    """Class-1 F1 of each fold as (model, fold, f1). Folds are fitted as
+    concurrent Spark jobs (``parallelism`` at a time); each fit is distributed."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from riskengine.operators.split import stratified_folds
+    from riskengine.session import checkpoint_dir
 
+    checkpoint_dir(df.sparkSession)
     folded = stratified_folds(df, k=k, seed=seed).cache()
-    rows = []
-    for f in range(k):
+
+    def one(f: int):
         tr = folded.filter(F.col("fold") != f).drop("fold")
         te = folded.filter(F.col("fold") == f).drop("fold")
         m = _fit(kind, tr, seed, num_trees, max_depth)
-        r = classification_metrics(predict(m, te)).select("f1").first()
-        rows.append((kind, f, float(r[0])))
+        return (kind, f, float(classification_metrics(predict(m, te)).select("f1").first()[0]))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one, range(k)))
     folded.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, fold int, f1 double")
 
 
 def train_and_select(df: DataFrame, candidates: tuple[str, ...] = ("lr", "rf"), k: int = 5, seed: int = 42,
-                     num_trees: int = 220, max_depth: int = 15, key: str = "record") -> TrainResult:
+                     num_trees: int = 220, max_depth: int = 15, key: str = "record",
+                     parallelism: int = 4) -> TrainResult:
     """M7/M8: stratified 80/20 split, k-fold CV F1 per candidate (first wins ties),
     refit of the best on the training part, test metrics incl. cv_f1."""
     from riskengine.operators.split import stratified_split
@@ -187,7 +202,7 @@ def train_and_select(df: DataFrame, candidates: tuple[str, ...] = ("lr", "rf"),
     train = train.cache()
     best, best_cv, scores = None, -1.0, {}
     for kind in candidates:
-        s = cv_scores(train, kind, k, seed, num_trees, max_depth)
+        s = cv_scores(train, kind, k, seed, num_trees, max_depth, parallelism)
         mean = s.agg(F.avg("f1")).first()[0]
         scores[kind] = float(mean)
         if mean > best_cv:
