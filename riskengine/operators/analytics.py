@@ -100,29 +100,29 @@ def histogram(df: DataFrame, col: str = PROB, nbins: int = 30, lo: float = 0.0,
     )
 
 
-def _pair_corr(x: str, y: str) -> Column:
-    """Pearson on pairwise-complete rows; NULL (not an error) for a constant column."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    xv, yv = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.try_divide(F.covar_pop(xv, yv), F.stddev_pop(xv) * F.stddev_pop(yv))
-
-
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Full correlation matrix as (x, y, corr) rows, computed in a single scan."""
+    """Full Pearson matrix as (x, y, corr) rows on pairwise-complete values.
+
+    Each input row is unfolded into one row per column pair (inside the scan
+    stage) and aggregated per pair with a map-side partial aggregate, so only
+    (#pairs x #partitions) rows are shuffled. A constant column gives NULL, not
+    an error (Spark's ``corr`` raises under ANSI division rules).
+    """
     cols = cols or S.FEATURE_COLUMNS + [PROB]
-    aggs, names = [], {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            name = f"c{len(aggs)}"
-            if a == b:
-                nonconst = F.stddev_pop(F.col(a)) > F.lit(0.0)
-                aggs.append(F.when(nonconst, F.lit(1.0)).alias(name))
-            else:
-                aggs.append(_pair_corr(a, b).alias(name))
-            names[(a, b)] = names[(b, a)] = name
-    wide = df.agg(*aggs)
-    entries = ", ".join(f"'{a}', '{b}', {names[(a, b)]}" for a in cols for b in cols)
-    return wide.selectExpr(f"stack({len(cols) * len(cols)}, {entries}) as (x, y, corr)")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    unfolded = df.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("xv"),
+                 F.col(b).cast("double").alias("yv"))
+        for a, b in pairs
+    ])))
+    both = F.col("xv").isNotNull() & F.col("yv").isNotNull()
+    xv, yv = F.when(both, F.col("xv")), F.when(both, F.col("yv"))
+    sx, sy = F.stddev_pop(xv), F.stddev_pop(yv)
+    r = F.when(F.col("x") == F.col("y"), F.when(sx > F.lit(0.0), F.lit(1.0))).otherwise(
+        F.try_divide(F.covar_pop(xv, yv), sx * sy))
+    half = unfolded.groupBy("x", "y").agg(r.alias("corr"))
+    mirror = half.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
+    return half.unionByName(mirror)
 
 
 def machines(df: DataFrame, label: str = S.LABEL_COLUMN, order: str = "record") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskengine import schema as S
 from riskengine.functions.scalar import clip
-from riskengine.operators.indexing import exact_quantiles, quantile_col
+from riskengine.operators.indexing import exact_quantiles, quantile_lookup
 
 
 def engineer(df: DataFrame) -> DataFrame:
@@ -24,11 +24,8 @@ def cap_outliers(df: DataFrame, cols: list[str] | None = None, lo: float = 0.01,
                  method: str = "exact") -> DataFrame:
     """Clip each column to its [lo, hi] quantiles (linear interpolation)."""
     cols = cols or S.FEATURE_COLUMNS
-    qs = exact_quantiles(df, cols, [lo, hi], method=method)
-    out = df
-    for c in cols:
-        out = out.withColumn(c, F.least(F.greatest(F.col(c), quantile_col(qs, c, lo)), quantile_col(qs, c, hi)))
-    return out
+    get = quantile_lookup(exact_quantiles(df, cols, [lo, hi], method=method))
+    return df.withColumns({c: F.least(F.greatest(F.col(c), get(c, lo)), get(c, hi)) for c in cols})
 
 
 def one_hot(df: DataFrame, col: str, values: list[str] | None = None, max_values: int = 1000) -> DataFrame:
@@ -50,11 +47,8 @@ def one_hot(df: DataFrame, col: str, values: list[str] | None = None, max_values
 def impute_median(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
     """NULL -> the column's median over the non-NULL values."""
     cols = cols or S.FEATURE_COLUMNS
-    qs = exact_quantiles(df, cols, [0.5], method=method)
-    out = df
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), quantile_col(qs, c, 0.5)))
-    return out
+    get = quantile_lookup(exact_quantiles(df, cols, [0.5], method=method))
+    return df.withColumns({c: F.coalesce(F.col(c), get(c, 0.5)) for c in cols})
 
 
 def medians(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:

@@ -3,19 +3,22 @@
 None of these puts the whole table in one task:
 
 * ``with_record`` (W1) range-partitions on the order key, numbers rows inside
-  each partition, checkpoints that once, and adds the row count of all earlier
+  each partition, writes that once to the checkpoint folder, and adds the row count of all earlier
   partitions. Only the per-partition counts (one row per partition) are
   combined in one place.
 * ``rolling_mean`` (W2) and ``rolling_mean_by`` (W3) split the index into
   buckets and copy the last ``n - 1`` rows of each bucket into the next one
   ("halo"), so a row-frame window per bucket is exact and a hot machine is
   spread over many buckets.
-* ``exact_quantiles`` ranks values with ``with_record`` and picks the two
-  neighbours of each quantile position, instead of one global percentile map.
+* ``exact_quantiles`` uses Spark's exact percentile only for columns whose
+  (estimated) distinct values are under a bound; beyond it, it ranks values
+  with ``with_record`` and picks the two neighbours of each quantile position.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,10 +53,13 @@ def with_record(df: DataFrame, order_by: list[str | Column], out: str = "record"
     )
     # Range bounds come from a sample seeded by the RDD id, so two evaluations of
     # the same plan may cut the ranges differently. Materialise the numbered rows
-    # once (reliable checkpoint in the shared folder) so that the count pass and
-    # the numbering pass read the same partitions, also after a lost executor.
-    checkpoint_dir(df.sparkSession)
-    ranged = ranged.checkpoint(eager=True).withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+    # once, as a Parquet table in the shared checkpoint folder, so that the count
+    # pass and the numbering pass see the same (partition, position) pairs, also
+    # after a lost executor. ``_mid`` carries both, so the read-back split does not matter.
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-index-{uuid.uuid4().hex}"
+    ranged.write.parquet(path)
+    ranged = spark.read.parquet(path).withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
@@ -119,13 +125,38 @@ def lag_by(df: DataFrame, key: str, ts: str, col: str, tiebreak: str = "record",
     return u.withColumn(out, F.lag(col).over(w)).filter(~F.col("_halo")).drop("_b", "_halo", "_gidx")
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], method: str = "exact",
-                    accuracy: int = 10000) -> DataFrame:
+DISTINCT_LIMIT = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], method: str = "auto",
+                    accuracy: int = 10000, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
     """(column, q, value): linear-interpolated quantiles of non-NULL values.
 
-    ``method="exact"`` ranks all values with one range shuffle (no single-task
-    map of distinct values); ``method="approx"`` uses ``percentile_approx``.
+    * ``"rank"``: ranks all values with one range shuffle -- no task ever holds
+      more than one range of values, whatever the number of distinct values.
+    * ``"auto"`` (default): one HyperLogLog pass estimates each column's distinct
+      values; columns under ``distinct_limit`` use Spark's exact ``percentile``
+      aggregate (its value->count map is bounded by that check), the rest ``"rank"``.
+    * ``"approx"``: ``percentile_approx`` with ``accuracy``.
     """
+    if method == "auto":
+        est = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        small = [c for i, c in enumerate(cols) if est[f"d{i}"] * 1.2 <= distinct_limit]
+        big = [c for c in cols if c not in small]
+        parts = []
+        if small:
+            aggs = [F.percentile(F.col(c), [float(q) for q in qs]).alias(f"p{i}") for i, c in enumerate(small)]
+            entries = ", ".join(f"'{c}', p{i}" for i, c in enumerate(small))
+            wide = df.agg(*aggs).selectExpr(f"stack({len(small)}, {entries}) as (column, vals)")
+            qarr = F.array(*[F.lit(float(q)) for q in qs])
+            parts.append(wide.select("column", F.posexplode(qarr).alias("_i", "q"), "vals")
+                         .select("column", "q", F.element_at("vals", F.col("_i") + 1).alias("value")))
+        if big:
+            parts.append(exact_quantiles(df, big, qs, method="rank"))
+        out = parts[0]
+        for p_ in parts[1:]:
+            out = out.unionByName(p_)
+        return out
     if method == "approx":
         parts = [
             df.select(
@@ -167,9 +198,23 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], method: str
     )
 
 
+def quantile_lookup(qs_df: DataFrame):
+    """``get(column, q) -> Column`` over the result of ``exact_quantiles``.
+
+    The quantile table has (#columns x #quantiles) rows -- statistics, not data --
+    so it is collected once and the values are inlined as literals. (A scalar
+    subquery per lookup would be planned and run once per use.)"""
+    values = {(r["column"], float(r["q"])): r["value"] for r in qs_df.collect()}
+
+    def get(column: str, q: float) -> Column:
+        return F.lit(values.get((column, float(q)))).cast("double")
+
+    return get
+
+
 def quantile_col(qs_df: DataFrame, column: str, q: float) -> Column:
     """One quantile from ``exact_quantiles`` as a lazy scalar subquery column."""
-    return qs_df.filter((F.col("column") == column) & (F.col("q") == F.lit(float(q)))).select("value").scalar()
+    return quantile_lookup(qs_df)(column, q)
 
 
 def seeded_sample(df: DataFrame, n: int = 200, seed: int = 42, key: str = "record", min_rows: int = 10) -> DataFrame:

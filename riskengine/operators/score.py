@@ -65,8 +65,9 @@ def quantile_label(df: DataFrame, col: str = "risk_probability", q: float = S.SY
     """
     from riskengine.operators.indexing import exact_quantiles
 
-    qs = exact_quantiles(df, [col], [q])
-    cut = qs.filter(F.col("column") == col).select("value").scalar()
+    from riskengine.operators.indexing import quantile_lookup
+
+    cut = quantile_lookup(exact_quantiles(df, [col], [q]))(col, q)
     return df.withColumn(out, (F.col(col) > cut).cast("int"))
 
 

@@ -770,7 +770,8 @@ def q_linear_contributions(spark, d):
 @register(
     "fleet_contributions",
     O.with_ctes(f"lc AS ({_contrib_long_sql()})")
-    + "SELECT feature, avg(abs(contribution)) AS mean_abs_contribution FROM lc GROUP BY feature",
+    + "SELECT feature, CAST(avg(CAST(abs(contribution) AS DECIMAL(38, 18))) AS DOUBLE) AS mean_abs_contribution "
+    "FROM lc GROUP BY feature",
     doubles=("mean_abs_contribution",),
 )
 def q_fleet_contributions(spark, d):

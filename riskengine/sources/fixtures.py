@@ -22,7 +22,15 @@ ORPHAN_RUN = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table. A scan with fewer splits than the cluster has cores (a small
+    file with one row group) is spread round-robin so the per-row work after it
+    runs in parallel; large inputs already have many splits and are left alone.
+    Column pruning and filters still reach the scan below the repartition."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:

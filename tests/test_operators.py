@@ -60,14 +60,15 @@ def test_rolling_mean_by_hot_key_spans_buckets(spark):
     assert np.allclose(lag.previous.values, exp_lag.values, equal_nan=True)
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("method", ["auto", "rank"])
+def test_exact_quantiles_match_numpy(spark, method):
     rng = np.random.default_rng(4)
     a = np.round(rng.normal(size=301), 1)
     b = np.r_[np.full(10, np.nan), rng.random(91)]
     pdf = pd.DataFrame({"a": a[:101], "b": b})
     df = spark.createDataFrame(pdf).withColumn("b", F.when(~F.isnan("b"), F.col("b")))
     qs = [0.01, 0.5, 0.68, 0.99]
-    out = W.exact_quantiles(df, ["a", "b"], qs).collect()
+    out = W.exact_quantiles(df, ["a", "b"], qs, method=method).collect()
     got = {(r.column, r.q): r.value for r in out}
     for c in ("a", "b"):
         col = pdf[c].dropna().values
