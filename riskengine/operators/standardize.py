@@ -46,21 +46,35 @@ def _label_expr(df: DataFrame, label_col: str | None, order_by: str | None) -> t
     return indexed, F.format_string(S.DEFAULT_LABEL_FORMAT, F.col("_pos") + F.lit(1))
 
 
+def parse_column(df: DataFrame, name: str) -> Column:
+    """P3 by source type: numbers cast directly (NaN -> NULL), booleans via 0/1,
+    text through the pandas-compatible parser."""
+    from pyspark.sql import types as T
+
+    dtype = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    if isinstance(dtype, T.NumericType):
+        return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("int").cast("double")
+    return to_number(c)
+
+
 def _features(df: DataFrame, sources: dict[str, str | None], machine_alias: str | None,
               streaming: bool, bearing_all_missing: bool | None) -> list[Column]:
     out = []
     for feat in S.FEATURE_COLUMNS:
         src = sources.get(feat)
-        parsed = to_number(F.col(f"`{src}`")) if src is not None else F.lit(None).cast("double")
+        parsed = parse_column(df, src) if src is not None else F.lit(None).cast("double")
         if feat == "bearing_temperature" and machine_alias is not None:
-            derived = to_number(F.col(f"`{machine_alias}`")) + F.lit(BEARING_OFFSET)
+            derived = parse_column(df, machine_alias) + F.lit(BEARING_OFFSET)
             if src is None:
                 parsed = derived
             elif streaming or bearing_all_missing is not None:
                 if bearing_all_missing:
                     parsed = derived
             else:
-                n_present = df.select(F.count(to_number(F.col(f"`{src}`")))).scalar()
+                n_present = df.select(F.count(parse_column(df, src))).scalar()
                 parsed = F.when(n_present == F.lit(0), derived).otherwise(parsed)
         out.append(F.coalesce(parsed, F.lit(S.FEATURE_DEFAULTS[feat])).cast("double").alias(feat))
     return out

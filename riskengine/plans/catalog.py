@@ -797,7 +797,8 @@ _RUNS = (
 )
 def q_recent_predictions(spark, d):
     runs, preds = FX.fleet_runs(spark, d)
-    return ST.recent(preds, runs, 25)
+    # created_at as a zone-free timestamp so the result does not depend on the session zone
+    return ST.recent(preds, runs, 25).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @register(
@@ -833,3 +834,37 @@ def q_machine_membership(spark, d):
     a = FX.fleet_actual(spark, d)
     flagged = P.high_risk(FX.fleet_scored(spark, d)).filter(F.col("dataset") == "error")
     return P.in_fleet(a.filter(F.col("downtime_risk") == 1), flagged).select("record", "machine_label")
+
+
+@register(
+    "machine_first_reading",
+    O.with_ctes()
+    + "SELECT coalesce(machine_label, 'Unknown') AS machine, record, risk_probability, predicted_risk, "
+    "CASE WHEN predicted_risk = 1 THEN 'HIGH RISK' ELSE 'STABLE' END AS status FROM scored "
+    "WHERE coalesce(machine_label, 'Unknown') = 'MCH-0042' ORDER BY record LIMIT 1",
+    doubles=("risk_probability",),
+)
+def q_machine_first_reading(spark, d):
+    first = P.filter_machine(FX.fleet_scored(spark, d), "MCH-0042")
+    return first.select(P.display_label().alias("machine"), "record", "risk_probability", "predicted_risk",
+                        A.status_text().alias("status"))
+
+
+@register(
+    "csv_roundtrip",
+    O.with_ctes() + f"SELECT record, machine_label, {FEAT_LIST}, 0 AS downtime_risk FROM fleet",
+    doubles=STD_DOUBLES,
+)
+def q_csv_roundtrip(spark, d):
+    """S15 -> S1 -> S4: the fleet written as CSV to the shared folder, read back by
+    the flexible reader (sniffed separator and header) and standardised."""
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+    from riskengine.sources.ingest import read_flexible_csv
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-csv-{uuid.uuid4().hex}"
+    ST.write_csv(FX.fleet(spark, d), path, ["record", "machine_label", *FEATS])
+    raw = read_flexible_csv(spark, path)
+    std = P.standardize(raw.withColumn("record", F.col("record").cast("long")), keep=["record"])
+    return std
