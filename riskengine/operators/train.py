@@ -163,26 +163,31 @@ def predict(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return out.drop(*[c for c in helper if c in out.columns])
 
 
-def cv_scores(df: DataFrame, kind: str, k: int = 5, seed: int = 42, num_trees: int = 220, max_depth: int = 15,
-              parallelism: int = 4) -> DataFrame:
-    """Class-1 F1 of each fold as (model, fold, f1). Folds are fitted as
-    concurrent Spark jobs (``parallelism`` at a time); each fit is distributed."""
+def cv_scores(df: DataFrame, kinds: tuple[str, ...] | str = ("lr", "rf"), k: int = 5, seed: int = 42,
+              num_trees: int = 220, max_depth: int = 15, parallelism: int = 4) -> DataFrame:
+    """Class-1 F1 of every (candidate, fold) as (model, fold, f1).
+
+    All candidate x fold fits are submitted as concurrent Spark jobs
+    (``parallelism`` at a time); each fit is itself distributed."""
     from concurrent.futures import ThreadPoolExecutor
 
     from riskengine.operators.split import stratified_folds
     from riskengine.session import checkpoint_dir
 
+    kinds = (kinds,) if isinstance(kinds, str) else tuple(kinds)
     checkpoint_dir(df.sparkSession)
-    folded = stratified_folds(df, k=k, seed=seed).cache()
+    folded = stratified_folds(df, k=k, seed=seed).persist()
 
-    def one(f: int):
+    def one(task):
+        kind, f = task
         tr = folded.filter(F.col("fold") != f).drop("fold")
         te = folded.filter(F.col("fold") == f).drop("fold")
         m = _fit(kind, tr, seed, num_trees, max_depth)
         return (kind, f, float(classification_metrics(predict(m, te)).select("f1").first()[0]))
 
+    tasks = [(kind, f) for kind in kinds for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(one, range(k)))
+        rows = list(pool.map(one, tasks))
     folded.unpersist()
     return df.sparkSession.createDataFrame(rows, "model string, fold int, f1 double")
 
@@ -190,8 +195,8 @@ def cv_scores(df: DataFrame, kind: str, k: int = 5, seed: int = 42, num_trees: i
 def train_and_select(df: DataFrame, candidates: tuple[str, ...] = ("lr", "rf"), k: int = 5, seed: int = 42,
                      num_trees: int = 220, max_depth: int = 15, key: str = "record",
                      parallelism: int = 4) -> TrainResult:
-    """M7/M8: stratified 80/20 split, k-fold CV F1 per candidate (first wins ties),
-    refit of the best on the training part, test metrics incl. cv_f1."""
+    """M7/M8: stratified 80/20 split, k-fold CV F1 per candidate (the first candidate
+    wins ties), refit of the best on the training part, test metrics incl. cv_f1."""
     from riskengine.operators.split import stratified_split
 
     n_pos = df.filter(F.col(S.TARGET_COLUMN) == 1).limit(1).count()
@@ -199,21 +204,21 @@ def train_and_select(df: DataFrame, candidates: tuple[str, ...] = ("lr", "rf"),
     if n_pos == 0 or n_neg == 0:
         raise ValueError("training needs both classes in the target column")
     train, test = stratified_split(df, key=key, seed=seed)
-    train = train.cache()
-    best, best_cv, scores = None, -1.0, {}
-    for kind in candidates:
-        s = cv_scores(train, kind, k, seed, num_trees, max_depth, parallelism)
-        mean = s.agg(F.avg("f1")).first()[0]
-        scores[kind] = float(mean)
-        if mean > best_cv:
-            best, best_cv = kind, float(mean)
+    train = train.persist()
+    means = {r["model"]: float(r["f1"]) for r in
+             cv_scores(train, candidates, k, seed, num_trees, max_depth, parallelism)
+             .groupBy("model").agg(F.avg("f1").alias("f1")).collect()}
+    best, best_cv = None, -1.0
+    for kind in candidates:          # strictly greater wins: the first candidate keeps ties
+        if means[kind] > best_cv:
+            best, best_cv = kind, means[kind]
     model = _fit(best, train, seed, num_trees, max_depth)
     m = classification_metrics(predict(model, test)).first()
     metrics = {"accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"], "f1": m["f1"],
                "cv_f1": best_cv}
     train.unpersist()
     names = {"lr": "Logistic Regression", "rf": "Random Forest"}
-    return TrainResult(model=model, model_name=names.get(best, best), metrics=metrics, cv_scores=scores)
+    return TrainResult(model=model, model_name=names.get(best, best), metrics=metrics, cv_scores=means)
 
 
 def metrics_frame(spark, metrics: dict) -> DataFrame:
