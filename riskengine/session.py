@@ -33,11 +33,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Uses the cluster's ``spark.checkpoint.dir`` (or the context's directory).
     Only a local-mode session without one gets a fresh temporary folder.
     """
-    sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- remote session: the configured folder is all we have
+        if conf:
+            return conf
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf

@@ -64,7 +64,10 @@ def crossings_stream(sdf: DataFrame, threshold: float = 0.5, ts: str = "ts", del
     """R2 (stream): per-machine state holds the last side of the threshold.
 
     Each micro-batch is sorted by event time per machine; rows later than the
-    watermark are dropped by Spark before they reach the state function."""
+    watermark are dropped by Spark before they reach the state function. A state
+    group holds one machine's rows of one micro-batch, so its size is bounded by
+    the trigger size (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``), not by
+    the stream; the state itself is one boolean per machine."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     src = sdf.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)

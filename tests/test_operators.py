@@ -204,3 +204,32 @@ def test_linear_contributions_sum_to_logit(spark):
         assert math.isclose(r.base + r.contrib_a + r.contrib_b, logit, abs_tol=1e-12)
     tab = X.contribution_table(spark.createDataFrame(out), ["a", "b"]).collect()
     assert {t.direction for t in tab} <= {S.DIRECTION_UP, S.DIRECTION_DOWN} and len(tab) == 4
+
+
+def test_model_save_load_and_single_prediction(spark, tmpdir_run):
+    import os
+
+    from riskengine.operators import score as SC
+    from riskengine.sources import store as ST
+
+    rng = np.random.default_rng(9)
+    n = 300
+    pdf = pd.DataFrame({c: rng.normal(50, 10, n) for c in S.FEATURE_COLUMNS})
+    pdf["record"] = np.arange(n)
+    pdf["machine_label"] = [f"M{i}" for i in range(n)]
+    pdf["downtime_risk"] = ((pdf.machine_temperature + rng.normal(0, 5, n)) > 52).astype(int)
+    df = spark.createDataFrame(pdf)
+    model = TR.fit_candidate("lr", df, seed=1)
+    path = os.path.join(tmpdir_run, "model")
+    ST.save_model(model, path)
+    back = ST.load_model(path)
+    a = TR.predict(model, df).select("record", "risk_probability").toPandas().set_index("record")
+    b = TR.predict(back, df).select("record", "risk_probability").toPandas().set_index("record")
+    assert np.allclose(a.risk_probability.values, b.risk_probability.sort_index().values)
+    vals = pdf.iloc[0][S.FEATURE_COLUMNS].to_dict()
+    label, prob = SC.predict_one(spark, back, vals, threshold=0.5)
+    assert math.isclose(prob, a.risk_probability.iloc[0], abs_tol=1e-12) and label == int(prob >= 0.5)
+    label_hi, _ = SC.predict_one(spark, back, vals, threshold=0.0)
+    assert label_hi == 1
+    sc = SC.scenario_check(spark, back).collect()
+    assert [r.machine for r in sc] == ["HIGH-STRESS", "STABLE", "BOUNDARY"] and sc[2].result == "Review"
