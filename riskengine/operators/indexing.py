@@ -45,6 +45,10 @@ def with_record(df: DataFrame, order_by: list[str | Column], out: str = "record"
     if not unique:
         names = {k for k in order_by if isinstance(k, str)}
         keys += [F.col(c) for c in df.columns if c not in names]
+        # last tie-breaker: the row's position in its (deterministic) input split, so
+        # that even many identical rows are spread over several range partitions
+        df = df.withColumn("_tie", F.monotonically_increasing_id())
+        keys.append(F.col("_tie"))
     n = _partitions(df, num_partitions)
     ranged = (
         df.repartitionByRange(n, *[k.asc_nulls_first() for k in keys])
@@ -65,11 +69,12 @@ def with_record(df: DataFrame, order_by: list[str | Column], out: str = "record"
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # One row per partition: the broadcast is bounded by ``n``.
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return (
+    result = (
         ranged.join(F.broadcast(offsets), "_pid")
         .withColumn(out, F.col("_off") + local)
         .drop("_mid", "_pid", "_off")
     )
+    return result.drop("_tie") if "_tie" in result.columns else result
 
 
 def _halo(df: DataFrame, idx: str, width: int, bucket: int) -> DataFrame:
@@ -172,7 +177,10 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], method: str
         return out
     stack = ", ".join(f"'{c}', `{c}`" for c in cols)
     long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column, value)").filter(F.col("value").isNotNull())
-    ranked = with_record(long, ["column", "value"], out="_rank")
+    # Equal values are interchangeable for the result, but a value held by a third of
+    # the rows must not land in one range partition: break ties by input position.
+    long = long.withColumn("_tie", F.monotonically_increasing_id())
+    ranked = with_record(long, ["column", "value", "_tie"], out="_rank").drop("_tie")
     stats = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_start"))
     pos = F.col("q") * (F.col("_n") - F.lit(1))
     targets = (

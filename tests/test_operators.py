@@ -233,3 +233,20 @@ def test_model_save_load_and_single_prediction(spark, tmpdir_run):
     assert label_hi == 1
     sc = SC.scenario_check(spark, back).collect()
     assert [r.machine for r in sc] == ["HIGH-STRESS", "STABLE", "BOUNDARY"] and sc[2].result == "Review"
+
+
+def test_hot_value_is_spread_over_ranges(spark):
+    # a third of the values identical: the rank-select must still be exact and the
+    # range partitions must split the hot value
+    vals = [0.0] * 400 + list(np.linspace(1, 2, 800))
+    df = spark.createDataFrame([(float(v),) for v in vals], "a double")
+    got = {r.q: r.value for r in W.exact_quantiles(df, ["a"], [0.1, 0.33, 0.5, 0.9], method="rank").collect()}
+    for q, v in got.items():
+        assert math.isclose(v, float(np.quantile(vals, q)), abs_tol=1e-12)
+    long = df.select(F.lit("a").alias("column"), F.col("a").alias("value")).withColumn("_tie", F.monotonically_increasing_id())
+    sizes = (long.repartitionByRange(8, "column", "value", "_tie").groupBy(F.spark_partition_id().alias("p"))
+             .count().collect())
+    assert max(r["count"] for r in sizes) < 400
+    dup = spark.createDataFrame([(1, "x")] * 300 + [(2, "y")] * 10, "k int, s string")
+    out = W.with_record(dup, ["k"], out="r", unique=False, num_partitions=4)
+    assert sorted(r.r for r in out.collect()) == list(range(310)) and "_tie" not in out.columns
