@@ -119,18 +119,54 @@ def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: i
     return Pipeline(stages=[prep, asm, clf])
 
 
+def prep_stats(train: DataFrame, n: int) -> tuple[dict, dict, dict]:
+    """M3/M4 statistics in one aggregate: per feature the median of present values
+    (imputer), then mean and population std of the imputed column (scaler), derived
+    from the present-value count, mean and variance -- no second pass over imputed data.
+    The exact median uses Spark's percentile when the row count (an upper bound of
+    the distinct values) is under the bound, else the distributed rank-select."""
+    import math
+
+    from riskengine.operators.indexing import DISTINCT_LIMIT
+    from riskengine.operators.features import medians
+
+    cols = S.FEATURE_COLUMNS
+    small = n <= DISTINCT_LIMIT
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}")]
+        if small:
+            aggs.append(F.percentile(F.col(c), 0.5).alias(f"p{i}"))
+    row = train.agg(*aggs).first()
+    if small:
+        med = {c: row[f"p{i}"] for i, c in enumerate(cols)}
+    else:
+        med = {r["feature"]: r["median"] for r in medians(train, cols, method="rank").collect()}
+    mean, std = {}, {}
+    for i, c in enumerate(cols):
+        nn, m, v = row[f"n{i}"], row[f"m{i}"], row[f"v{i}"]
+        md = med.get(c)
+        if md is None:
+            md = med[c] = S.FEATURE_DEFAULTS[c]
+        if nn == n:
+            mu, var = m, v
+        elif nn == 0:
+            mu, var = md, 0.0
+        else:
+            mu = (nn * m + (n - nn) * md) / n
+            var = (nn * (v + (m - mu) ** 2) + (n - nn) * (md - mu) ** 2) / n
+        mean[c] = float(mu)
+        sd = math.sqrt(max(var, 0.0))
+        std[c] = sd if sd > 0 else 1.0
+    return med, mean, std
+
+
 def _fit(kind, train: DataFrame, seed: int, num_trees: int, max_depth: int):
-    from riskengine.operators.features import medians, scaling_stats
     from riskengine.operators.split import with_weights
 
     train = train.persist()  # read by the count, the statistics, the weights and the fit
     n = train.count()
-    med = {r["feature"]: r["median"] for r in medians(train).collect()}
-    # the scaler sees imputed values, as in the reference's pipeline order
-    imp = train.select(*[F.coalesce(F.col(c), F.lit(med.get(c))).alias(c) for c in S.FEATURE_COLUMNS])
-    st = {r["feature"]: (r["mean"], r["std"]) for r in scaling_stats(imp).collect()}
-    mean = {c: st[c][0] for c in S.FEATURE_COLUMNS}
-    std = {c: st[c][1] for c in S.FEATURE_COLUMNS}
+    med, mean, std = prep_stats(train, n)
     pipe = _pipeline(kind, n, med, mean, std, seed, num_trees, max_depth)
     model = pipe.fit(with_weights(train))
     train.unpersist()
@@ -164,7 +200,7 @@ def predict(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def cv_scores(df: DataFrame, kinds: tuple[str, ...] | str = ("lr", "rf"), k: int = 5, seed: int = 42,
-              num_trees: int = 220, max_depth: int = 15, parallelism: int = 4) -> DataFrame:
+              num_trees: int = 220, max_depth: int = 15, parallelism: int = 8) -> DataFrame:
     """Class-1 F1 of every (candidate, fold) as (model, fold, f1).
 
     All candidate x fold fits are submitted as concurrent Spark jobs
@@ -194,7 +230,7 @@ def cv_scores(df: DataFrame, kinds: tuple[str, ...] | str = ("lr", "rf"), k: int
 
 def train_and_select(df: DataFrame, candidates: tuple[str, ...] = ("lr", "rf"), k: int = 5, seed: int = 42,
                      num_trees: int = 220, max_depth: int = 15, key: str = "record",
-                     parallelism: int = 4) -> TrainResult:
+                     parallelism: int = 8) -> TrainResult:
     """M7/M8: stratified 80/20 split, k-fold CV F1 per candidate (the first candidate
     wins ties), refit of the best on the training part, test metrics incl. cv_f1."""
     from riskengine.operators.split import stratified_split

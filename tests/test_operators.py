@@ -250,3 +250,23 @@ def test_hot_value_is_spread_over_ranges(spark):
     dup = spark.createDataFrame([(1, "x")] * 300 + [(2, "y")] * 10, "k int, s string")
     out = W.with_record(dup, ["k"], out="r", unique=False, num_partitions=4)
     assert sorted(r.r for r in out.collect()) == list(range(310)) and "_tie" not in out.columns
+
+
+def test_prep_stats_match_imputed_columns(spark):
+    rng = np.random.default_rng(10)
+    n = 200
+    pdf = pd.DataFrame({c: rng.normal(50, 10, n) for c in S.FEATURE_COLUMNS})
+    pdf.loc[rng.random(n) < 0.2, "pressure"] = np.nan
+    pdf.loc[:, "error_log_count"] = np.nan
+    df = spark.createDataFrame(pdf)
+    for c in S.FEATURE_COLUMNS:
+        df = df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
+    med, mean, std = TR.prep_stats(df, n)
+    for c in S.FEATURE_COLUMNS:
+        col = pdf[c]
+        m = float(col.median()) if col.notna().any() else S.FEATURE_DEFAULTS[c]
+        imp = col.fillna(m)
+        assert math.isclose(med[c], m, abs_tol=1e-12)
+        assert math.isclose(mean[c], float(imp.mean()), rel_tol=1e-12, abs_tol=1e-12)
+        sd = float(imp.std(ddof=0))
+        assert math.isclose(std[c], sd if sd > 0 else 1.0, rel_tol=1e-9, abs_tol=1e-12)
