@@ -51,3 +51,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="riskengine-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+MATERIALISED_PREFIX = "riskengine-"
+
+
+def clean_materialised(spark: SparkSession) -> int:
+    """Delete the tables this package materialised in the checkpoint folder
+    (dense indexes, CSV round trips, forest leaf exports). Call it after the
+    results that read them have been consumed; returns the number removed."""
+    root = checkpoint_dir(spark)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    removed = 0
+    for status in fs.listStatus(path):
+        p = status.getPath()
+        if p.getName().startswith(MATERIALISED_PREFIX) or p.getName().startswith("forest-"):
+            fs.delete(p, True)
+            removed += 1
+    return removed

@@ -57,11 +57,12 @@ def header_names(line: str, sep: str) -> list[str]:
 
 
 def _first_lines(spark: SparkSession, path: str) -> list[str]:
-    files = spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().orderBy("f").limit(1).collect()
+    """Up to 80 lines of the first file (by name). The file list comes from the
+    file index (``inputFiles``), not from scanning the data."""
+    files = sorted(f for f in spark.read.text(path).inputFiles() if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
     if not files:
         return []
-    first = files[0][0]
-    return [r[0] for r in spark.read.text(first).limit(SNIFF_LINES).collect()]
+    return [r[0] for r in spark.read.text(files[0]).limit(SNIFF_LINES).collect()]
 
 
 def _field_count(line, sep: str):

@@ -270,3 +270,11 @@ def test_prep_stats_match_imputed_columns(spark):
         assert math.isclose(mean[c], float(imp.mean()), rel_tol=1e-12, abs_tol=1e-12)
         sd = float(imp.std(ddof=0))
         assert math.isclose(std[c], sd if sd > 0 else 1.0, rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_clean_materialised(spark):
+    from riskengine.session import clean_materialised
+
+    df = spark.createDataFrame([(i,) for i in range(20)], "k int")
+    assert W.with_record(df, ["k"], out="r").count() == 20
+    assert clean_materialised(spark) >= 1
