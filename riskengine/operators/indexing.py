@@ -139,14 +139,20 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], method: str
 
     * ``"rank"``: ranks all values with one range shuffle -- no task ever holds
       more than one range of values, whatever the number of distinct values.
-    * ``"auto"`` (default): one HyperLogLog pass estimates each column's distinct
-      values; columns under ``distinct_limit`` use Spark's exact ``percentile``
-      aggregate (its value->count map is bounded by that check), the rest ``"rank"``.
+    * ``"auto"`` (default): columns with at most ``distinct_limit`` distinct values
+      (bounded by the row count, else estimated by one HyperLogLog pass) use Spark's
+      exact ``percentile`` aggregate, whose value->count map is bounded by that
+      check; the rest use ``"rank"``.
     * ``"approx"``: ``percentile_approx`` with ``accuracy``.
     """
     if method == "auto":
-        est = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-        small = [c for i, c in enumerate(cols) if est[f"d{i}"] * 1.2 <= distinct_limit]
+        # rows bound the distinct values of every column: a count settles small inputs
+        if df.count() <= distinct_limit:
+            small = list(cols)
+        else:
+            est = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}")
+                           for i, c in enumerate(cols)]).first()
+            small = [c for i, c in enumerate(cols) if est[f"d{i}"] * 1.2 <= distinct_limit]
         big = [c for c in cols if c not in small]
         parts = []
         if small:

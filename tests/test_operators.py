@@ -278,3 +278,13 @@ def test_clean_materialised(spark):
     df = spark.createDataFrame([(i,) for i in range(20)], "k int")
     assert W.with_record(df, ["k"], out="r").count() == 20
     assert clean_materialised(spark) >= 1
+
+
+def test_auto_quantiles_switch_to_rank_over_bound(spark):
+    rng = np.random.default_rng(11)
+    vals = rng.random(500)
+    df = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(vals)], "a double, b double")
+    got = {(r.column, r.q): r.value for r in W.exact_quantiles(df, ["a", "b"], [0.25, 0.5], distinct_limit=100).collect()}
+    for q in (0.25, 0.5):
+        assert math.isclose(got[("a", q)], float(np.quantile(vals, q)), abs_tol=1e-12)   # rank path
+        assert math.isclose(got[("b", q)], float(np.quantile([i % 3 for i in range(500)], q)), abs_tol=1e-12)
