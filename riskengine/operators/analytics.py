@@ -121,8 +121,11 @@ def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     r = F.when(F.col("x") == F.col("y"), F.when(sx > F.lit(0.0), F.lit(1.0))).otherwise(
         F.try_divide(F.covar_pop(xv, yv), sx * sy))
     half = unfolded.groupBy("x", "y").agg(r.alias("corr"))
-    mirror = half.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
-    return half.unionByName(mirror)
+    # the other triangle from the same aggregate (no second aggregation)
+    one = F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col("corr").alias("corr"))
+    flipped = F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("corr").alias("corr"))
+    both_halves = F.when(F.col("x") == F.col("y"), F.array(one)).otherwise(F.array(one, flipped))
+    return half.select(F.inline(both_halves))
 
 
 def machines(df: DataFrame, label: str = S.LABEL_COLUMN, order: str = "record") -> DataFrame:

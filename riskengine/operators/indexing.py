@@ -78,20 +78,22 @@ def with_record(df: DataFrame, order_by: list[str | Column], out: str = "record"
 
 
 def _halo(df: DataFrame, idx: str, width: int, bucket: int) -> DataFrame:
-    """Rows tagged with bucket ``_b``; the last ``width`` rows of each bucket are
-    copied into the next bucket with ``_halo`` set."""
+    """Rows tagged with bucket ``_b``; the last ``width`` rows of each bucket also
+    appear in the next bucket with ``_halo`` set. One pass: each row is exploded
+    into itself and, in the halo zone, one copy (no second scan of the input)."""
     if bucket < width:
         raise ValueError("bucket must be at least the window width")
     b = F.floor(F.col(idx) / F.lit(bucket)).cast("long")
-    base = df.withColumn("_b", b).withColumn("_halo", F.lit(False))
     if width == 0:
-        return base
-    halo = (
-        df.filter(F.col(idx) % F.lit(bucket) >= F.lit(bucket - width))
-        .withColumn("_b", b + F.lit(1))
-        .withColumn("_halo", F.lit(True))
+        return df.withColumn("_b", b).withColumn("_halo", F.lit(False))
+    in_zone = F.col(idx) % F.lit(bucket) >= F.lit(bucket - width)
+    targets = F.when(in_zone, F.array(b, b + F.lit(1))).otherwise(F.array(b))
+    return (
+        df.withColumn("_own", b)
+        .withColumn("_b", F.explode(targets))
+        .withColumn("_halo", F.col("_b") != F.col("_own"))
+        .drop("_own")
     )
-    return base.unionByName(halo)
 
 
 def rolling_mean(df: DataFrame, col: str, n: int = 30, order: str = "record", out: str = "rolling_average",

@@ -6,8 +6,8 @@ not data). The data itself is one distributed, string-typed CSV scan:
 * separator: the one of ``,`` ``;`` tab ``|`` most frequent in the header line
   (the reference's first attempt silently returns one column for ``;`` files;
   we always sniff -- a deliberate fix);
-* preamble: lines before the header are dropped per file, from the file's first
-  split only (its lines are in file order inside one task);
+* preamble: the sniffed lines up to the header are dropped by content, in the
+  same single pass over the text;
 * bad lines: rows with more fields than the header are dropped, short rows are
   padded with NULLs, as the reference's parser does.
 """
@@ -75,8 +75,15 @@ def read_flexible_csv(spark: SparkSession, path: str, sep: str | None = None, mu
                       validate: bool = True) -> DataFrame:
     """Read CSV files with preamble text, odd separators and bad lines.
 
-    Returns a string-typed frame with the header's column names plus ``_line``
-    (file, split, position) ordering columns used for position-based labels.
+    Returns a string-typed frame with the header's column names plus ``_file``,
+    ``_block``, ``_pos`` (file, split, position) for position-based labels.
+
+    One pass over the text: the sniffed preamble and header lines are dropped by
+    content (so every file's own copy goes too), blank lines are skipped, lines
+    with more fields than the header are dropped (quote-aware count), and the rest
+    is parsed in place with ``from_csv`` (short lines padded with NULLs). Records
+    with quoted line breaks need ``multiline=True``, which uses the CSV reader on
+    whole files instead.
     """
     lines = _first_lines(spark, path)
     if not lines:
@@ -86,34 +93,42 @@ def read_flexible_csv(spark: SparkSession, path: str, sep: str | None = None, mu
     names = header_names(lines[header_idx], sep)
     if len(names) <= 1:
         raise ValueError("Could not read this dataset. Please upload a valid CSV file.")
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
-                          + [T.StructField(_CORRUPT, T.StringType())])
+    fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
+    if multiline:
+        out = _read_multiline(spark, path, sep, names, header_idx, fields)
+    else:
+        skip = list(dict.fromkeys(lines[: header_idx + 1]))
+        text = spark.read.text(path).select(
+            "value", F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
+        keep = (F.length(F.trim("value")) > 0) & ~F.col("value").isin(skip) & (
+            _field_count(F.col("value"), sep) <= len(names))
+        parsed = text.filter(keep).select(
+            F.from_csv("value", T.StructType(fields).simpleString(), {"sep": sep, "mode": "PERMISSIVE"}).alias("_r"),
+            "_file", "_block", "_pos")
+        out = parsed.select(*[F.col(f"_r._c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block", "_pos")
+    if validate and out.isEmpty():
+        raise ValueError("Could not read this dataset. Please upload a valid CSV file.")
+    return out
+
+
+def _read_multiline(spark, path, sep, names, header_idx, fields) -> DataFrame:
+    """Quoted line breaks: the CSV reader on whole files (each file is one task)."""
+    schema = T.StructType(fields + [T.StructField(_CORRUPT, T.StringType())])
     raw = (
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("header", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("multiLine", multiline)
-        .csv(path)
+        spark.read.schema(schema).option("sep", sep).option("header", False).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", True).csv(path)
         .select("*", F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.file_block_start").alias("_block"),
-                F.monotonically_increasing_id().alias("_pos"))
+                F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
     )
-    # Preamble + header: the first header_idx + 1 lines of each file, all in its first split.
-    head = raw.filter(F.col("_block") == 0)
-    rest = raw.filter(F.col("_block") != 0)
-    ranked = head.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_pos")))
-    head = ranked.filter(F.col("_n") > header_idx + 1).drop("_n")
-    body = head.unionByName(rest)
+    # whole files are single splits: the first lines of each file are its first rows in that task
+    ranked = raw.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_pos")))
+    body = ranked.filter(F.col("_n") > header_idx + 1).drop("_n")
     # (coalesce with a data column: Spark rejects scans that read only the corrupt-record column)
     too_long = F.col(_CORRUPT).isNotNull() & (
         _field_count(F.coalesce(F.col(_CORRUPT), F.col("_c0")), sep) > len(names))
     body = body.filter(~too_long)
-    out = body.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block", "_pos")
-    if validate and out.isEmpty():
-        raise ValueError("Could not read this dataset. Please upload a valid CSV file.")
-    return out
+    return body.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block", "_pos")
 
 
 def load_dataset(spark: SparkSession, path: str, **kw) -> DataFrame:

@@ -120,3 +120,9 @@ def test_align_to_schema_and_metrics(spark, tmpdir_run):
     ST.write_csv(_scored(spark), os.path.join(tmpdir_run, "csv"), ["machine_label", "risk_probability"])
     back = spark.read.option("header", True).csv(os.path.join(tmpdir_run, "csv"))
     assert back.columns == ["machine_label", "risk_probability"] and back.count() == 5
+
+
+def test_multiline_quoted_records(spark, tmpdir_run):
+    p = _write(tmpdir_run, "ml.csv", 'note\nmachine,comment,temperature\nA,"line one\nline two",70\nB,plain,80\n')
+    rows = {r.machine: r for r in I.read_flexible_csv(spark, p, multiline=True).collect()}
+    assert rows["A"].comment == "line one\nline two" and rows["B"].temperature == "80" and len(rows) == 2
