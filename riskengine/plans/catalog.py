@@ -780,9 +780,9 @@ def q_fleet_contributions(spark, d):
 
 # ----------------------------------------------------------------- run store
 _RUNS = (
-    "preds AS (SELECT s.record AS id, printf('run-%d', e.user_id % 7) AS run_id, s.machine_label, "
+    "preds AS (SELECT s.record AS id, printf('run-%d', s.user_id % 7) AS run_id, s.machine_label, "
     "s.predicted_risk, s.risk_probability, s.recommendation, " + ", ".join(f"s.{c}" for c in FEATS)
-    + ", CAST(s.ts AS TIMESTAMP) AS created_at FROM scored s JOIN events e ON e.event_id = s.record)",
+    + ", CAST(s.ts AS TIMESTAMP) AS created_at FROM scored s)",
     "runs AS (SELECT run_id, 'fleet-' || run_id AS source_name, CAST(count(*) AS INTEGER) AS record_count, "
     "coalesce(avg(risk_probability), 0.0) AS average_risk FROM preds WHERE run_id <> 'run-6' GROUP BY run_id)",
 )

@@ -32,7 +32,7 @@ def recommendation_sql(p: str = "risk_probability") -> str:
 
 FLEET = f"""fleet AS (
   SELECT event_id AS record, ts, event_type AS dataset,
-         printf('MCH-%04d', user_id) AS machine_label,
+         printf('MCH-%04d', user_id) AS machine_label, user_id,
          CAST(60.0 AS DOUBLE) + k * CAST(0.5 AS DOUBLE) AS machine_temperature,
          CAST(60.0 AS DOUBLE) + k * CAST(0.5 AS DOUBLE) + 2 + (event_id % 11) AS bearing_temperature,
          least(CAST(15.0 AS DOUBLE), value / CAST(10.0 AS DOUBLE)) AS vibration_level,

@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """record, ts, dataset, machine_label and the 8 features (doubles)."""
+    """record, ts, dataset, machine_label, user_id and the 8 features (doubles)."""
     ev = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").try_cast("int")
     eid = F.col("event_id")
@@ -47,6 +47,7 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts"),
         F.col("event_type").alias("dataset"),
         F.format_string("MCH-%04d", F.col("user_id")).alias("machine_label"),
+        F.col("user_id"),
         (F.lit(60.0) + k * F.lit(0.5)).alias("machine_temperature"),
         (F.lit(60.0) + k * F.lit(0.5) + F.lit(2) + eid % 11).alias("bearing_temperature"),
         F.least(F.lit(15.0), F.col("value") / F.lit(10.0)).alias("vibration_level"),
@@ -158,8 +159,7 @@ def fleet_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """
     from riskengine.sources.store import predictions_frame, run_summary
 
-    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("record"), "user_id")
-    s = fleet_scored(spark, sf_dir).join(ev, "record")
+    s = fleet_scored(spark, sf_dir)
     s = s.withColumn("run_id", F.format_string("run-%d", F.col("user_id") % RUN_MOD))
     preds = predictions_frame(s, run_id=F.col("run_id"), created_at=F.col("ts"), id_col=F.col("record"))
     runs = run_summary(
