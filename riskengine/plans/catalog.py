@@ -868,3 +868,50 @@ def q_csv_roundtrip(spark, d):
     raw = read_flexible_csv(spark, path)
     std = P.standardize(raw.withColumn("record", F.col("record").cast("long")), keep=["record"])
     return std
+
+
+
+# ----------------------------------------------------------------- streams
+def _run_stream(spark, sdf) -> DataFrame:
+    """Run a streaming query over everything available into a Parquet file sink in
+    the shared folder and return what it wrote (no memory sink: nothing is gathered
+    on the driver)."""
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-stream-{uuid.uuid4().hex}"
+    q = (sdf.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/checkpoint").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.read.schema(sdf.schema).parquet(f"{base}/out")
+
+
+@register(
+    "stream_scores",
+    O.with_ctes() + "SELECT record, machine_label, risk_probability, predicted_risk, recommendation FROM scored",
+    doubles=("risk_probability",),
+)
+def q_stream_scores(spark, d):
+    """The events file read as a stream, standardised and scored per micro-batch."""
+    from riskengine.streaming.stream import score_stream
+
+    sdf = FX.fleet_from_events(FX.events_stream(spark, d))
+    scored = score_stream(sdf, keep=("record",), offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE)
+    return _run_stream(spark, scored.select("record", "machine_label", "risk_probability", "predicted_risk",
+                                            "recommendation"))
+
+
+@register("stream_crossings", REGISTRY["threshold_crossings"].sql, doubles=("risk_probability",))
+def q_stream_crossings(spark, d):
+    """R2 (stream): per-machine threshold state with applyInPandasWithState; equals the batch form."""
+    from riskengine.operators.score import label_and_recommend, linear_score
+    from riskengine.streaming.stream import crossings_stream
+
+    sdf = FX.fleet_from_events(FX.events_stream(spark, d))
+    scored = label_and_recommend(linear_score(sdf, offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE))
+    out = _run_stream(spark, crossings_stream(scored, 0.5, delay="1 day"))
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

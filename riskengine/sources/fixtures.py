@@ -39,7 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record, ts, dataset, machine_label, user_id and the 8 features (doubles)."""
-    ev = table(spark, sf_dir, "events")
+    return fleet_from_events(table(spark, sf_dir, "events"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The ``events`` table as a file stream (the folder, filtered to that file)."""
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
+    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    if files_per_trigger:
+        r = r.option("maxFilesPerTrigger", files_per_trigger)
+    return r.parquet(sf_dir)
+
+
+def fleet_from_events(ev: DataFrame) -> DataFrame:
+    """The fleet projection of an events frame (batch or stream)."""
     k = F.get_json_object("props", "$.k").try_cast("int")
     eid = F.col("event_id")
     return ev.select(
