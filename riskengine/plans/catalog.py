@@ -915,3 +915,23 @@ def q_stream_crossings(spark, d):
     scored = label_and_recommend(linear_score(sdf, offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE))
     out = _run_stream(spark, crossings_stream(scored, 0.5, delay="1 day"))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register(
+    "stream_hourly_kpis",
+    O.with_ctes() + "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR "
+    f"AS window_end, {KPI_SQL} FROM scored GROUP BY 1, 2 "
+    "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM scored)",
+    doubles=("avg_risk",),
+)
+def q_stream_hourly_kpis(spark, d):
+    """Fleet KPIs per event-time hour from the stream; a window is emitted once the
+    watermark (latest event time, no extra delay) has passed its end."""
+    from riskengine.operators.score import label_and_recommend, linear_score
+    from riskengine.streaming.stream import kpi_stream
+
+    sdf = FX.fleet_from_events(FX.events_stream(spark, d))
+    scored = label_and_recommend(linear_score(sdf, offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE))
+    out = _run_stream(spark, kpi_stream(scored, width="1 hour", delay="0 seconds"))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
+        "window_end", F.col("window_end").cast("timestamp_ntz"))
