@@ -935,3 +935,30 @@ def q_stream_hourly_kpis(spark, d):
     out = _run_stream(spark, kpi_stream(scored, width="1 hour", delay="0 seconds"))
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
         "window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+@register(
+    "stream_run_log",
+    O.with_ctes() + "SELECT 'fleet-stream-0' AS run_id, 'fleet-stream' AS source_name, "
+    "CAST(count(*) AS INTEGER) AS record_count, coalesce(avg(risk_probability), 0.0) AS average_risk, "
+    "CAST(coalesce(sum(predicted_risk), 0) AS INTEGER) AS high_risk_count, "
+    "CAST(count(*) AS BIGINT) AS stored_predictions FROM scored",
+    doubles=("average_risk",),
+)
+def q_stream_run_log(spark, d):
+    """The scored stream saved by the run-store sink (one run per micro-batch,
+    run id = name + batch id); returns the committed run log with stored rows per run."""
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+    from riskengine.streaming.stream import score_stream, sink_stream
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-sink-{uuid.uuid4().hex}"
+    sdf = FX.fleet_from_events(FX.events_stream(spark, d))
+    scored = score_stream(sdf, offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE)
+    q = sink_stream(scored, f"{base}/store", f"{base}/checkpoint", name="fleet-stream")
+    q.awaitTermination()
+    runs, preds = ST.load(spark, f"{base}/store")
+    stored = ST.committed(preds, runs).groupBy("run_id").agg(F.count(F.lit(1)).alias("stored_predictions"))
+    return runs.select("run_id", "source_name", "record_count", "average_risk", "high_risk_count").join(
+        stored, "run_id", "left")
