@@ -158,11 +158,12 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], method: str
         big = [c for c in cols if c not in small]
         parts = []
         if small:
-            aggs = [F.percentile(F.col(c), [float(q) for q in qs]).alias(f"p{i}") for i, c in enumerate(small)]
-            entries = ", ".join(f"'{c}', p{i}" for i, c in enumerate(small))
-            wide = df.agg(*aggs).selectExpr(f"stack({len(small)}, {entries}) as (column, vals)")
+            # one group per column: the final merges of the columns run in parallel tasks
+            stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in small)
+            long = df.selectExpr(f"stack({len(small)}, {stack}) as (column, value)")
+            per_col = long.groupBy("column").agg(F.percentile("value", [float(q) for q in qs]).alias("vals"))
             qarr = F.array(*[F.lit(float(q)) for q in qs])
-            parts.append(wide.select("column", F.posexplode(qarr).alias("_i", "q"), "vals")
+            parts.append(per_col.select("column", F.posexplode(qarr).alias("_i", "q"), "vals")
                          .select("column", "q", F.element_at("vals", F.col("_i") + 1).alias("value")))
         if big:
             parts.append(exact_quantiles(df, big, qs, method="rank"))
