@@ -27,12 +27,6 @@ from riskengine.session import checkpoint_dir
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row in partition
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def with_record(df: DataFrame, order_by: list[str | Column], out: str = "record",
                 num_partitions: int | None = None, unique: bool = True) -> DataFrame:
     """Dense 0-based row index in ``order_by`` order.
@@ -49,10 +43,12 @@ def with_record(df: DataFrame, order_by: list[str | Column], out: str = "record"
         # that even many identical rows are spread over several range partitions
         df = df.withColumn("_tie", F.monotonically_increasing_id())
         keys.append(F.col("_tie"))
-    n = _partitions(df, num_partitions)
+    order = [k.asc_nulls_first() for k in keys]
+    # Without an explicit count AQE may merge adjacent (small) ranges, which keeps the order.
+    by_range = df.repartitionByRange(int(num_partitions), *order) if num_partitions else df.repartitionByRange(*order)
     ranged = (
-        df.repartitionByRange(n, *[k.asc_nulls_first() for k in keys])
-        .sortWithinPartitions(*[k.asc_nulls_first() for k in keys])
+        by_range
+        .sortWithinPartitions(*order)
         .withColumn("_mid", F.monotonically_increasing_id())
     )
     # Range bounds come from a sample seeded by the RDD id, so two evaluations of
