@@ -9,3 +9,20 @@ Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Functions of this package that run in Python workers (mapInPandas,
+    applyInPandasWithState) are pickled with their code, so executors do not need
+    the package installed."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 -- older cloudpickle: the package must then be installed on executors
+        pass
+
+
+_ship_by_value()

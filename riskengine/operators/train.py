@@ -115,7 +115,7 @@ def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: i
     else:
         clf = RandomForestClassifier(featuresCol="features", labelCol=S.TARGET_COLUMN, weightCol="weight",
                                      numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                     seed=seed, maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
+                                     seed=seed, maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[prep, asm, clf])
 
 
