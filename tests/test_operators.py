@@ -288,3 +288,18 @@ def test_auto_quantiles_switch_to_rank_over_bound(spark):
     for q in (0.25, 0.5):
         assert math.isclose(got[("a", q)], float(np.quantile(vals, q)), abs_tol=1e-12)   # rank path
         assert math.isclose(got[("b", q)], float(np.quantile([i % 3 for i in range(500)], q)), abs_tol=1e-12)
+
+
+def test_leaf_table_size_is_checked(spark):
+    from riskengine.operators import explain as X
+
+    rng = np.random.default_rng(12)
+    n = 200
+    pdf = pd.DataFrame({c: rng.normal(50, 10, n) for c in S.FEATURE_COLUMNS})
+    pdf["record"] = np.arange(n)
+    pdf["machine_label"] = "M"
+    pdf["downtime_risk"] = (pdf.load_percentage > 50).astype(int)
+    df = spark.createDataFrame(pdf)
+    model = TR.fit_candidate("rf", df, seed=1, num_trees=3, max_depth=3)
+    with pytest.raises(ValueError):
+        X.forest_contributions(df, model, max_bytes=10)
