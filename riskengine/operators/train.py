@@ -95,7 +95,31 @@ class TrainResult:
     feature_columns: list = field(default_factory=lambda: list(S.FEATURE_COLUMNS))
 
 
-def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: int, num_trees: int, max_depth: int):
+def _memory_mb(conf_value: str | None, default_mb: int = 1024) -> int:
+    if not conf_value:
+        return default_mb
+    v = conf_value.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    try:
+        if v[-1] in units:
+            return int(float(v[:-1]) * units[v[-1]])
+        return int(int(v) / (1024 * 1024))
+    except ValueError:
+        return default_mb
+
+
+def forest_memory_mb(spark) -> int:
+    """Node-statistics memory for a forest fit: 1/8 of the executor heap (the driver's
+    in local mode), between MLlib's default 256 MB and 1 GB."""
+    conf = spark.sparkContext.getConf() if hasattr(spark, "sparkContext") else None
+    local = conf is not None and conf.get("spark.master", "").startswith("local")
+    key = "spark.driver.memory" if local else "spark.executor.memory"
+    mb = _memory_mb(conf.get(key, None) if conf is not None else None)
+    return max(256, min(1024, mb // 8))
+
+
+def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: int, num_trees: int, max_depth: int,
+              forest_mb: int = 256):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -115,7 +139,7 @@ def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: i
     else:
         clf = RandomForestClassifier(featuresCol="features", labelCol=S.TARGET_COLUMN, weightCol="weight",
                                      numTrees=num_trees, maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                     seed=seed, maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
+                                     seed=seed, maxMemoryInMB=forest_mb, cacheNodeIds=True, checkpointInterval=10)
     return Pipeline(stages=[prep, asm, clf])
 
 
@@ -167,7 +191,7 @@ def _fit(kind, train: DataFrame, seed: int, num_trees: int, max_depth: int):
     train = train.persist()  # read by the count, the statistics, the weights and the fit
     n = train.count()
     med, mean, std = prep_stats(train, n)
-    pipe = _pipeline(kind, n, med, mean, std, seed, num_trees, max_depth)
+    pipe = _pipeline(kind, n, med, mean, std, seed, num_trees, max_depth, forest_memory_mb(train.sparkSession))
     model = pipe.fit(with_weights(train))
     train.unpersist()
     model._riskengine_prep = (med, mean, std)
