@@ -30,9 +30,16 @@ def _training_frame(spark, d):
     return a.select("record", "machine_label", *S.FEATURE_COLUMNS, "downtime_risk")
 
 
+def _app(spark) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return str(id(spark))
+
+
 def trained(spark, d):
-    """Train-and-select once per (session, data folder) in this process."""
-    key = ("select", id(spark), d)
+    """Train-and-select once per (Spark application, data folder) in this process."""
+    key = ("select", _app(spark), d)
     if key not in _CACHE:
         _CACHE[key] = TR.train_and_select(_training_frame(spark, d), num_trees=NUM_TREES, max_depth=MAX_DEPTH,
                                           seed=SEED)
@@ -41,7 +48,7 @@ def trained(spark, d):
 
 def fitted(spark, d, kind: str):
     """One candidate fitted on the stratified training part."""
-    key = (kind, id(spark), d)
+    key = (kind, _app(spark), d)
     if key not in _CACHE:
         train, _ = SP.stratified_split(_training_frame(spark, d), seed=SEED)
         _CACHE[key] = TR.fit_candidate(kind, train, SEED, NUM_TREES, MAX_DEPTH)
