@@ -57,9 +57,16 @@ def confusion(df: DataFrame, actual: str = S.TARGET_COLUMN, pred: str = PRED) ->
 
 
 def threshold_sweep(df: DataFrame, thresholds: list[float] | None = None, actual: str = S.TARGET_COLUMN,
-                    prob: str = "risk_probability") -> DataFrame:
-    """Metrics at each threshold from one scan (2 conditional counts per threshold)."""
+                    prob: str = "risk_probability", wide_limit: int = 32) -> DataFrame:
+    """Metrics at each threshold from one scan.
+
+    Up to ``wide_limit`` thresholds: two conditional counts per threshold in one
+    aggregate. Beyond: each row gets the number of thresholds at or below its score,
+    a per-class histogram of that index is built (at most 2 x (#thresholds + 1)
+    rows), and reverse cumulative sums over it give TP/FP at every threshold."""
     thresholds = thresholds or [round(0.05 * i, 2) for i in range(1, 20)]
+    if len(thresholds) > wide_limit:
+        return _threshold_sweep_hist(df, sorted(set(float(t) for t in thresholds)), actual, prob)
     a = F.col(actual).cast("int")
     aggs = [F.count_if(a == 1).alias("pos"), F.count_if(a == 0).alias("neg")]
     for i, t in enumerate(thresholds):
@@ -73,6 +80,31 @@ def threshold_sweep(df: DataFrame, thresholds: list[float] | None = None, actual
     return _ratios(long)
 
 
+def _threshold_sweep_hist(df: DataFrame, thresholds: list[float], actual: str, prob: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    thr = F.array(*[F.lit(t) for t in thresholds])
+    idx = F.size(F.filter(thr, lambda t: t <= F.col(prob)))       # p >= t_i  <=>  idx >= i + 1
+    a = F.col(actual).cast("int")
+    # a NULL score passes no threshold (idx 0), as in the conditional-count form
+    hist = df.groupBy(F.coalesce(idx, F.lit(0)).alias("idx")).agg(
+        F.count_if(a == 1).alias("pos"), F.count_if(a == 0).alias("neg"))
+    totals = Window.partitionBy()
+    # one row per threshold, left-joined to the (small) histogram; both bounded by #thresholds
+    spine = spark.createDataFrame([(i + 1, t) for i, t in enumerate(thresholds)], "idx int, threshold double")
+    at_or_above = Window.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+    full = spine.join(F.broadcast(hist), "idx", "full_outer").fillna(0, ["pos", "neg"])
+    cum = full.select(
+        "idx", "threshold",
+        F.sum("pos").over(at_or_above).alias("tp"), F.sum("neg").over(at_or_above).alias("fp"),
+        F.sum("pos").over(totals).alias("_p"), F.sum("neg").over(totals).alias("_n"),
+    ).filter(F.col("threshold").isNotNull())
+    out = cum.select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"),
+                     (F.col("_n") - F.col("fp")).alias("tn"))
+    return _ratios(out)
+
+
 def savings(df: DataFrame, downtime_cost: float, inspection_cost: float, actual: str = S.TARGET_COLUMN,
             pred: str = PRED) -> DataFrame:
     """Prevented failures x downtime cost - false alarms x inspection cost."""

@@ -303,3 +303,16 @@ def test_leaf_table_size_is_checked(spark):
     model = TR.fit_candidate("rf", df, seed=1, num_trees=3, max_depth=3)
     with pytest.raises(ValueError):
         X.forest_contributions(df, model, max_bytes=10)
+
+
+def test_threshold_sweep_histogram_path_equals_wide(spark):
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"downtime_risk": rng.integers(0, 2, 500), "risk_probability": np.round(rng.random(500), 2)})
+    df = spark.createDataFrame(pdf)
+    ts = [round(0.01 * i, 2) for i in range(1, 100)]
+    hist = {r.threshold: r for r in TR.threshold_sweep(df, ts).collect()}            # 99 > 32: histogram path
+    wide = {r.threshold: r for r in TR.threshold_sweep(df, ts, wide_limit=1000).collect()}
+    assert set(hist) == set(wide) == set(ts)
+    for t in ts:
+        assert (hist[t].tp, hist[t].fp, hist[t].fn, hist[t].tn) == (wide[t].tp, wide[t].fp, wide[t].fn, wide[t].tn)
+        assert hist[t].tp == int(((pdf.downtime_risk == 1) & (pdf.risk_probability >= t)).sum())
