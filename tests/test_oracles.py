@@ -6,8 +6,9 @@ import __spark_entry__ as E
 from tests.oracle_check import check, duck
 from tests.conftest import SF_SMALL
 
-SQLS = E.oracle_sql()
-QUERIES = E.queries()
+# The library's own queries; those of the llm subpackage are tested in tests/llm.
+SQLS = {name: q.oracle() for name, q in E.REGISTRY.items() if q.sql is not None}
+QUERIES = {name: q.run for name, q in E.REGISTRY.items()}
 
 
 @pytest.fixture(scope="module")

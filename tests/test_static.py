@@ -20,7 +20,7 @@ def test_no_row_at_a_time_python_udfs():
         assert not re.search(r"@F\.udf|F\.udf\(|@udf\b|\budf\(", src), p
 
 
-def test_query_names():
-    for name in E.queries():
-        assert "pipeline" not in name and not re.match(r"op\d+_", name), name
-    assert not any(d.name == "llm" for d in PKG.rglob("*") if d.is_dir())
+def test_library_does_not_import_the_llm_subpackage():
+    for p, src in SOURCES.items():
+        if "llm" not in p.parts:
+            assert "llm" not in src, p
