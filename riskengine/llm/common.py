@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskengine.session import checkpoint_dir
@@ -55,3 +55,16 @@ def sample_ids(df: DataFrame, key: str, n: int) -> list:
     rows = (df.select(F.col(key).alias("k")).where("k is not null").distinct()
             .orderBy(F.xxhash64("k"), "k").limit(n).collect())
     return [r["k"] for r in rows]
+
+
+def sample_by(rows: DataFrame, group: str, key: str, n: int, spread: int = 64) -> list[tuple]:
+    """(group, key): for each group at most ``n`` keys with the smallest hashes. Every task
+    and every part of a group keeps ``n`` keys at most before a group's parts meet."""
+    h = F.xxhash64("k")
+    own = Window.partitionBy("g").orderBy("h", "k")
+    part = Window.partitionBy("g", F.pmod("h", F.lit(spread))).orderBy("h", "k")
+    keys = rows.select(F.col(group).alias("g"), F.col(key).alias("k")).where(
+        F.col("g").isNotNull() & F.col("k").isNotNull()).withColumn("h", h)
+    first = keys.withColumn("r", F.row_number().over(part)).where(F.col("r") <= n).select("g", "k", "h").distinct()
+    found = first.withColumn("r", F.row_number().over(own)).where(F.col("r") <= n).select("g", "k").collect()
+    return [(r["g"], r["k"]) for r in found]

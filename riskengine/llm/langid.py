@@ -4,9 +4,12 @@ wins; a narrow margin between the best two is a rejection.
 
 The dictionaries are learned from a bounded sample: the ``sample_docs`` labelled rows of
 a language with the smallest key hashes, ``n_dicts`` dictionaries of ``dict_bytes`` each
-per language, dealt from those rows in turn. Several dictionaries give several
-measurements, which settles most byte-level ties on short texts. Remaining ties go to
-the language that sorts first.
+per language, dealt from those rows in turn. Labels can be wrong, and one foreign row in a
+dictionary attracts its language, so the sample is cleaned first: it is dealt into two
+halves, each row is classified by the dictionaries of the other half, and rows whose
+label that contradicts are left out. A few bytes often cost the same in every language; of
+languages that tie, the one whose dictionaries hold the text's words most often wins, and
+the margin is then the difference of those counts over their sum.
 
 Texts are folded before learning and encoding alike: lower case, and every run of
 characters that are not letters becomes one space. The whole text is encoded.
@@ -24,16 +27,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskengine.llm.common import fresh, with_result
+from riskengine.llm.common import fresh, sample_by, with_result
 
 SAMPLE_DOCS = 400
 DICT_BYTES = 96 << 10
-N_DICTS = 3
-LEVEL = 3
+N_DICTS = 2
+LEVEL = 6
 MARGIN = 0.005
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -66,6 +69,7 @@ class Classifier:
 
     def __init__(self, learned: dict[str, list[bytes]], level: int = LEVEL):
         self.coders = []
+        self.contents = learned
         for lang, contents in learned.items():
             own = []
             for content in contents:
@@ -75,26 +79,48 @@ class Classifier:
                                                     write_checksum=False, write_dict_id=False))
             self.coders.append((lang, own))
 
+    def held(self, data: bytes, lang: str) -> float:
+        """How often the language's dictionaries hold the text's words (+1 each), on average."""
+        words = set(data.split())
+        contents = self.contents[lang]
+        return sum(c.count(b" " + w + b" ") for c in contents for w in words) / len(contents)
+
     def classify(self, text: str | None) -> tuple[str, float]:
-        """(language, margin): the margin is the share by which the runner-up is longer."""
+        """(language, margin): the share by which the runner-up is longer; of ties, see above."""
         data = folded(text) if text else b""
         if not data or not self.coders:
             return UNKNOWN, 0.0
         # A language with fewer dictionaries than another is compared by its mean size.
-        sizes = [(sum(len(c.compress(data)) for c in own) / len(own), lang) for lang, own in self.coders]
-        sizes.sort()
+        sizes = sorted((sum(len(c.compress(data)) for c in own) / len(own), lang) for lang, own in self.coders)
         if len(sizes) == 1:
             return sizes[0][1], 1.0
-        return sizes[0][1], (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        best = sizes[0][0]
+        if sizes[1][0] > best:
+            return sizes[0][1], (sizes[1][0] - best) / sizes[1][0]
+        held = sorted(((-self.held(data, lang), lang) for size, lang in sizes if size == best))
+        first, second = -held[0][0], -held[1][0]
+        return held[0][1], (first - second) / (first + second + 1)
+
+
+def cleaned(rows: list[tuple[str, str]], n_dicts: int, dict_bytes: int) -> list[tuple[str, str]]:
+    """The rows whose label agrees with the dictionaries learned from the other half."""
+    turn: dict[str, int] = {}
+    half = []
+    for lang, _ in rows:
+        turn[lang] = turn.get(lang, -1) + 1
+        half.append(turn[lang] % 2)
+    judges = [Classifier(learn([r for r, h in zip(rows, half) if h == side], n_dicts, dict_bytes)) for side in (0, 1)]
+
+    def agrees(lang: str, text: str, side: int) -> bool:
+        judge = judges[1 - side]
+        return lang not in judge.contents or judge.classify(text)[0] in (lang, UNKNOWN)
+
+    return [(lang, text) for (lang, text), h in zip(rows, half) if agrees(lang, text, h)]
 
 
 def sample(docs: DataFrame, key: str, lang: str, text: str, n: int) -> list[tuple[str, str]]:
-    """For each language at most ``n`` labelled texts with the smallest key hashes. The
-    ranking reads ids and labels only and is pruned to ``n`` a language in every task."""
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("l")).where(
-        F.col("l").isNotNull() & F.col(text).isNotNull() & F.col("k").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    chosen = {(r["l"], r["k"]) for r in rows.select("k", "l", rank.alias("r")).where(F.col("r") <= n).collect()}
+    """For each language at most ``n`` labelled texts with the smallest key hashes."""
+    chosen = set(sample_by(docs.where(F.col(text).isNotNull()), lang, key, n))
     found = (docs.where(F.col(key).isin(sorted({k for _, k in chosen})) & F.col(text).isNotNull())
              .select(F.col(lang), F.xxhash64(key), F.col(key), F.col(text))
              .limit(4 * max(1, len(chosen))).collect())
@@ -108,7 +134,8 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", lang: st
     """``docs`` with lang_pred, score (the margin, 0 to 1) and accepted. Only the sample of
     ``labelled`` is learned from; a prediction reads the text alone."""
     spark = docs.sparkSession
-    learned = learn(sample(labelled, key, lang, text, sample_docs), n_dicts, dict_bytes)
+    rows = cleaned(sample(labelled, key, lang, text, sample_docs), n_dicts, dict_bytes)
+    learned = learn(rows, n_dicts, dict_bytes)
     shared = spark.sparkContext.broadcast(learned)
     at = [c.lower() for c in docs.columns].index(text.lower())
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskengine.llm import chat, decontaminate, langid, mixing, secrets, simhash, substring, token_counts
+from riskengine.llm import (
+    chat, decontaminate, html_extract, langid, mixing, quality, secrets, simhash, substring, token_counts)
 from riskengine.llm.common import read
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -34,6 +35,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.render(chat.reconstruct(events))))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.digest(quality.rules(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read(spark, sf_dir, "documents")))
 
@@ -42,6 +48,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(read(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(html_extract.extract(read(spark, sf_dir, "pages")))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -62,7 +72,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_chat, op4_simhash, op5_langid, op7_secrets, op8_substring, op9_tokens,
+    f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_simhash, op5_langid, op6_html, op7_secrets, op8_substring, op9_tokens,
                             op10_decontaminate)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
