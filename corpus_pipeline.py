@@ -10,9 +10,8 @@ executor costs at most the running stage. All stages but the last return the col
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from riskengine.llm import decontaminate, langid, simhash
+from riskengine.llm import decontaminate, langid, mixing, secrets, simhash
 from riskengine.llm.common import read, staged
 
 
@@ -32,10 +31,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret found; no document is dropped."""
+    return secrets.redact(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per copy in the mix: the documents' columns with shard and position."""
+    mixed = mixing.shuffled(mixing.mix(docs))
+    return mixed.select(*docs.columns, "shard", "copy", "position")
+
+
 STAGES = [
     ("language_id", language_id),
     ("simhash_dedup", simhash_dedup),
     ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
+    ("mixing", mixing_stage),
 ]
 
 # Language ID, fingerprints and the secret battery are not expressible in SQL.
