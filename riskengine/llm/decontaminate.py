@@ -126,7 +126,7 @@ def cut_hits(data: bytes, hit: np.ndarray) -> str:
     return b"".join(out).decode("utf-8")
 
 
-def _scanner(index, text_at: int, first: bool, cut: bool):
+def _scanner(index, names: list[str], text_at: int, first: bool, cut: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = index.value
         for batch in batches:
@@ -147,7 +147,7 @@ def _scanner(index, text_at: int, first: bool, cut: bool):
                 texts.append(cut_hits(data, hit) if cut and n_hit[-1] else None)
             arrays = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(marks, pa.binary()),
                       pa.array(items, pa.list_(pa.string())), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays([*cols, *arrays], names=[*batch.schema.names[:len(cols)], *"whmit"])
+            yield pa.RecordBatch.from_arrays([*cols, *arrays], names=names)
     return run
 
 
@@ -171,7 +171,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N_GRAM, part_bytes: int
         rows = [(r["item_id"], r["text"].encode() if r["text"] else None)
                 for r in bench.where(dealt == k).collect()]
         index = spark.sparkContext.broadcast(GramIndex(rows, n))
-        out = out.mapInArrow(_scanner(index, at, k == 0, cut), schema)
+        out = out.mapInArrow(_scanner(index, schema.names, at, k == 0, cut), schema)
     return with_result(out, **{r: F.col(f"`{c}`") for r, c in zip(results, internal)}).drop(*internal)
 
 

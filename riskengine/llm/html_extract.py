@@ -327,14 +327,14 @@ def extract(pages: DataFrame, html: str = "html", train_pages: int = TRAIN_PAGES
     """``pages`` with text (the main text) and n_chars (its code points)."""
     shared = pages.sparkSession.sparkContext.broadcast(Extractor(labelled_pages(train_pages)))
     at = [c.lower() for c in pages.columns].index(html.lower())
+    name = fresh(pages, "main_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts = [model.extract(p) for p in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "t"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, name])
 
-    name = fresh(pages, "main_text")
     out = pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField(name, T.StringType())]))
     return with_result(out, text=F.col(name), n_chars=F.length(name).cast("long")).drop(name)
 

@@ -138,6 +138,7 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", lang: st
     learned = learn(rows, n_dicts, dict_bytes)
     shared = spark.sparkContext.broadcast(learned)
     at = [c.lower() for c in docs.columns].index(text.lower())
+    pred, score = fresh(docs, "said_lang"), fresh(docs, "said_margin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value)
@@ -145,9 +146,8 @@ def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", lang: st
             said = [model.classify(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())],
-                names=[*batch.schema.names, "l", "s"])
+                names=[*batch.schema.names, pred, score])
 
-    pred, score = fresh(docs, "said_lang"), fresh(docs, "said_margin")
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()),
                                              T.StructField(score, T.DoubleType())]))
     score_01 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score)))

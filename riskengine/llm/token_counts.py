@@ -2,7 +2,8 @@
 lengths of frequent pre-tokens; a miss is encoded once and kept in the worker's cache.
 No pre-token is ever shuffled.
 
-A text is cut into pre-tokens in front of every run of spaces and around every newline.
+A text is cut into pre-tokens in front of every run of spaces (the model's own mark for a
+space counts as one) and around every newline.
 That is exact for a piece vocabulary in which no piece holds a space after another
 character and none holds a newline: merges then never cross a cut, so a text's length is
 the sum of its pre-tokens' lengths. ``check_vocabulary`` verifies this of the given
@@ -54,6 +55,11 @@ def check_vocabulary(model) -> None:
         raise ValueError("the model changes white space, so pre-token lengths do not add up")
 
 
+def pre_tokens(text: str) -> list[str]:
+    """The pre-tokens; the model puts one space in front of a non-empty text."""
+    return PRE_TOKEN.findall(" " + text.replace(_SPACE, " ")) if text else []
+
+
 class Lengths(dict):
     """Token lengths of pre-tokens: the broadcast table, then a bounded cache of encoded ones."""
 
@@ -73,8 +79,8 @@ class Lengths(dict):
         return n
 
     def count(self, text: str) -> int:
-        """Tokens of a whole text; the model puts one space in front of a non-empty text."""
-        return sum(map(self.__getitem__, PRE_TOKEN.findall(" " + text))) if text else 0
+        """Tokens of a whole text."""
+        return sum(map(self.__getitem__, pre_tokens(text)))
 
 
 def frequent_lengths(docs: DataFrame, model, key: str, text: str, sample_docs: int, entries: int) -> dict[str, int]:
@@ -82,7 +88,7 @@ def frequent_lengths(docs: DataFrame, model, key: str, text: str, sample_docs: i
     ids = sample_ids(docs.where(F.col(text).isNotNull()), key, sample_docs)
     counts: Counter = Counter()
     for row in docs.where(F.col(key).isin(ids)).select(text).limit(sample_docs).toLocalIterator():
-        counts.update(p for p in PRE_TOKEN.findall(" " + (row[0] or "")) if len(p) <= KEPT_CHARS)
+        counts.update(p for p in pre_tokens(row[0] or "") if len(p) <= KEPT_CHARS)
     lengths = Lengths(model, {}, entries)
     return {part: lengths[part] for part, _ in counts.most_common(entries)}
 
@@ -98,19 +104,19 @@ def count_tokens(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     table = docs.sparkSession.sparkContext.broadcast(
         (proto, frequent_lengths(docs, model, key, text, sample_docs, table_entries)))
     at = [c.lower() for c in docs.columns].index(text.lower())
+    b, t = fresh(docs, "count_bytes"), fresh(docs, "count_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, known = table.value
         lengths = Lengths(load_model(data), known)
         for batch in batches:
             texts = batch.column(at)
-            sizes = [len(b) if b else 0 for b in texts.cast(pa.binary()).to_pylist()]
-            counts = [lengths.count(t) if t else 0 for t in texts.to_pylist()]
+            sizes = [len(x) if x else 0 for x in texts.cast(pa.binary()).to_pylist()]
+            counts = [lengths.count(x) if x else 0 for x in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())],
-                names=[*batch.schema.names, "b", "t"])
+                names=[*batch.schema.names, b, t])
 
-    b, t = fresh(docs, "count_bytes"), fresh(docs, "count_tokens")
     out = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(b, T.LongType()),
                                              T.StructField(t, T.LongType())]))
     return with_result(out, n_bytes=F.col(b), n_tokens=F.col(t), over_limit=F.col(t) > limit).drop(b, t)
