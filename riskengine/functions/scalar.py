@@ -25,10 +25,9 @@ def to_number(col: Column | str) -> Column:
     return _to_number(F.col(col) if isinstance(col, str) else col)
 
 
-def to_int_target(col: Column | str) -> Column:
-    """Target parse: number, missing -> 0, truncated to int; +-inf -> 0."""
-    d = to_number(col)
-    return F.coalesce(d.try_cast("int"), F.lit(0))
+def to_int_target(number: Column) -> Column:
+    """Target of a parsed number: missing -> 0, truncated to int; +-inf -> 0."""
+    return F.coalesce(number.try_cast("int"), F.lit(0))
 
 
 def np_round(col: Column | str, digits: int = 0) -> Column:
@@ -51,10 +50,32 @@ def sigmoid(col: Column, offset: float = 0.0, scale: float = 1.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(col - F.lit(float(offset))) / F.lit(float(scale))))
 
 
-def percent_text(col: Column | str, digits: int = 1) -> Column:
-    """Python's ``{:.1%}``: value times 100 with ``digits`` decimals and a % sign."""
+def fixed1(value: Column) -> Column:
+    """Python's ``{:.1f}``: the exact binary value rounded half to even.
+
+    Java's formatter rounds the shortest decimal text, half up. Here the fraction's
+    tenths are 8f + 2f, two exact products whose sum's rounding error is kept (two-sum),
+    so the side of the half is always known."""
+    size = F.abs(value)
+    whole = F.floor(size).cast("double")
+    frac = size - whole
+    a, b = frac * F.lit(8.0), frac * F.lit(2.0)
+    total = a + b
+    part = total - a
+    error = (a - (total - part)) + (b - part)
+    tenth = F.floor(total).cast("double")
+    past_half = (total - tenth - F.lit(0.5)) + error
+    up = (past_half > 0) | ((past_half == 0) & (tenth % 2 == 1))
+    tenths = F.when(up, tenth + F.lit(1.0)).otherwise(tenth).cast("long")
+    units = F.floor(size).cast("long") + F.floor(tenths / 10).cast("long")
+    text = F.concat(F.when(value < 0, "-").otherwise(""), units.cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(size < F.lit(9e15), text).otherwise(F.format_string("%.1f", value))
+
+
+def percent_text(col: Column | str) -> Column:
+    """Python's ``{:.1%}``: value times 100 with one decimal and a % sign."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.format_string(f"%.{digits}f%%", c * F.lit(100.0))
+    return F.concat(fixed1(c * F.lit(100.0)), F.lit("%"))
 
 
 def parse_percent(col: Column | str) -> Column:

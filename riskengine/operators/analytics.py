@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskengine import schema as S
+from riskengine.functions.scalar import fixed1, parse_percent
 
 PROB = "risk_probability"
 PRED = "predicted_risk"
@@ -24,7 +25,8 @@ def kpi_aggs(prob: str = PROB, pred: str = PRED) -> list[Column]:
     return [
         total.alias("total_assets"),
         high.alias("high_risk_assets"),
-        F.coalesce(F.avg(prob) * F.lit(100.0), F.lit(0.0)).alias("avg_risk"),
+        F.coalesce(F.avg(F.nanvl(F.col(prob).cast("double"), F.lit(None).cast("double"))) * F.lit(100.0),
+                   F.lit(0.0)).alias("avg_risk"),
         (total - high).alias("monitored_stable"),
     ]
 
@@ -43,15 +45,13 @@ def dataset_comparison(df: DataFrame, by: str = "dataset") -> DataFrame:
         F.col(by).alias("dataset"),
         F.col("total_assets").alias("rows"),
         F.col("high_risk_assets").alias("high_risk"),
-        F.format_string("%.1f%%", F.col("avg_risk")).alias("average_risk"),
+        F.concat(fixed1(F.col("avg_risk")), F.lit("%")).alias("average_risk"),
         F.col("monitored_stable").alias("stable"),
     )
 
 
 def riskiest_dataset(comparison: DataFrame) -> DataFrame:
     """The dataset with the highest 1-decimal average risk (ties: name), with advice."""
-    from riskengine.functions.scalar import parse_percent
-
     c = comparison.withColumn("average_risk_numeric", parse_percent("average_risk"))
     top = c.orderBy(F.desc("average_risk_numeric"), F.asc("dataset")).limit(1)
     return top.select(
@@ -85,14 +85,16 @@ def nice_width(lo: float, hi: float, nbins: int) -> float:
 
 def histogram(df: DataFrame, col: str = PROB, nbins: int = 30, lo: float = 0.0, hi: float = 1.0,
               width: float | None = None) -> DataFrame:
-    """Equal-width bins over [lo, hi]; empty bins are kept; the top edge goes in the last bin."""
+    """Equal-width bins; every non-missing value is counted. Empty bins between ``lo``
+    and ``hi`` are kept, ``hi`` itself goes in the last of them, and values outside get
+    bins of their own (negative below ``lo``)."""
     w = width or nice_width(lo, hi, nbins)
     k = int(math.ceil(round((hi - lo) / w, 9)))
-    b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(k - 1))
-    counts = df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+    b = F.when(x == F.lit(float(hi)), F.lit(k - 1)).otherwise(F.floor((x - F.lit(lo)) / F.lit(w)).cast("int"))
+    counts = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spine = df.sparkSession.range(0, k).select(F.col("id").cast("int").alias("bin"))
-    # both sides are bounded by the number of bins
-    return spine.join(F.broadcast(counts), "bin", "left").select(
+    return spine.join(counts, "bin", "full_outer").select(
         "bin",
         (F.lit(lo) + F.col("bin") * F.lit(w)).alias("bin_start"),
         (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("bin_end"),
@@ -103,29 +105,36 @@ def histogram(df: DataFrame, col: str = PROB, nbins: int = 30, lo: float = 0.0,
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Full Pearson matrix as (x, y, corr) rows on pairwise-complete values.
 
-    Each input row is unfolded into one row per column pair (inside the scan
-    stage) and aggregated per pair with a map-side partial aggregate, so only
-    (#pairs x #partitions) rows are shuffled. A constant column gives NULL, not
-    an error (Spark's ``corr`` raises under ANSI division rules).
+    Two one-row aggregates over the input: the columns' means, then for every pair the
+    sums of products and squares of the values less those means (the shift keeps the sums
+    from cancelling), over the rows where both are present. Only partial sums are
+    shuffled. A constant column gives NULL.
     """
     cols = cols or S.FEATURE_COLUMNS + [PROB]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    unfolded = df.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("xv"),
-                 F.col(b).cast("double").alias("yv"))
-        for a, b in pairs
-    ])))
-    both = F.col("xv").isNotNull() & F.col("yv").isNotNull()
-    xv, yv = F.when(both, F.col("xv")), F.when(both, F.col("yv"))
-    sx, sy = F.stddev_pop(xv), F.stddev_pop(yv)
-    r = F.when(F.col("x") == F.col("y"), F.when(sx > F.lit(0.0), F.lit(1.0))).otherwise(
-        F.try_divide(F.covar_pop(xv, yv), sx * sy))
-    half = unfolded.groupBy("x", "y").agg(r.alias("corr"))
-    # the other triangle from the same aggregate (no second aggregation)
-    one = F.struct(F.col("x").alias("x"), F.col("y").alias("y"), F.col("corr").alias("corr"))
-    flipped = F.struct(F.col("y").alias("x"), F.col("x").alias("y"), F.col("corr").alias("corr"))
-    both_halves = F.when(F.col("x") == F.col("y"), F.array(one)).otherwise(F.array(one, flipped))
-    return half.select(F.inline(both_halves))
+    none = F.lit(None).cast("double")
+    rows = df.select(*[F.nanvl(F.col(c).cast("double"), none).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = rows.agg(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(len(cols))])
+    shift = means.select(F.struct("*").alias("m")).scalar()
+    rows = rows.select(*[(F.col(f"c{i}") - shift[f"m{i}"]).alias(f"c{i}") for i in range(len(cols))])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    sums = []
+    for i, j in pairs:
+        x, y = F.col(f"c{i}"), F.col(f"c{j}")
+        both = x.isNotNull() & y.isNotNull()
+        sums += [F.struct(
+            F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), F.sum(F.when(both, 1.0)).alias("n"),
+            F.sum(F.when(both, x)).alias("sx"), F.sum(F.when(both, y)).alias("sy"), F.sum(x * y).alias("xy"),
+            F.sum(F.when(both, x * x)).alias("xx"), F.sum(F.when(both, y * y)).alias("yy"))]
+    long = rows.agg(F.array(*sums).alias("p")).select(F.inline("p"))
+    n = F.col("n")
+    vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / n, F.col("yy") - F.col("sy") * F.col("sy") / n
+    # A variance within rounding of the squares it comes from is a constant column.
+    varied = (vx > F.col("xx") * F.lit(1e-14)) & (vy > F.col("yy") * F.lit(1e-14))
+    r = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(
+        (F.col("xy") - F.col("sx") * F.col("sy") / n) / (F.sqrt(vx) * F.sqrt(vy)))
+    half = long.select("x", "y", F.when(varied, r).alias("corr"))
+    flipped = half.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
+    return half.unionByName(flipped)
 
 
 def machines(df: DataFrame, label: str = S.LABEL_COLUMN, order: str = "record") -> DataFrame:
@@ -135,8 +144,10 @@ def machines(df: DataFrame, label: str = S.LABEL_COLUMN, order: str = "record")
 
 
 def top_risk(df: DataFrame, n: int = 10, prob: str = PROB, order: str = "record") -> DataFrame:
-    """The n riskiest rows; earliest record wins ties, NULL probabilities last."""
-    return df.orderBy(F.col(prob).desc_nulls_last(), F.col(order).asc()).limit(n)
+    """The n riskiest rows; earliest record wins ties, missing probabilities (NULL or
+    NaN) last."""
+    present = F.nanvl(F.col(prob).cast("double"), F.lit(None).cast("double"))
+    return df.orderBy(present.desc_nulls_last(), F.col(order).asc()).limit(n)
 
 
 def preview(df: DataFrame, n: int = 25, order: str = "record") -> DataFrame:
@@ -148,10 +159,10 @@ def machine_vs_fleet(df: DataFrame, machine: str, threshold: float = 0.5, prob:
                      label: str = S.LABEL_COLUMN, order: str = "record") -> DataFrame:
     """Selected machine's first reading vs fleet average vs alert threshold (3 rows)."""
     lab = F.coalesce(F.col(label), F.lit("Unknown"))
-    first = df.filter(lab == F.lit(machine)).orderBy(order).limit(1).select(prob)
-    selected = F.coalesce(first.scalar(), F.lit(0.0))
-    fleet = F.coalesce(df.select(F.avg(prob)).scalar(), F.lit(0.0))
-    one = df.sparkSession.range(1)
+    # one scan: the smallest record's probability among the machine's rows, and the average
+    one = df.agg(F.min_by(prob, F.when(lab == F.lit(machine), F.col(order))).alias("_first"), F.avg(prob).alias("_mean"))
+    selected = F.coalesce("_first", F.lit(0.0))
+    fleet = F.coalesce("_mean", F.lit(0.0))
     return one.select(
         F.inline(
             F.array(

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskengine import schema as S
-from riskengine.functions.scalar import clip
 from riskengine.operators.indexing import exact_quantiles, quantile_lookup
 
 
@@ -20,41 +19,36 @@ def engineer(df: DataFrame) -> DataFrame:
     )
 
 
-def cap_outliers(df: DataFrame, cols: list[str] | None = None, lo: float = 0.01, hi: float = 0.99,
-                 method: str = "exact") -> DataFrame:
+def cap_outliers(df: DataFrame, cols: list[str] | None = None, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
     """Clip each column to its [lo, hi] quantiles (linear interpolation)."""
     cols = cols or S.FEATURE_COLUMNS
-    get = quantile_lookup(exact_quantiles(df, cols, [lo, hi], method=method))
+    get = quantile_lookup(exact_quantiles(df, cols, [lo, hi]))
     return df.withColumns({c: F.least(F.greatest(F.col(c), get(c, lo)), get(c, hi)) for c in cols})
 
 
-def one_hot(df: DataFrame, col: str, values: list[str] | None = None, max_values: int = 1000) -> DataFrame:
-    """E5: one 0/1 column per category. Categories are found with one distinct
-    query when not given; more than ``max_values`` is an error, not a truncation."""
-    if values is None:
-        found = [r[0] for r in df.select(col).distinct().orderBy(col).limit(max_values + 1).collect()]
-        if len(found) > max_values:
-            raise ValueError(f"{col} has more than {max_values} categories")
-        values = found
-    out = df
-    for v in values:
-        name = f"{col}_{v}" if v is not None else f"{col}_null"
-        cond = F.col(col).isNull() if v is None else (F.col(col) == F.lit(v))
-        out = out.withColumn(name, F.when(cond, 1).otherwise(0))
-    return out
+def one_hot(df: DataFrame, col: str, values: list) -> DataFrame:
+    """E5: one 0/1 column per given category (NULL is a category like any other)."""
+    named = {f"{col}_{v}" if v is not None else f"{col}_null": F.col(col).eqNullSafe(F.lit(v)).cast("int") for v in values}
+    return df.withColumns(named)
 
 
-def impute_median(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
+def one_hot_long(df: DataFrame, col: str, key: str = "record") -> DataFrame:
+    """E5 for any number of categories: (key, category, 1), the entries that are not 0."""
+    return df.select(key, F.concat(F.lit(f"{col}_"), F.coalesce(F.col(col).cast("string"), F.lit("null"))).alias("category"),
+                     F.lit(1).alias("value"))
+
+
+def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """NULL -> the column's median over the non-NULL values."""
     cols = cols or S.FEATURE_COLUMNS
-    get = quantile_lookup(exact_quantiles(df, cols, [0.5], method=method))
+    get = quantile_lookup(exact_quantiles(df, cols, [0.5]))
     return df.withColumns({c: F.coalesce(F.col(c), get(c, 0.5)) for c in cols})
 
 
-def medians(df: DataFrame, cols: list[str] | None = None, method: str = "exact") -> DataFrame:
+def medians(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """(feature, median)."""
     cols = cols or S.FEATURE_COLUMNS
-    return exact_quantiles(df, cols, [0.5], method=method).select(F.col("column").alias("feature"),
+    return exact_quantiles(df, cols, [0.5]).select(F.col("column").alias("feature"),
                                                                    F.col("value").alias("median"))
 
 
@@ -72,11 +66,3 @@ def scaling_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def dedup(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """Drop duplicate rows (map-side partial aggregation before the shuffle)."""
     return df.dropDuplicates(subset) if subset else df.dropDuplicates()
-
-
-def clip_features(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
-    """X3 over several columns."""
-    out = df
-    for c, (lo, hi) in bounds.items():
-        out = out.withColumn(c, clip(c, lo, hi))
-    return out

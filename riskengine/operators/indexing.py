@@ -10,9 +10,8 @@ None of these puts the whole table in one task:
   buckets and copy the last ``n - 1`` rows of each bucket into the next one
   ("halo"), so a row-frame window per bucket is exact and a hot machine is
   spread over many buckets.
-* ``exact_quantiles`` uses Spark's exact percentile only for columns whose
-  (estimated) distinct values are under a bound; beyond it, it ranks values
-  with ``with_record`` and picks the two neighbours of each quantile position.
+* ``exact_quantiles`` brackets every quantile by a sketch and counts exactly inside
+  the bracket.
 """
 
 from __future__ import annotations
@@ -92,12 +91,24 @@ def _halo(df: DataFrame, idx: str, width: int, bucket: int) -> DataFrame:
     )
 
 
+def _present(col: str) -> Column:
+    """The value as a double, NaN as NULL."""
+    return F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+
+
 def rolling_mean(df: DataFrame, col: str, n: int = 30, order: str = "record", out: str = "rolling_average",
                  bucket: int = 100_000) -> DataFrame:
-    """Mean of the last ``n`` rows (min_periods 1, NULLs skipped) over a dense index."""
-    u = _halo(df, order, n - 1, bucket)
-    w = Window.partitionBy("_b").orderBy(order).rowsBetween(-(n - 1), 0)
-    return u.withColumn(out, F.avg(col).over(w)).filter(~F.col("_halo")).drop("_b", "_halo")
+    """Mean of the last ``n`` rows (min_periods 1; NULL and NaN skipped) in the order of a
+    unique integer column. If that column has gaps, rows are numbered first (W1)."""
+    span = df.agg(F.count(order).alias("n"), F.min(order).alias("a"), F.max(order).alias("b")).first()
+    idx = order
+    if span["n"] and span["b"] - span["a"] + 1 != span["n"]:
+        idx = "_dense"
+        df = with_record(df, [order], out=idx)
+    u = _halo(df, idx, n - 1, bucket)
+    w = Window.partitionBy("_b").orderBy(idx).rowsBetween(-(n - 1), 0)
+    out_df = u.withColumn(out, F.avg(_present(col)).over(w)).filter(~F.col("_halo")).drop("_b", "_halo")
+    return out_df.drop(idx) if idx != order else out_df
 
 
 def rolling_mean_by(df: DataFrame, key: str, ts: str, col: str, n: int = 30, tiebreak: str = "record",
@@ -110,11 +121,11 @@ def rolling_mean_by(df: DataFrame, key: str, ts: str, col: str, n: int = 30, tie
     """
     if not skew_safe:
         w = Window.partitionBy(key).orderBy(ts, tiebreak).rowsBetween(-(n - 1), 0)
-        return df.withColumn(out, F.avg(col).over(w))
+        return df.withColumn(out, F.avg(_present(col)).over(w))
     idx = with_record(df, [key, ts, tiebreak], out="_gidx")
     u = _halo(idx, "_gidx", n - 1, bucket)
     w = Window.partitionBy("_b", key).orderBy("_gidx").rowsBetween(-(n - 1), 0)
-    return u.withColumn(out, F.avg(col).over(w)).filter(~F.col("_halo")).drop("_b", "_halo", "_gidx")
+    return u.withColumn(out, F.avg(_present(col)).over(w)).filter(~F.col("_halo")).drop("_b", "_halo", "_gidx")
 
 
 def lag_by(df: DataFrame, key: str, ts: str, col: str, tiebreak: str = "record", out: str = "previous",
@@ -128,87 +139,66 @@ def lag_by(df: DataFrame, key: str, ts: str, col: str, tiebreak: str = "record",
     return u.withColumn(out, F.lag(col).over(w)).filter(~F.col("_halo")).drop("_b", "_halo", "_gidx")
 
 
-DISTINCT_LIMIT = 1_000_000
+BRACKET_ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], method: str = "auto",
-                    accuracy: int = 10000, distinct_limit: int = DISTINCT_LIMIT) -> DataFrame:
-    """(column, q, value): linear-interpolated quantiles of non-NULL values.
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+    """(column, q, value): linear-interpolated quantiles of the present values (NULL and
+    NaN are missing). One plan for all sizes, in two scans:
 
-    * ``"rank"``: ranks all values with one range shuffle -- no task ever holds
-      more than one range of values, whatever the number of distinct values.
-    * ``"auto"`` (default): columns with at most ``distinct_limit`` distinct values
-      (bounded by the row count, else estimated by one HyperLogLog pass) use Spark's
-      exact ``percentile`` aggregate, whose value->count map is bounded by that
-      check; the rest use ``"rank"``.
-    * ``"approx"``: ``percentile_approx`` with ``accuracy``.
+    1. per column the number of values, and for every quantile a bracket that certainly
+       holds its two neighbours: the sketch's values at ``q`` less and plus twice its
+       guaranteed rank error (a few numbers, collected);
+    2. per bracket the number of values below it, and (value, count) of those inside: about
+       4 / ``accuracy`` of the rows, and a value that many rows share is one group.
     """
-    if method == "auto":
-        # rows bound the distinct values of every column: a count settles small inputs
-        if df.count() <= distinct_limit:
-            small = list(cols)
-        else:
-            est = df.agg(*[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}")
-                           for i, c in enumerate(cols)]).first()
-            small = [c for i, c in enumerate(cols) if est[f"d{i}"] * 1.2 <= distinct_limit]
-        big = [c for c in cols if c not in small]
-        parts = []
-        if small:
-            # one group per column: the final merges of the columns run in parallel tasks
-            stack = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in small)
-            long = df.selectExpr(f"stack({len(small)}, {stack}) as (column, value)")
-            per_col = long.groupBy("column").agg(F.percentile("value", [float(q) for q in qs]).alias("vals"))
-            qarr = F.array(*[F.lit(float(q)) for q in qs])
-            parts.append(per_col.select("column", F.posexplode(qarr).alias("_i", "q"), "vals")
-                         .select("column", "q", F.element_at("vals", F.col("_i") + 1).alias("value")))
-        if big:
-            parts.append(exact_quantiles(df, big, qs, method="rank"))
-        out = parts[0]
-        for p_ in parts[1:]:
-            out = out.unionByName(p_)
-        return out
-    if method == "approx":
-        parts = [
-            df.select(
-                F.lit(c).alias("column"),
-                F.percentile_approx(F.col(c), list(qs), accuracy).alias("_v"),
-            ).select("column", F.posexplode("_v").alias("_i", "value"))
-            .select("column", F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("_i") + 1).alias("q"), "value")
-            for c in cols
-        ]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    stack = ", ".join(f"'{c}', `{c}`" for c in cols)
-    long = df.selectExpr(f"stack({len(cols)}, {stack}) as (column, value)").filter(F.col("value").isNotNull())
-    # Equal values are interchangeable for the result, but a value held by a third of
-    # the rows must not land in one range partition: break ties by input position.
-    long = long.withColumn("_tie", F.monotonically_increasing_id())
-    ranked = with_record(long, ["column", "value", "_tie"], out="_rank").drop("_tie")
-    stats = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_start"))
-    pos = F.col("q") * (F.col("_n") - F.lit(1))
-    targets = (
-        stats.select("column", "_n", "_start", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"))
-        .withColumn("_lo", F.floor(pos).cast("long"))
-        .withColumn("_hi", F.ceil(pos).cast("long"))
-        .withColumn("_frac", pos - F.col("_lo"))
-    )
-    wanted = targets.select(
-        "column", "q", F.explode(F.array(F.col("_start") + F.col("_lo"), F.col("_start") + F.col("_hi"))).alias("_rank")
-    ).distinct()
-    # targets has (#columns x #quantiles) rows: a bounded broadcast.
-    picked = ranked.join(F.broadcast(wanted), ["column", "_rank"]).select("column", "q", "_rank", "value")
-    t = targets.select("column", "q", (F.col("_start") + F.col("_lo")).alias("_rlo"),
-                       (F.col("_start") + F.col("_hi")).alias("_rhi"), "_frac")
-    j = picked.join(F.broadcast(t), ["column", "q"])
-    agg = j.groupBy("column", "q", "_frac").agg(
-        F.max(F.when(F.col("_rank") == F.col("_rlo"), F.col("value"))).alias("_vlo"),
-        F.max(F.when(F.col("_rank") == F.col("_rhi"), F.col("value"))).alias("_vhi"),
-    )
-    return agg.select(
-        "column", "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("value")
-    )
+    none = F.lit(None).cast("double")
+    rows = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), none).alias(f"c{i}") for i, c in enumerate(cols)])
+    reach = 2.0 / accuracy
+    edges = [min(1.0, max(0.0, q + side)) for q in qs for side in (-reach, reach)]
+    first = rows.agg(*[e for i in range(len(cols)) for e in (
+        F.count(f"c{i}").alias(f"n{i}"), F.percentile_approx(f"c{i}", edges, accuracy).alias(f"e{i}"))]).first()
+    brackets = []   # (column, q, values, position, low, high)
+    for i, c in enumerate(cols):
+        for j, q in enumerate(qs):
+            n = first[f"n{i}"]
+            if n:
+                low, high = first[f"e{i}"][2 * j], first[f"e{i}"][2 * j + 1]
+                low = float("-inf") if q - reach <= 0 else low
+                high = float("inf") if q + reach >= 1 else high
+                brackets.append((i, c, float(q), q * (n - 1), low, high))
+    spark = df.sparkSession
+    kinds = "id int, column string, q double, position double"
+    wanted = spark.createDataFrame([(k, b[1], b[2], b[3]) for k, b in enumerate(brackets)], kinds)
+    if not brackets:
+        return spark.createDataFrame([(c, float(q), None) for c in cols for q in qs], "column string, q double, value double")
+    # Per bracket and row: NULL outside, the value inside, -infinity (a marker) below.
+    inside = F.array(*[F.struct(
+        F.lit(k).alias("id"), (F.col(f"c{i}") < F.lit(low)).alias("below"),
+        F.when(F.col(f"c{i}") >= F.lit(low), F.col(f"c{i}")).alias("value")) for k, (i, _, _, _, low, high) in enumerate(brackets)])
+    highs = F.array(*[F.lit(b[5]) for b in brackets])
+    long = rows.select(F.explode(F.filter(inside, lambda x: (~x["below"]) & (
+        x["value"] <= F.element_at(highs, x["id"] + 1)))).alias("x")).select("x.id", "x.value")
+    counted = long.groupBy("id", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Of few values the sketch's bracket can miss a neighbour by one rank: the values next to it.
+    around = rows.agg(F.array(*[F.struct(
+        F.count_if(F.col(f"c{i}") < F.lit(low)).alias("below"), F.max(F.when(F.col(f"c{i}") < F.lit(low), F.col(f"c{i}"))).alias("prev"),
+        F.min(F.when(F.col(f"c{i}") > F.lit(high), F.col(f"c{i}"))).alias("next"))
+        for i, _, _, _, low, high in brackets]).alias("a")).select(F.posexplode("a").alias("id", "a")).select("id", "a.*")
+    upto = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("n").over(upto)).join(around, "id").join(wanted, "id")
+    last = F.col("below") + F.col("upto") - 1            # ranks first..last (from 0) hold this value
+    start = last - F.col("n") + 1
+    low, high = F.floor("position"), F.ceil("position")
+    agg = ranked.groupBy("column", "q", "position", "below", "prev", "next").agg(
+        F.max(F.when(low.between(start, last), F.col("value"))).alias("lo"),
+        F.max(F.when(high.between(start, last), F.col("value"))).alias("hi"))
+    agg = agg.withColumn("lo", F.coalesce("lo", F.when(low < F.col("below"), F.col("prev")).otherwise(F.col("next"))))
+    agg = agg.withColumn("hi", F.coalesce("hi", F.when(high < F.col("below"), F.col("prev")).otherwise(F.col("next"))))
+    found = agg.select("column", "q", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
+        F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("position") - F.floor("position"))).alias("value"))
+    empty = [(c, float(q), None) for i, c in enumerate(cols) for q in qs if not first[f"n{i}"]]
+    return found.union(spark.createDataFrame(empty, "column string, q double, value double")) if empty else found
 
 
 def quantile_lookup(qs_df: DataFrame):
@@ -225,9 +215,11 @@ def quantile_lookup(qs_df: DataFrame):
     return get
 
 
-def quantile_col(qs_df: DataFrame, column: str, q: float) -> Column:
-    """One quantile from ``exact_quantiles`` as a lazy scalar subquery column."""
-    return quantile_lookup(qs_df)(column, q)
+def uniform_of(key: str, seed: int) -> Column:
+    """52 hash bits of a key and a seed (MD5) as a non-negative long: the same number in any
+    engine that has MD5."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
 def seeded_sample(df: DataFrame, n: int = 200, seed: int = 42, key: str = "record", min_rows: int = 10) -> DataFrame:
@@ -235,7 +227,7 @@ def seeded_sample(df: DataFrame, n: int = 200, seed: int = 42, key: str = "recor
     frame has at least ``min_rows`` rows. A top-k, so no full sort."""
     total = df.select(F.count(F.lit(1))).scalar()
     return (
-        df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+        df.withColumn("_h", uniform_of(key, seed))
         .orderBy("_h", key)
         .limit(n)
         .filter(total >= F.lit(min_rows))

@@ -36,15 +36,18 @@ def label_and_recommend(df: DataFrame, threshold: float = 0.5, prob: str = "risk
 
 
 def score(df: DataFrame, model, threshold: float = 0.5) -> DataFrame:
-    """M9: score a standard frame with a fitted PipelineModel (features -> probability)."""
+    """M9: ``df`` with risk_probability, predicted_risk and recommendation from a fitted
+    model (any transformer that adds a probability vector). Nothing else the model adds is
+    kept. Machines without a label column are numbered by position (P6)."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(df)
-    scored = scored.withColumn("risk_probability", vector_to_array("probability")[1])
-    drop = [c for c in ("features", "rawPrediction", "probability", "prediction", "features_raw", "features_imp") if c in scored.columns]
-    scored = scored.drop(*drop)
-    if S.LABEL_COLUMN not in scored.columns:
-        raise ValueError("score() needs machine_label; run standardize() first")
+    if S.LABEL_COLUMN not in df.columns:
+        from riskengine.operators.indexing import with_record
+
+        order = "record" if "record" in df.columns else "_place"
+        numbered = with_record(df if order == "record" else df.withColumn(order, F.monotonically_increasing_id()), [order], out="_n")
+        df = numbered.withColumn(S.LABEL_COLUMN, F.format_string(S.DEFAULT_LABEL_FORMAT, F.col("_n") + 1)).drop("_n", "_place")
+    scored = model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias("risk_probability"))
     return label_and_recommend(scored, threshold)
 
 
@@ -58,11 +61,7 @@ def predict_one(spark: SparkSession, model, values: dict[str, float], threshold:
 
 def quantile_label(df: DataFrame, col: str = "risk_probability", q: float = S.SYNTHETIC_QUANTILE,
                    out: str = "quantile_label") -> DataFrame:
-    """1 where ``col`` is above its exact q-quantile (linear interpolation), else 0.
-
-    The quantile is a lazy scalar subquery over the whole column (no driver trip,
-    no join); see ``operators.indexing.exact_quantiles`` for the skew-free variant.
-    """
+    """1 where ``col`` is above its exact q-quantile (linear interpolation), else 0."""
     from riskengine.operators.indexing import exact_quantiles
 
     from riskengine.operators.indexing import quantile_lookup

@@ -46,9 +46,10 @@ def _label_expr(df: DataFrame, label_col: str | None, order_by: str | None) -> t
     return indexed, F.format_string(S.DEFAULT_LABEL_FORMAT, F.col("_pos") + F.lit(1))
 
 
-def parse_column(df: DataFrame, name: str) -> Column:
+def parse_column(df: DataFrame, name: str, booleans: bool = False) -> Column:
     """P3 by source type: numbers cast directly (NaN -> NULL), booleans via 0/1,
-    text through the pandas-compatible parser."""
+    text through the pandas-compatible parser. With ``booleans`` (targets and flags), the
+    words true and false in a text column count as 1 and 0 too."""
     from pyspark.sql import types as T
 
     dtype = df.schema[name].dataType
@@ -57,6 +58,9 @@ def parse_column(df: DataFrame, name: str) -> Column:
         return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
     if isinstance(dtype, T.BooleanType):
         return c.cast("int").cast("double")
+    if booleans:
+        word = F.lower(F.trim(c.cast("string")))
+        return F.when(word == "true", 1.0).when(word == "false", 0.0).otherwise(to_number(c))
     return to_number(c)
 
 
@@ -95,11 +99,11 @@ def standardize(df: DataFrame, order_by: str | None = None, keep: list[str] | tu
     feats = _features(df, sources, machine_alias, streaming, bearing_all_missing)
     target_col = find_column(cols, S.TARGET_ALIASES)
     if target_col is not None:
-        target = to_int_target(F.col(f"`{target_col}`"))
+        target = to_int_target(parse_column(df, target_col, booleans=True))
     else:
         flags = [c for c in S.FAILURE_FLAGS if c in cols]
         if flags:
-            parts = [F.coalesce(to_number(F.col(c)), F.lit(0.0)) for c in flags]
+            parts = [F.coalesce(parse_column(df, c, booleans=True), F.lit(0.0)) for c in flags]
             m = parts[0] if len(parts) == 1 else F.greatest(*parts)
             target = m.try_cast("int")
         else:
@@ -120,7 +124,7 @@ def standardize_mapped(df: DataFrame, mapping: dict[str, str | None], target: st
     # The bearing derivation reads the alias-detected machine column, not the mapped one.
     machine_alias = find_column(cols, S.FEATURE_ALIASES["machine_temperature"])
     feats = _features(df, sources, machine_alias, streaming, bearing_all_missing)
-    tgt = to_int_target(F.col(f"`{target}`")) if (target and target in cols) else F.lit(0)
+    tgt = to_int_target(parse_column(df, target, booleans=True)) if (target and target in cols) else F.lit(0)
     return base.select(*[F.col(k) for k in keep], lab.alias(S.LABEL_COLUMN), *feats,
                        tgt.cast("int").alias(S.TARGET_COLUMN))
 
@@ -163,4 +167,4 @@ def high_risk(df: DataFrame, pred: str = "predicted_risk") -> DataFrame:
 
 def in_fleet(df: DataFrame, fleet: DataFrame, label: str = S.LABEL_COLUMN) -> DataFrame:
     """Rows whose machine appears in ``fleet`` (semi join, no duplicates)."""
-    return df.join(fleet.select(label).distinct(), label, "left_semi")
+    return df.join(fleet.select(label), label, "left_semi")

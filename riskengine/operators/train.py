@@ -8,6 +8,7 @@ class-weighted, not the class-1 F1 the application reports.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -57,51 +58,28 @@ def confusion(df: DataFrame, actual: str = S.TARGET_COLUMN, pred: str = PRED) ->
 
 
 def threshold_sweep(df: DataFrame, thresholds: list[float] | None = None, actual: str = S.TARGET_COLUMN,
-                    prob: str = "risk_probability", wide_limit: int = 32) -> DataFrame:
-    """Metrics at each threshold from one scan.
-
-    Up to ``wide_limit`` thresholds: two conditional counts per threshold in one
-    aggregate. Beyond: each row gets the number of thresholds at or below its score,
-    a per-class histogram of that index is built (at most 2 x (#thresholds + 1)
-    rows), and reverse cumulative sums over it give TP/FP at every threshold."""
-    thresholds = thresholds or [round(0.05 * i, 2) for i in range(1, 20)]
-    if len(thresholds) > wide_limit:
-        return _threshold_sweep_hist(df, sorted(set(float(t) for t in thresholds)), actual, prob)
-    a = F.col(actual).cast("int")
-    aggs = [F.count_if(a == 1).alias("pos"), F.count_if(a == 0).alias("neg")]
-    for i, t in enumerate(thresholds):
-        hit = F.col(prob) >= F.lit(float(t))
-        aggs += [F.count_if((a == 1) & hit).alias(f"tp{i}"), F.count_if((a == 0) & hit).alias(f"fp{i}")]
-    wide = df.agg(*aggs)
-    entries = ", ".join(f"CAST({float(t)!r} AS DOUBLE), tp{i}, fp{i}" for i, t in enumerate(thresholds))
-    long = wide.selectExpr("pos", "neg", f"stack({len(thresholds)}, {entries}) as (threshold, tp, fp)")
-    long = long.select("threshold", "tp", "fp", (F.col("pos") - F.col("tp")).alias("fn"),
-                       (F.col("neg") - F.col("fp")).alias("tn"))
-    return _ratios(long)
-
-
-def _threshold_sweep_hist(df: DataFrame, thresholds: list[float], actual: str, prob: str) -> DataFrame:
+                    prob: str = "risk_probability") -> DataFrame:
+    """Metrics at each given threshold (repeats and order are the caller's) from one
+    scan. Each row gets the number of thresholds at or below its score, a histogram of that
+    number is built, and reverse cumulative sums over it give the counts everywhere. A
+    missing score passes no threshold."""
     from pyspark.sql import Window
 
-    spark = df.sparkSession
-    thr = F.array(*[F.lit(t) for t in thresholds])
-    idx = F.size(F.filter(thr, lambda t: t <= F.col(prob)))       # p >= t_i  <=>  idx >= i + 1
+    given = [float(t) for t in thresholds or [round(0.05 * i, 2) for i in range(1, 20)]]
+    levels = sorted(set(given))
+    passed = F.size(F.filter(F.array(*[F.lit(t) for t in levels]), lambda t: t <= F.nanvl(F.col(prob), F.lit(None))))
     a = F.col(actual).cast("int")
-    # a NULL score passes no threshold (idx 0), as in the conditional-count form
-    hist = df.groupBy(F.coalesce(idx, F.lit(0)).alias("idx")).agg(
+    hist = df.groupBy(F.coalesce(passed, F.lit(0)).alias("idx")).agg(
         F.count_if(a == 1).alias("pos"), F.count_if(a == 0).alias("neg"))
-    totals = Window.partitionBy()
-    # one row per threshold, left-joined to the (small) histogram; both bounded by #thresholds
-    spine = spark.createDataFrame([(i + 1, t) for i, t in enumerate(thresholds)], "idx int, threshold double")
+    spine = df.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(levels)], "idx int, threshold double")
     at_or_above = Window.orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    full = spine.join(F.broadcast(hist), "idx", "full_outer").fillna(0, ["pos", "neg"])
-    cum = full.select(
-        "idx", "threshold",
-        F.sum("pos").over(at_or_above).alias("tp"), F.sum("neg").over(at_or_above).alias("fp"),
-        F.sum("pos").over(totals).alias("_p"), F.sum("neg").over(totals).alias("_n"),
-    ).filter(F.col("threshold").isNotNull())
-    out = cum.select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"),
-                     (F.col("_n") - F.col("fp")).alias("tn"))
+    full = spine.join(hist, "idx", "full_outer").fillna(0, ["pos", "neg"])   # a row per threshold, and idx 0
+    every = Window.partitionBy()
+    cum = full.select("threshold", F.sum("pos").over(at_or_above).alias("tp"), F.sum("neg").over(at_or_above).alias("fp"),
+                      F.sum("pos").over(every).alias("_p"), F.sum("neg").over(every).alias("_n"))
+    rows = df.sparkSession.createDataFrame([(t,) for t in given], "threshold double")
+    out = rows.join(cum, "threshold").select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"),
+                                             (F.col("_n") - F.col("fp")).alias("tn"))
     return _ratios(out)
 
 
@@ -127,31 +105,15 @@ class TrainResult:
     feature_columns: list = field(default_factory=lambda: list(S.FEATURE_COLUMNS))
 
 
-def _memory_mb(conf_value: str | None, default_mb: int = 1024) -> int:
-    if not conf_value:
-        return default_mb
-    v = conf_value.strip().lower()
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    try:
-        if v[-1] in units:
-            return int(float(v[:-1]) * units[v[-1]])
-        return int(int(v) / (1024 * 1024))
-    except ValueError:
-        return default_mb
-
-
-def forest_memory_mb(spark) -> int:
-    """Node-statistics memory for a forest fit: 1/8 of the executor heap (the driver's
-    in local mode), between MLlib's default 256 MB and 1 GB."""
-    conf = spark.sparkContext.getConf() if hasattr(spark, "sparkContext") else None
-    local = conf is not None and conf.get("spark.master", "").startswith("local")
-    key = "spark.driver.memory" if local else "spark.executor.memory"
-    mb = _memory_mb(conf.get(key, None) if conf is not None else None)
-    return max(256, min(1024, mb // 8))
+# Memory for a forest fit's node statistics. Nodes are split in groups that fit it and the
+# random feature draws follow the groups, so a fixed value keeps fits equal everywhere.
+FOREST_MEMORY_MB = 512
+# MLlib's largest depth; the reference's forests grow without a limit.
+MAX_DEPTH = 30
 
 
 def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: int, num_trees: int, max_depth: int,
-              forest_mb: int = 256):
+              forest_mb: int = FOREST_MEMORY_MB):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -175,36 +137,28 @@ def _pipeline(kind: str, n_train: int, med: dict, mean: dict, std: dict, seed: i
     return Pipeline(stages=[prep, asm, clf])
 
 
-def prep_stats(train: DataFrame, n: int) -> tuple[dict, dict, dict]:
-    """M3/M4 statistics in one aggregate: per feature the median of present values
-    (imputer), then mean and population std of the imputed column (scaler), derived
-    from the present-value count, mean and variance -- no second pass over imputed data.
-    The exact median uses Spark's percentile when the row count (an upper bound of
-    the distinct values) is under the bound, else the distributed rank-select."""
+def prep_stats(train: DataFrame) -> tuple[int, dict, dict, dict]:
+    """M3/M4: the row count and, per feature, the median of present values (imputer), then
+    mean and population std of the imputed column (scaler), derived from the present
+    values' count, mean and variance -- no pass over imputed data."""
     import math
 
-    from riskengine.operators.indexing import DISTINCT_LIMIT
     from riskengine.operators.features import medians
 
     cols = S.FEATURE_COLUMNS
-    small = n <= DISTINCT_LIMIT
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"m{i}"), F.var_pop(c).alias(f"v{i}")]
-        if small:
-            aggs.append(F.percentile(F.col(c), 0.5).alias(f"p{i}"))
-    row = train.agg(*aggs).first()
-    if small:
-        med = {c: row[f"p{i}"] for i, c in enumerate(cols)}
-    else:
-        med = {r["feature"]: r["median"] for r in medians(train, cols, method="rank").collect()}
+    none = F.lit(None).cast("double")
+    x = {c: F.nanvl(F.col(c).cast("double"), none) for c in cols}
+    row = train.agg(F.count(F.lit(1)).alias("n"), *[e for i, c in enumerate(cols) for e in (
+        F.count(x[c]).alias(f"n{i}"), F.avg(x[c]).alias(f"m{i}"), F.var_pop(x[c]).alias(f"v{i}"))]).first()
+    n = row["n"]
+    med = {r["feature"]: r["median"] for r in medians(train, cols).collect()}
     mean, std = {}, {}
     for i, c in enumerate(cols):
         nn, m, v = row[f"n{i}"], row[f"m{i}"], row[f"v{i}"]
         md = med.get(c)
         if md is None:
             md = med[c] = S.FEATURE_DEFAULTS[c]
-        if nn == n:
+        if nn == n and n:
             mu, var = m, v
         elif nn == 0:
             mu, var = md, 0.0
@@ -214,53 +168,87 @@ def prep_stats(train: DataFrame, n: int) -> tuple[dict, dict, dict]:
         mean[c] = float(mu)
         sd = math.sqrt(max(var, 0.0))
         std[c] = sd if sd > 0 else 1.0
-    return med, mean, std
+    return n, med, mean, std
 
 
-def _fit(kind, train: DataFrame, seed: int, num_trees: int, max_depth: int):
+def _fit(kind, train: DataFrame, stats, seed: int, num_trees: int, max_depth: int):
     from riskengine.operators.split import with_weights
 
-    train = train.persist()  # read by the count, the statistics, the weights and the fit
-    n = train.count()
-    med, mean, std = prep_stats(train, n)
-    pipe = _pipeline(kind, n, med, mean, std, seed, num_trees, max_depth, forest_memory_mb(train.sparkSession))
-    model = pipe.fit(with_weights(train))
-    train.unpersist()
-    model._riskengine_prep = (med, mean, std)
-    return model
+    n, med, mean, std = stats
+    return _pipeline(kind, n, med, mean, std, seed, num_trees, max_depth).fit(with_weights(train))
 
 
-def fit_candidate(kind: str, train: DataFrame, seed: int = 42, num_trees: int = 220, max_depth: int = 15):
+def fit_candidate(kind: str, train: DataFrame, seed: int = 42, num_trees: int = 220, max_depth: int = MAX_DEPTH):
     """Fit one candidate ('lr' or 'rf') with its imputer/scaler on ``train``."""
     from riskengine.session import checkpoint_dir
 
     checkpoint_dir(train.sparkSession)
-    return _fit(kind, train, seed, num_trees, max_depth)
+    train = train.persist()          # read by the statistics, the weights and the fit
+    model = _fit(kind, train, prep_stats(train), seed, num_trees, max_depth)
+    train.unpersist()
+    return model
+
+
+_PREP = re.compile(r"coalesce\(`(\w+)`, CAST\((\S+) AS DOUBLE\)\) - CAST\((\S+) AS DOUBLE\)\) / CAST\((\S+) AS DOUBLE\)")
+
+
+def prep_parts(model) -> tuple[dict, dict, dict]:
+    """(median, mean, std) by feature of a fitted or loaded pipeline, read from its first
+    stage (which is saved with it)."""
+    found = {c: (float(m), float(u), float(s)) for c, m, u, s in _PREP.findall(model.stages[0].getStatement())}
+    return tuple({c: found[c][k] for c in S.FEATURE_COLUMNS} for k in range(3))
 
 
 def linear_parts(model):
-    """(coef, intercept, median, mean, std) of a fitted logistic-regression pipeline, by feature."""
-    med, mean, std = model._riskengine_prep
+    """(coef, intercept, median, mean, std) of a logistic-regression pipeline, by feature."""
     lr = model.stages[-1]
     coef = dict(zip(S.FEATURE_COLUMNS, [float(v) for v in lr.coefficients.toArray()]))
-    return coef, float(lr.intercept), med, mean, std
+    return coef, float(lr.intercept), *prep_parts(model)
+
+
+class LinearModel:
+    """A logistic model given by its numbers: the same transformer as a fitted pipeline."""
+
+    def __init__(self, coef: dict, intercept: float, median: dict | None = None, mean: dict | None = None,
+                 std: dict | None = None):
+        self.coef, self.intercept = coef, intercept
+        self.median = median or dict(S.FEATURE_DEFAULTS)
+        self.mean = mean or {c: 0.0 for c in coef}
+        self.std = std or {c: 1.0 for c in coef}
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        logit = F.lit(float(self.intercept))
+        for c, w in self.coef.items():
+            x = F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(self.median[c])))
+            logit = logit + F.lit(float(w)) * ((x - F.lit(float(self.mean[c]))) / F.lit(float(self.std[c])))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p, p)))
 
 
 def predict(model, df: DataFrame, threshold: float = 0.5) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    out = model.transform(df).withColumn("risk_probability", vector_to_array("probability")[1])
-    out = out.withColumn(PRED, (F.col("risk_probability") >= F.lit(threshold)).cast("int"))
-    helper = [c for c in out.columns if c.endswith("__z")] + ["features", "rawPrediction", "probability", "prediction"]
-    return out.drop(*[c for c in helper if c in out.columns])
+    out = model.transform(df).select(*df.columns, vector_to_array("probability")[1].alias("risk_probability"))
+    return out.withColumn(PRED, (F.col("risk_probability") >= F.lit(threshold)).cast("int"))
+
+
+def check_binary(df: DataFrame, label: str = S.TARGET_COLUMN) -> None:
+    """Training needs the classes 0 and 1, both, and nothing else."""
+    y = F.col(label).cast("double")
+    r = df.agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"), F.count(F.lit(1)).alias("n")).first()
+    if not r["pos"] or not r["neg"] or r["pos"] + r["neg"] != r["n"]:
+        raise ValueError("training needs a target column that holds both 0 and 1 and nothing else")
 
 
 def cv_scores(df: DataFrame, kinds: tuple[str, ...] | str = ("lr", "rf"), k: int = 5, seed: int = 42,
-              num_trees: int = 220, max_depth: int = 15, parallelism: int = 8) -> DataFrame:
+              num_trees: int = 220, max_depth: int = MAX_DEPTH, parallelism: int = 4) -> DataFrame:
     """Class-1 F1 of every (candidate, fold) as (model, fold, f1).
 
-    All candidate x fold fits are submitted as concurrent Spark jobs
-    (``parallelism`` at a time); each fit is itself distributed."""
+    The folded frame is cached once; a fold's statistics are computed once for all
+    candidates. Candidate x fold fits run as concurrent Spark jobs (``parallelism`` at a
+    time), each distributed, over filters of the cached frame."""
     from concurrent.futures import ThreadPoolExecutor
 
     from riskengine.operators.split import stratified_folds
@@ -269,13 +257,13 @@ def cv_scores(df: DataFrame, kinds: tuple[str, ...] | str = ("lr", "rf"), k: int
     kinds = (kinds,) if isinstance(kinds, str) else tuple(kinds)
     checkpoint_dir(df.sparkSession)
     folded = stratified_folds(df, k=k, seed=seed).persist()
+    stats = [prep_stats(folded.filter(F.col("fold") != f)) for f in range(k)]
 
     def one(task):
         kind, f = task
-        tr = folded.filter(F.col("fold") != f).drop("fold")
-        te = folded.filter(F.col("fold") == f).drop("fold")
-        m = _fit(kind, tr, seed, num_trees, max_depth)
-        return (kind, f, float(classification_metrics(predict(m, te)).select("f1").first()[0]))
+        m = _fit(kind, folded.filter(F.col("fold") != f).drop("fold"), stats[f], seed, num_trees, max_depth)
+        held = folded.filter(F.col("fold") == f).drop("fold")
+        return (kind, f, float(classification_metrics(predict(m, held)).select("f1").first()[0]))
 
     tasks = [(kind, f) for kind in kinds for f in range(k)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
@@ -284,30 +272,29 @@ def cv_scores(df: DataFrame, kinds: tuple[str, ...] | str = ("lr", "rf"), k: int
     return df.sparkSession.createDataFrame(rows, "model string, fold int, f1 double")
 
 
+def choose(scores: DataFrame, candidates: tuple[str, ...]) -> DataFrame:
+    """M7's choice: (model, cv_f1) of the highest mean F1; the first candidate keeps ties."""
+    rank = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("model"))
+    return scores.groupBy("model").agg(F.avg("f1").alias("cv_f1")).orderBy(F.desc("cv_f1"), rank).limit(1)
+
+
 def train_and_select(df: DataFrame, candidates: tuple[str, ...] = ("lr", "rf"), k: int = 5, seed: int = 42,
-                     num_trees: int = 220, max_depth: int = 15, key: str = "record",
-                     parallelism: int = 8) -> TrainResult:
+                     num_trees: int = 220, max_depth: int = MAX_DEPTH, key: str = "record",
+                     parallelism: int = 4) -> TrainResult:
     """M7/M8: stratified 80/20 split, k-fold CV F1 per candidate (the first candidate
     wins ties), refit of the best on the training part, test metrics incl. cv_f1."""
     from riskengine.operators.split import stratified_split
 
-    n_pos = df.filter(F.col(S.TARGET_COLUMN) == 1).limit(1).count()
-    n_neg = df.filter(F.col(S.TARGET_COLUMN) != 1).limit(1).count()
-    if n_pos == 0 or n_neg == 0:
-        raise ValueError("training needs both classes in the target column")
+    check_binary(df)
     train, test = stratified_split(df, key=key, seed=seed)
     train = train.persist()
-    means = {r["model"]: float(r["f1"]) for r in
-             cv_scores(train, candidates, k, seed, num_trees, max_depth, parallelism)
-             .groupBy("model").agg(F.avg("f1").alias("f1")).collect()}
-    best, best_cv = None, -1.0
-    for kind in candidates:          # strictly greater wins: the first candidate keeps ties
-        if means[kind] > best_cv:
-            best, best_cv = kind, means[kind]
-    model = _fit(best, train, seed, num_trees, max_depth)
+    scores = cv_scores(train, candidates, k, seed, num_trees, max_depth, parallelism)
+    means = {r["model"]: float(r["f1"]) for r in scores.groupBy("model").agg(F.avg("f1").alias("f1")).collect()}
+    best = choose(scores, candidates).first()["model"]
+    model = _fit(best, train, prep_stats(train), seed, num_trees, max_depth)
     m = classification_metrics(predict(model, test)).first()
     metrics = {"accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"], "f1": m["f1"],
-               "cv_f1": best_cv}
+               "cv_f1": means[best]}
     train.unpersist()
     names = {"lr": "Logistic Regression", "rf": "Random Forest"}
     return TrainResult(model=model, model_name=names.get(best, best), metrics=metrics, cv_scores=means)

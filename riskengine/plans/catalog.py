@@ -141,6 +141,19 @@ def q_risk_histogram(spark, d):
     return G.histogram(FX.fleet_scored(spark, d), nbins=30)
 
 
+@register(
+    "score_histogram",
+    O.with_ctes("cnt AS (SELECT CAST(floor(risk_score / 2.0) AS INTEGER) AS bin, count(*) AS c FROM scored GROUP BY 1)")
+    + "SELECT coalesce(b.range, cnt.bin) AS bin, coalesce(b.range, cnt.bin) * 2.0 AS bin_start, "
+    "(coalesce(b.range, cnt.bin) + 1) * 2.0 AS bin_end, CAST(coalesce(c, 0) AS BIGINT) AS count "
+    "FROM range(0, 5) b FULL JOIN cnt ON b.range = cnt.bin",
+    doubles=("bin_start", "bin_end"),
+)
+def q_score_histogram(spark, d):
+    """G5 where most values lie outside [lo, hi]: all of them are counted."""
+    return G.histogram(FX.fleet_scored(spark, d), "risk_score", lo=0.0, hi=10.0, width=2.0)
+
+
 def _corr_sql() -> str:
     cols = FEATS + ["risk_probability"]
     aggs, names = [], {}
@@ -434,7 +447,44 @@ def q_machine_vs_fleet(spark, d):
     return G.machine_vs_fleet(FX.fleet_scored(spark, d), "MCH-0007", 0.5)
 
 
+@register(
+    "rolling_with_gaps",
+    O.with_ctes("kept AS (SELECT record, CASE WHEN record % 5 <> 0 THEN risk_probability END AS p FROM scored WHERE record % 3 <> 0)")
+    + "SELECT record, avg(p) OVER (ORDER BY record ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS rolling_average FROM kept",
+    doubles=("rolling_average",),
+)
+def q_rolling_with_gaps(spark, d):
+    """W2 over an index with gaps and NaN scores."""
+    s = FX.fleet_scored(spark, d).where("record % 3 <> 0").select(
+        "record", F.when(F.col("record") % 5 != 0, F.col("risk_probability")).otherwise(F.lit(float("nan"))).alias("p"))
+    return W.rolling_mean(s, "p", 30, bucket=2048).select("record", "rolling_average")
+
+
+@register(
+    "top_risk_missing",
+    O.with_ctes() + "SELECT record, machine_label FROM scored WHERE record % 4 <> 0 "
+    "ORDER BY risk_probability DESC, record LIMIT 10",
+)
+def q_top_risk_missing(spark, d):
+    """T1 with NaN scores, which rank last."""
+    s = FX.fleet_scored(spark, d)
+    p = F.when(F.col("record") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("risk_probability"))
+    return G.top_risk(s.withColumn("risk_probability", p)).select("record", "machine_label")
+
+
 # ----------------------------------------------------------------- scalar functions
+@register(
+    "percent_ties",
+    O.with_ctes() + "SELECT record, printf('%.1f%%', CAST(record AS DOUBLE) / 1600.0 * 100.0) AS sixteenths, "
+    "printf('%.1f%%', CAST(record % 2000 AS DOUBLE) / 2000.0 * 100.0) AS halves FROM fleet",
+)
+def q_percent_ties(spark, d):
+    """X10 on exact binary halves and on decimal halves that are none in binary."""
+    rec = F.col("record").cast("double")
+    return FX.fleet(spark, d).select("record", percent_text(rec / F.lit(1600.0)).alias("sixteenths"),
+                                     percent_text((F.col("record") % 2000).cast("double") / F.lit(2000.0)).alias("halves"))
+
+
 @register(
     "scalar_functions",
     O.with_ctes()
@@ -616,6 +666,40 @@ def q_failure_flags(spark, d):
     return P.standardize(FX.fleet_flags(spark, d), keep=["record"]).select("record", "machine_label", "downtime_risk")
 
 
+@register(
+    "boolean_targets",
+    O.with_ctes(actual=True) + "SELECT record, downtime_risk AS typed, downtime_risk AS words, "
+    "CAST(downtime_risk = 1 AND record % 2 = 0 AS INTEGER) AS flags FROM actual",
+)
+def q_boolean_targets(spark, d):
+    """A boolean target, the words True and False, and boolean failure flags."""
+    a = FX.fleet_actual(spark, d).withColumn("failed", F.col("downtime_risk") == 1).drop("downtime_risk")
+    typed = P.standardize(a.withColumnRenamed("failed", "machine failure"), keep=["record"])
+    words = P.standardize(a.withColumn("target", F.initcap(F.col("failed").cast("string"))).drop("failed"), keep=["record"])
+    flags = P.standardize(a.withColumn("HDF", F.col("failed") & (F.col("record") % 2 == 0)).drop("failed"), keep=["record"])
+    out = typed.select("record", F.col("downtime_risk").alias("typed"))
+    out = out.join(words.select("record", F.col("downtime_risk").alias("words")), "record")
+    return out.join(flags.select("record", F.col("downtime_risk").alias("flags")), "record")
+
+
+@register("guessed_mapping", O.with_ctes() + f"SELECT record, machine_label, {FEAT_LIST}, 0 AS downtime_risk FROM fleet",
+          doubles=STD_DOUBLES)
+def q_guessed_mapping(spark, d):
+    """Columns that contain a feature's name, mapped by guess, on a checked input."""
+    f = FX.fleet(spark, d)
+    named = P.validate(f.select("record", F.col("machine_label").alias("Machine"),
+                                *[F.col(c).alias(f"avg {c.replace('_', ' ')} (24h)") for c in FEATS]))
+    return P.standardize_mapped(named, P.guess_mapping(named.columns), label="Machine", keep=["record"])
+
+
+@register("positional_labels",
+          O.with_ctes() + "SELECT record, printf('MCH-%04d', record + 1) AS machine_label FROM fleet")
+def q_positional_labels(spark, d):
+    """Machines without a label column are numbered by position."""
+    f = FX.fleet(spark, d).select("record", *FEATS)
+    return P.standardize(f, order_by="record", keep=["record"]).select("record", "machine_label")
+
+
 @register(
     "dedup",
     O.with_ctes(actual=True)
@@ -716,7 +800,13 @@ ONE_HOT_VALUES = ["click", "error", "purchase", "signup", "view"]
 )
 def q_one_hot(spark, d):
     f = FX.fleet(spark, d)
-    return E.one_hot(f, "dataset").select("record", *[f"dataset_{v}" for v in ONE_HOT_VALUES])
+    return E.one_hot(f, "dataset", ONE_HOT_VALUES).select("record", *[f"dataset_{v}" for v in ONE_HOT_VALUES])
+
+
+@register("one_hot_long", O.with_ctes() + "SELECT record, 'machine_label_' || machine_label AS category, 1 AS value FROM fleet")
+def q_one_hot_long(spark, d):
+    """E5 in long form: one entry per row, whatever the number of categories."""
+    return E.one_hot_long(FX.fleet(spark, d), "machine_label")
 
 
 def _messy_parsed_sql() -> str:
@@ -770,12 +860,12 @@ def q_linear_contributions(spark, d):
 @register(
     "fleet_contributions",
     O.with_ctes(f"lc AS ({_contrib_long_sql()})")
-    + "SELECT feature, CAST(avg(CAST(abs(contribution) AS DECIMAL(38, 18))) AS DOUBLE) AS mean_abs_contribution "
-    "FROM lc GROUP BY feature",
-    doubles=("mean_abs_contribution",),
+    + "SELECT feature, round_even(avg(abs(contribution)) * 1e4, 0) / 1e4 AS mean_abs_contribution FROM lc GROUP BY feature",
 )
 def q_fleet_contributions(spark, d):
-    return X.fleet_contributions(X.linear_contributions(FX.fleet(spark, d), _COEF, _INTERCEPT))
+    # sums of doubles differ in their last bits with the order of rows: four decimals
+    means = X.fleet_contributions(X.linear_contributions(FX.fleet(spark, d), _COEF, _INTERCEPT))
+    return means.withColumn("mean_abs_contribution", np_round("mean_abs_contribution", 4))
 
 
 # ----------------------------------------------------------------- run store
@@ -783,7 +873,7 @@ _RUNS = (
     "preds AS (SELECT s.record AS id, printf('run-%d', s.user_id % 7) AS run_id, s.machine_label, "
     "s.predicted_risk, s.risk_probability, s.recommendation, " + ", ".join(f"s.{c}" for c in FEATS)
     + ", CAST(s.ts AS TIMESTAMP) AS created_at FROM scored s)",
-    "runs AS (SELECT run_id, 'fleet-' || run_id AS source_name, CAST(count(*) AS INTEGER) AS record_count, "
+    "runs AS (SELECT run_id, 'fleet-' || run_id AS source_name, count(*) AS record_count, "
     "coalesce(avg(risk_probability), 0.0) AS average_risk FROM preds WHERE run_id <> 'run-6' GROUP BY run_id)",
 )
 
@@ -871,6 +961,70 @@ def q_csv_roundtrip(spark, d):
 
 
 
+def _messy_lines(f):
+    """The fleet as text lines: ';' between fields, a comment with separators and quotes,
+    every seventh line cut short and, after the lines the header is sniffed from, every
+    eleventh with fields too many."""
+    comment = F.concat(F.lit('"hot; loud, ""'), F.col("dataset"), F.lit('"" no '), F.col("record").cast("string"), F.lit('"'))
+    fields = [F.col("record").cast("string"), F.col("machine_label"), comment,
+              *[F.col(c).cast("string") for c in FEATS[:3]]]
+    line = F.concat_ws(";", *fields)
+    short = F.concat_ws(";", *fields[:4])
+    return f.select("record", F.when(
+        (F.col("record") % 11 == 0) & (F.col("record") >= 600), F.concat(line, F.lit(";9;9"))).when(
+        F.col("record") % 7 == 0, short).otherwise(line).alias("line"))
+
+
+@register(
+    "csv_messy",
+    O.with_ctes() + "SELECT record, machine_label, 'hot; loud, \"' || dataset || '\" no ' || record AS comment, "
+    f"machine_temperature, CASE WHEN record % 7 <> 0 THEN vibration_level ELSE {S.FEATURE_DEFAULTS['vibration_level']!r} END "
+    "AS vibration_level "
+    "FROM fleet WHERE record % 11 <> 0 OR record < 600 UNION ALL "
+    f"SELECT NULL, 'exported by plant;A', NULL, {S.FEATURE_DEFAULTS['machine_temperature']!r}, {S.FEATURE_DEFAULTS['vibration_level']!r}",
+    doubles=("machine_temperature", "vibration_level"),
+)
+def q_csv_messy(spark, d):
+    """A preamble, ';', quoted separators and quotes, short and long rows, a data row
+    equal to a preamble line, in several files that each have their own preamble."""
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+    from riskengine.sources.ingest import read_flexible_csv
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-csv-{uuid.uuid4().hex}"
+    head = ["exported by plant", "site notes", "record;machine id;comment;machine temperature;bearing temperature;vibration"]
+    rows = _messy_lines(FX.fleet(spark, d)).withColumn("part", F.col("record") % 3)
+    lines = spark.createDataFrame([(p, -9 + i, h) for p in range(3) for i, h in enumerate(head)] + [
+        (1, 10 ** 15, "exported by plant")], "part long, record long, line string")
+    ordered = rows.select("part", "record", "line").unionByName(lines)
+    ordered.repartition(3, "part").sortWithinPartitions("part", "record").select("line", "part").write.partitionBy("part").text(path)
+    raw = read_flexible_csv(spark, path)
+    std = P.standardize(raw, keep=["record", "comment"])
+    extra = F.when(F.col("record") == "exported by plant", F.lit("exported by plant;A"))
+    return std.select(F.col("record").try_cast("long").alias("record"), F.coalesce(extra, "machine_label").alias("machine_label"),
+                      "comment", "machine_temperature", "vibration_level")
+
+
+@register(
+    "csv_many",
+    O.with_ctes() + f"SELECT 'first' AS dataset, record, printf('MCH-%04d', record + 1) AS machine_label, {FEAT_LIST}, "
+    f"0 AS downtime_risk FROM fleet UNION ALL SELECT 'second', record, printf('MCH-%04d', record + 1), {FEAT_LIST}, 0 FROM fleet",
+    doubles=STD_DOUBLES,
+)
+def q_csv_many(spark, d):
+    """Two files read through ``read_many``, machines numbered by position."""
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+    from riskengine.sources.ingest import read_many
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-csv-{uuid.uuid4().hex}"
+    for name in ("first", "second"):
+        ST.write_csv(FX.fleet(spark, d).coalesce(1).sortWithinPartitions("record"), f"{base}/{name}", list(FEATS))
+    return read_many(spark, {n: f"{base}/{n}" for n in ("first", "second")})
+
+
 # ----------------------------------------------------------------- streams
 def _run_stream(spark, sdf) -> DataFrame:
     """Run a streaming query over everything available into a Parquet file sink in
@@ -890,6 +1044,21 @@ def _run_stream(spark, sdf) -> DataFrame:
     return spark.read.schema(sdf.schema).parquet(f"{base}/out")
 
 
+def _run_updates(spark, sdf, keys: list[str]) -> DataFrame:
+    """Run an aggregated stream over everything available and return each key's last state."""
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+    from riskengine.streaming.stream import latest, upsert_stream
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-stream-{uuid.uuid4().hex}"
+    q = upsert_stream(sdf, f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return latest(spark, f"{base}/out", keys, sdf.schema)
+
+
 @register(
     "stream_scores",
     O.with_ctes() + "SELECT record, machine_label, risk_probability, predicted_risk, recommendation FROM scored",
@@ -907,41 +1076,33 @@ def q_stream_scores(spark, d):
 
 @register("stream_crossings", REGISTRY["threshold_crossings"].sql, doubles=("risk_probability",))
 def q_stream_crossings(spark, d):
-    """R2 (stream): per-machine threshold state with applyInPandasWithState; equals the batch form."""
+    """R2 (stream): event-time slices per machine, stitched; equals the batch form."""
     from riskengine.operators.score import label_and_recommend, linear_score
-    from riskengine.streaming.stream import crossings_stream
+    from riskengine.streaming.stream import crossing_slices, stitch_crossings
 
     sdf = FX.fleet_from_events(FX.events_stream(spark, d))
     scored = label_and_recommend(linear_score(sdf, offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE))
-    out = _run_stream(spark, crossings_stream(scored, 0.5, delay="1 day"))
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    slices = _run_updates(spark, crossing_slices(scored, width="1 day", delay="1 day"), ["machine", "slice"])
+    return stitch_crossings(slices, 0.5).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@register(
-    "stream_hourly_kpis",
-    O.with_ctes() + "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR "
-    f"AS window_end, {KPI_SQL} FROM scored GROUP BY 1, 2 "
-    "HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM scored)",
-    doubles=("avg_risk",),
-)
+@register("stream_hourly_kpis", REGISTRY["hourly_kpis"].sql, doubles=("avg_risk",))
 def q_stream_hourly_kpis(spark, d):
-    """Fleet KPIs per event-time hour from the stream; a window is emitted once the
-    watermark (latest event time, no extra delay) has passed its end."""
+    """Fleet KPIs per event-time hour from the stream, the newest hour included."""
     from riskengine.operators.score import label_and_recommend, linear_score
     from riskengine.streaming.stream import kpi_stream
 
     sdf = FX.fleet_from_events(FX.events_stream(spark, d))
     scored = label_and_recommend(linear_score(sdf, offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE))
-    out = _run_stream(spark, kpi_stream(scored, width="1 hour", delay="0 seconds"))
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn(
-        "window_end", F.col("window_end").cast("timestamp_ntz"))
+    out = _run_updates(spark, kpi_stream(scored, width="1 hour"), ["window_start", "window_end"])
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 @register(
     "stream_run_log",
     O.with_ctes() + "SELECT 'fleet-stream-0' AS run_id, 'fleet-stream' AS source_name, "
-    "CAST(count(*) AS INTEGER) AS record_count, coalesce(avg(risk_probability), 0.0) AS average_risk, "
-    "CAST(coalesce(sum(predicted_risk), 0) AS INTEGER) AS high_risk_count, "
+    "count(*) AS record_count, coalesce(avg(risk_probability), 0.0) AS average_risk, "
+    "CAST(coalesce(sum(predicted_risk), 0) AS BIGINT) AS high_risk_count, "
     "CAST(count(*) AS BIGINT) AS stored_predictions FROM scored",
     doubles=("average_risk",),
 )
@@ -962,3 +1123,94 @@ def q_stream_run_log(spark, d):
     stored = ST.committed(preds, runs).groupBy("run_id").agg(F.count(F.lit(1)).alias("stored_predictions"))
     return runs.select("run_id", "source_name", "record_count", "average_risk", "high_risk_count").join(
         stored, "run_id", "left")
+
+
+# ----------------------------------------------------------------- run store round trips
+def _new_store(spark) -> str:
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/riskengine-store-{uuid.uuid4().hex}"
+
+
+@register(
+    "store_roundtrip",
+    O.with_ctes("halves AS (SELECT *, CASE WHEN record % 2 = 0 THEN '1' ELSE '2' END AS run_id FROM scored)")
+    + "SELECT run_id, 'half' AS source_name, count(*) AS record_count, avg(risk_probability) AS average_risk, "
+    "CAST(sum(predicted_risk) AS BIGINT) AS high_risk_count, count(*) AS stored, count(*) AS distinct_ids, 1 AS times "
+    "FROM halves GROUP BY run_id", doubles=("average_risk",),
+)
+def q_store_roundtrip(spark, d):
+    """Two runs with integer ids, the first saved twice: one row per run, one
+    timestamp, ids unique over the store."""
+    root, s = _new_store(spark), FX.fleet_scored(spark, d)
+    first = ST.save_batch(s.where("record % 2 = 0"), root, "half", mode="integer")
+    ST.save_batch(s.where("record % 2 = 1"), root, "half", mode="integer")
+    ST.save_batch(s.where("record % 2 = 0"), root, "half", run_id=first)
+    runs, preds = ST.load(spark, root)
+    unique = preds.groupBy("id").agg(F.max("run_id").alias("run_id"), F.count(F.lit(1)).alias("n"))
+    kept = unique.where("n = 1").groupBy("run_id").agg(F.count(F.lit(1)).alias("distinct_ids"))
+    stored = preds.groupBy("run_id").agg(F.count(F.lit(1)).alias("stored"), F.count_distinct("created_at").cast("int").alias("times"))
+    return runs.select("run_id", "source_name", "record_count", "average_risk", "high_risk_count").join(
+        stored, "run_id").join(kept, "run_id")
+
+
+@register(
+    "store_delete",
+    O.with_ctes() + "SELECT 'kept' AS run_id, count(*) AS record_count, count(*) AS stored FROM scored WHERE record % 3 <> 0",
+)
+def q_store_delete(spark, d):
+    """Deleting a run removes its row and its predictions and leaves the other run."""
+    root, s = _new_store(spark), FX.fleet_scored(spark, d)
+    ST.save_batch(s.where("record % 3 = 0"), root, "a", run_id="gone")
+    ST.save_batch(s.where("record % 3 <> 0"), root, "b", run_id="kept")
+    ST.delete_run(spark, root, "gone")
+    runs, preds = ST.load(spark, root)
+    stored = preds.groupBy("run_id").agg(F.count(F.lit(1)).alias("stored"))
+    return runs.select("run_id", "record_count").join(stored, "run_id", "full_outer")
+
+
+@register(
+    "store_schema_drift",
+    O.with_ctes() + "SELECT machine_label, record % 2 AS old, CAST(NULL AS INTEGER) AS pressure FROM scored",
+)
+def q_store_schema_drift(spark, d):
+    """A store whose files lack a column stays readable and is appended to in the
+    columns it has."""
+    root, s = _new_store(spark), FX.fleet_scored(spark, d)
+    older = ST.predictions_frame(s.where("record % 2 = 1"), "old", id_col=F.col("record")).drop("pressure")
+    older.write.partitionBy("run_id").parquet(f"{root}/machine_predictions")
+    ST.save_batch(s.where("record % 2 = 0"), root, "new", run_id="new")
+    _, preds = ST.load(spark, root)
+    return preds.select("machine_label", (F.col("run_id") == "old").cast("long").alias("old"), F.col("pressure").cast("int"))
+
+
+@register(
+    "store_single",
+    O.with_ctes("one AS (SELECT * FROM scored WHERE machine_label = 'MCH-0007' ORDER BY record LIMIT 1)")
+    + "SELECT 'single_machine_demo' AS source_name, machine_label, predicted_risk, risk_probability, recommendation FROM one",
+    doubles=("risk_probability",),
+)
+def q_store_single(spark, d):
+    """One machine's prediction saved as a batch of its own."""
+    root = _new_store(spark)
+    one = FX.fleet_scored(spark, d).where("machine_label = 'MCH-0007'").orderBy("record").limit(1).collect()
+    for r in one:
+        ST.save_single(spark, root, r.asDict(), r["predicted_risk"], r["risk_probability"], r["recommendation"], r["machine_label"])
+    runs, preds = ST.load(spark, root)
+    return preds.join(runs.select("run_id", "source_name"), "run_id").select(
+        "source_name", "machine_label", "predicted_risk", "risk_probability", "recommendation")
+
+
+@register(
+    "metrics_roundtrip",
+    O.with_ctes(actual=True) + "SELECT unnest(['accuracy', 'f1']) AS metric, unnest([accuracy, f1]) AS value FROM ("
+    + _ratio_sql(COUNTS_SQL) + ") m", doubles=("value",),
+)
+def q_metrics_roundtrip(spark, d):
+    """Metrics saved as JSON under the published key and read back as rows."""
+    m = TR.classification_metrics(FX.fleet_actual(spark, d)).first()
+    path = _new_store(spark) + "/metrics"
+    ST.save_metrics(spark, {"accuracy": m["accuracy"], "f1_score": m["f1"]}, path)
+    return TR.metrics_frame(spark, ST.load_metrics(spark, path))

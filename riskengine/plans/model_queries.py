@@ -1,6 +1,10 @@
-"""Rows-only registered queries: hash-based samples and splits, model fits and
-their explanations. Hash functions and model fits differ between engines, so
-these have no SQL oracle; tests check them against brute force instead."""
+"""Registered queries of splits, samples, models and their explanations.
+
+Splits and samples use an MD5 hash, so their oracle is exact. Scoring, metrics, choice and
+linear explanations are checked on models given by their numbers; fits are checked by
+properties with a known answer (a zero gradient, contributions that add up to the score).
+A few outputs of fitted forests remain rows-only.
+"""
 
 from __future__ import annotations
 
@@ -12,111 +16,220 @@ from riskengine.operators import indexing as W
 from riskengine.operators import score as SC
 from riskengine.operators import split as SP
 from riskengine.operators import train as TR
+from riskengine.plans import oracle_sql as O
 from riskengine.plans.catalog import register
 from riskengine.sources import fixtures as FX
 
+FEATS = S.FEATURE_COLUMNS
 # Fixed model parameters of the reference's candidates: 220 trees, seed 42.
-# The reference grows trees without a depth limit; MLlib needs one (at most 30),
-# and ours is this argument.
 NUM_TREES = 220
-MAX_DEPTH = 10
 SEED = 42
 
-_CACHE: dict = {}
+HASH_SQL = f"CAST('0x' || substr(md5(CAST(record AS VARCHAR) || ':{SEED}'), 1, 13) AS BIGINT)"
+RANKED = (f"ranked AS (SELECT *, row_number() OVER (PARTITION BY downtime_risk ORDER BY {HASH_SQL}, record) AS r, "
+          "count(*) OVER (PARTITION BY downtime_risk) AS n FROM actual)")
+SIDES = "sides AS (SELECT *, CASE WHEN r <= ceil(CAST(0.2 AS DOUBLE) * n) THEN 'test' ELSE 'train' END AS split FROM ranked)"
+FOLD_SQL = " + ".join(f"CAST(r > ceil(CAST({i / 5!r} AS DOUBLE) * n) AS INTEGER)" for i in range(1, 5))
 
 
 def _training_frame(spark, d):
-    a = FX.fleet_actual(spark, d)
-    return a.select("record", "machine_label", *S.FEATURE_COLUMNS, "downtime_risk")
-
-
-def _app(spark) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001
-        return str(id(spark))
-
+    return FX.fleet_actual(spark, d).select("record", "machine_label", *FEATS, "downtime_risk")
 
-def trained(spark, d):
-    """Train-and-select once per (Spark application, data folder) in this process."""
-    key = ("select", _app(spark), d)
-    if key not in _CACHE:
-        _CACHE[key] = TR.train_and_select(_training_frame(spark, d), num_trees=NUM_TREES, max_depth=MAX_DEPTH,
-                                          seed=SEED)
-    return _CACHE[key]
 
+def _fixed_model():
+    """The fleet view's score as a logistic model."""
+    return TR.LinearModel(*X.fixture_linear_model(FX.FLEET_OFFSET, FX.FLEET_SCALE))
 
-def fitted(spark, d, kind: str):
-    """One candidate fitted on the stratified training part."""
-    key = (kind, _app(spark), d)
-    if key not in _CACHE:
-        train, _ = SP.stratified_split(_training_frame(spark, d), seed=SEED)
-        _CACHE[key] = TR.fit_candidate(kind, train, SEED, NUM_TREES, MAX_DEPTH)
-    return _CACHE[key]
 
-
-@register("stratified_split")
+@register("stratified_split", O.with_ctes(RANKED, SIDES, actual=True) + "SELECT record, downtime_risk, split FROM sides")
 def q_stratified_split(spark, d):
     return SP.split_column(FX.fleet_actual(spark, d)).select("record", "downtime_risk", "split")
 
 
-@register("stratified_folds")
+@register("stratified_folds", O.with_ctes(RANKED, actual=True) + f"SELECT record, downtime_risk, {FOLD_SQL} AS fold FROM ranked")
 def q_stratified_folds(spark, d):
     return SP.stratified_folds(FX.fleet_actual(spark, d)).select("record", "downtime_risk", "fold")
 
 
-@register("seeded_sample")
+@register("split_missing_class",
+          O.with_ctes("gaps AS (SELECT * REPLACE (CASE WHEN record % 5 <> 0 THEN downtime_risk END AS downtime_risk) FROM actual)",
+                      RANKED.replace("FROM actual", "FROM gaps"), SIDES, actual=True)
+          + "SELECT record, downtime_risk, split FROM sides")
+def q_split_missing_class(spark, d):
+    """M1: rows without a class stay, as a class of their own."""
+    a = FX.fleet_actual(spark, d).withColumn("downtime_risk", F.when(F.col("record") % 5 != 0, F.col("downtime_risk")))
+    return SP.split_column(a).select("record", "downtime_risk", "split")
+
+
+@register("seeded_sample",
+          O.with_ctes() + f"SELECT record, machine_label, risk_probability FROM scored ORDER BY {HASH_SQL}, record LIMIT 200",
+          doubles=("risk_probability",))
 def q_seeded_sample(spark, d):
-    return W.seeded_sample(FX.fleet_scored(spark, d), n=200, seed=SEED).select("record", "machine_label",
-                                                                                "risk_probability")
+    return W.seeded_sample(FX.fleet_scored(spark, d), n=200, seed=SEED).select("record", "machine_label", "risk_probability")
+
+
+@register("train_part_stats",
+          O.with_ctes(RANKED, SIDES, "part AS (SELECT * FROM sides WHERE split = 'train')", actual=True)
+          + " UNION ALL ".join(f"SELECT '{c}' AS feature, median({c}) AS median, avg({c}) AS mean, "
+                               f"CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS std FROM part" for c in FEATS),
+          doubles=("median", "mean", "std"))
+def q_train_part_stats(spark, d):
+    """M3, M4: the imputer's and scaler's numbers of the training part."""
+    train, _ = SP.stratified_split(_training_frame(spark, d), seed=SEED)
+    _, med, mean, std = TR.prep_stats(train)
+    return spark.createDataFrame([(c, med[c], mean[c], std[c]) for c in FEATS],
+                                 "feature string, median double, mean double, std double")
+
+
+@register("test_metrics",
+          O.with_ctes(RANKED, SIDES, actual=True)
+          + "SELECT tp, fp, fn, tn, CAST(tp + tn AS DOUBLE) / (tp + fp + fn + tn) AS accuracy, "
+          "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision, "
+          "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall, "
+          "coalesce(2.0 * tp / nullif(2.0 * tp + fp + fn, 0), 0.0) AS f1 FROM (SELECT "
+          "count(*) FILTER (WHERE downtime_risk = 1 AND predicted_risk = 1) AS tp, "
+          "count(*) FILTER (WHERE downtime_risk = 0 AND predicted_risk = 1) AS fp, "
+          "count(*) FILTER (WHERE downtime_risk = 1 AND predicted_risk = 0) AS fn, "
+          "count(*) FILTER (WHERE downtime_risk = 0 AND predicted_risk = 0) AS tn FROM sides WHERE split = 'test') c",
+          doubles=("accuracy", "precision", "recall", "f1"))
+def q_test_metrics(spark, d):
+    """M8: a model's metrics on the test part."""
+    _, test = SP.stratified_split(_training_frame(spark, d), seed=SEED)
+    return TR.classification_metrics(TR.predict(_fixed_model(), test))
+
+
+CANDIDATES = {"half": 0.5, "strict": 0.6}
+_FOLD_F1 = ("scores AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS model, fold, coalesce(2.0 * count(*) FILTER (WHERE y = 1 AND p >= {t}) / nullif("
+    f"count(*) FILTER (WHERE y = 1) + count(*) FILTER (WHERE p >= {t}), 0), 0.0) AS f1 FROM folds GROUP BY fold"
+    for name, t in CANDIDATES.items()) + ")")
+
+
+@register("model_choice",
+          O.with_ctes(RANKED, f"folds AS (SELECT {FOLD_SQL} AS fold, downtime_risk AS y, risk_probability AS p FROM ranked)",
+                      _FOLD_F1, actual=True)
+          + "SELECT model, avg(f1) AS cv_f1 FROM scores GROUP BY model ORDER BY cv_f1 DESC, model LIMIT 1",
+          doubles=("cv_f1",))
+def q_model_choice(spark, d):
+    """The candidate with the best mean F1 over the folds (two cuts of one score)."""
+    folds = SP.stratified_folds(_training_frame(spark, d), seed=SEED)
+    scored = None
+    for name, t in CANDIDATES.items():
+        one = TR.predict(_fixed_model(), folds, t).withColumn("model", F.lit(name))
+        scored = one if scored is None else scored.unionByName(one)
+    hit, said, real = F.col("downtime_risk") * F.col("predicted_risk"), F.sum("predicted_risk"), F.sum("downtime_risk")
+    f1 = F.coalesce(F.try_divide(F.lit(2.0) * F.sum(hit), said + real), F.lit(0.0))
+    return TR.choose(scored.groupBy("model", "fold").agg(f1.alias("f1")), tuple(CANDIDATES))
+
+
+@register("model_scores",
+          O.with_ctes() + f"SELECT record, machine_label, {', '.join(FEATS)}, risk_probability, predicted_risk, recommendation FROM scored",
+          doubles=(*FEATS, "risk_probability"))
+def q_model_scores(spark, d):
+    """M9: the standard columns, the probability, the label and the band, and nothing else."""
+    return SC.score(FX.fleet(spark, d).select("record", "machine_label", *FEATS), _fixed_model())
+
+
+@register("predict_single",
+          O.with_ctes() + "SELECT machine_label, predicted_risk, risk_probability FROM scored WHERE machine_label = 'MCH-0007' "
+          "ORDER BY record LIMIT 1", doubles=("risk_probability",))
+def q_predict_single(spark, d):
+    """One machine's values, scored alone."""
+    first = FX.fleet(spark, d).where("machine_label = 'MCH-0007'").orderBy("record").limit(1).first()
+    if first is None:
+        return spark.createDataFrame([], "machine_label string, predicted_risk int, risk_probability double")
+    label, p = SC.predict_one(spark, _fixed_model(), {c: first[c] for c in FEATS})
+    return spark.createDataFrame([(first["machine_label"], label, p)], "machine_label string, predicted_risk int, risk_probability double")
 
 
 @register("train_select")
 def q_train_select(spark, d):
-    r = trained(spark, d)
+    r = TR.train_and_select(_training_frame(spark, d), num_trees=NUM_TREES, seed=SEED)
     rows = [(r.model_name, k, float(v)) for k, v in r.metrics.items()]
     rows += [(r.model_name, f"cv_f1_{k}", float(v)) for k, v in r.cv_scores.items()]
     return spark.createDataFrame(rows, "model string, metric string, value double")
 
 
-@register("model_scores")
-def q_model_scores(spark, d):
-    """M9: the selected model scores the whole fleet (probability, label, band)."""
-    r = trained(spark, d)
-    return SC.score(_training_frame(spark, d), r.model).select(
-        "record", "machine_label", "risk_probability", "predicted_risk", "recommendation")
+def _fitted(spark, d, kind: str, num_trees: int = NUM_TREES):
+    train, _ = SP.stratified_split(_training_frame(spark, d), seed=SEED)
+    return TR.fit_candidate(kind, train, SEED, num_trees)
 
 
 @register("scenario_check")
 def q_scenario_check(spark, d):
-    return SC.scenario_check(spark, trained(spark, d).model)
+    """The three fixed machines, scored by a forest trained on the fleet."""
+    return SC.scenario_check(spark, _fitted(spark, d, "rf"))
+
+
+@register("logistic_properties",
+          O.with_ctes(RANKED, SIDES, actual=True) + "SELECT count(*) FILTER (WHERE split = 'train') AS train_rows, 0.0 AS gradient, "
+          "0.0 AS contribution_error, 0.0 AS reload_error FROM sides", doubles=("gradient", "contribution_error", "reload_error"))
+def q_logistic_properties(spark, d):
+    """The weighted gradient of a fitted model's intercept, the largest gap
+    between its contributions' sum and its log-odds, and the largest change of a
+    contribution after saving and loading; all 0 at four decimals."""
+    import uuid
+
+    from riskengine.functions.scalar import np_round
+    from riskengine.session import checkpoint_dir
+    from riskengine.sources import store as ST
+
+    train, _ = SP.stratified_split(_training_frame(spark, d), seed=SEED)
+    model = TR.fit_candidate("lr", train, SEED)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-model-{uuid.uuid4().hex}"
+    ST.save_model(model, path)
+
+    def explained(m, prefix):
+        coef, intercept, med, mean, std = TR.linear_parts(m)
+        return lambda df: X.linear_contributions(df, coef, intercept, mean, std, median=med, prefix=prefix)
+
+    rows = TR.predict(model, SP.with_weights(train))
+    rows = explained(model, "contrib_")(rows).withColumnRenamed("base", "base_odds")
+    rows = explained(ST.load_model(path), "loaded_")(rows)
+    p = F.col("risk_probability")
+    logit = F.log(p / (F.lit(1.0) - p))
+    told = F.col("base_odds") + sum((F.col(f"contrib_{c}") for c in FEATS), F.lit(0.0))
+    moved = F.greatest(*[F.abs(F.col(f"contrib_{c}") - F.col(f"loaded_{c}")) for c in FEATS])
+    finite = p.between(1e-9, 1 - 1e-9)
+    return rows.agg(
+        F.count(F.lit(1)).alias("train_rows"),
+        np_round(F.abs(F.sum(F.col("weight") * (p - F.col("downtime_risk"))) / F.sum("weight")), 4).alias("gradient"),
+        np_round(F.max(F.when(finite, F.abs(logit - told))), 4).alias("contribution_error"),
+        np_round(F.max(moved), 4).alias("reload_error"))
 
 
 @register("forest_importance")
 def q_forest_importance(spark, d):
-    return X.importance(spark, fitted(spark, d, "rf"))
+    return X.importance(spark, _fitted(spark, d, "rf"))
 
 
 @register("forest_contributions")
 def q_forest_contributions(spark, d):
-    """T5 -> M13 -> M14: the seeded 200-machine fleet sample, explained per feature."""
-    model = fitted(spark, d, "rf")
-    sample = W.seeded_sample(_training_frame(spark, d), n=200, seed=SEED)
-    return X.contribution_table(sample.join(X.forest_contributions(sample, model), "record"))
+    """Every machine of the whole fleet explained per feature."""
+    return X.contribution_table(X.forest_contributions(_training_frame(spark, d), _fitted(spark, d, "rf")))
 
 
 @register("forest_fleet_impact")
 def q_forest_fleet_impact(spark, d):
-    """Mean |contribution| per feature over the seeded sample."""
-    model = fitted(spark, d, "rf")
+    """Mean |contribution| per feature over the seeded sample of 200 machines."""
     sample = W.seeded_sample(_training_frame(spark, d), n=200, seed=SEED)
-    return X.fleet_contributions(X.forest_contributions(sample, model))
+    return X.fleet_contributions(X.forest_contributions(sample, _fitted(spark, d, "rf")))
+
+
+@register("forest_local_accuracy",
+          O.with_ctes() + "SELECT count(*) AS rows, 0.0 AS worst FROM scored", doubles=("worst",))
+def q_forest_local_accuracy(spark, d):
+    """Over the whole fleet, contributions and base add up to the forest's
+    probability (the largest gap, at six decimals)."""
+    model = _fitted(spark, d, "rf", num_trees=20)
+    told = X.forest_contributions(TR.predict(model, _training_frame(spark, d)), model)
+    total = F.col("base") + sum((F.col(f"contrib_{c}") for c in FEATS), F.lit(0.0))
+    return told.agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(total - F.col("risk_probability"))).alias("worst"))
 
 
 @register("model_linear_contributions")
 def q_model_linear_contributions(spark, d):
     """M12 on a fitted logistic regression: exact contributions vs the all-zero background."""
-    model = fitted(spark, d, "lr")
-    coef, intercept, med, mean, std = TR.linear_parts(model)
+    coef, intercept, med, mean, std = TR.linear_parts(_fitted(spark, d, "lr"))
     c = X.linear_contributions(_training_frame(spark, d), coef, intercept, mean, std, median=med)
     return X.contribution_table(c)

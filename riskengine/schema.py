@@ -149,27 +149,15 @@ def standard_schema() -> T.StructType:
     return T.StructType(fields)
 
 
-def scored_schema() -> T.StructType:
-    s = standard_schema()
-    return T.StructType(
-        list(s.fields)
-        + [
-            T.StructField("risk_probability", T.DoubleType(), True),
-            T.StructField("predicted_risk", T.IntegerType(), True),
-            T.StructField("recommendation", T.StringType(), True),
-        ]
-    )
-
-
 RUNS_SCHEMA = T.StructType(
     [
         T.StructField("run_id", T.StringType(), False),
         T.StructField("source_name", T.StringType(), True),
-        T.StructField("total_records", T.IntegerType(), True),
-        T.StructField("record_count", T.IntegerType(), True),
+        T.StructField("total_records", T.LongType(), True),
+        T.StructField("record_count", T.LongType(), True),
         T.StructField("average_risk", T.DoubleType(), True),
-        T.StructField("high_risk", T.IntegerType(), True),
-        T.StructField("high_risk_count", T.IntegerType(), True),
+        T.StructField("high_risk", T.LongType(), True),
+        T.StructField("high_risk_count", T.LongType(), True),
         T.StructField("created_at", T.TimestampType(), True),
         T.StructField("saved_at", T.TimestampType(), True),
     ]

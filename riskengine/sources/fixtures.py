@@ -22,19 +22,8 @@ ORPHAN_RUN = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. A scan with fewer splits than the cluster has cores (a small
-    file with one row group) is spread round-robin so the per-row work after it
-    runs in parallel; large inputs already have many splits and are left alone.
-    Column pruning and filters still reach the scan below the repartition."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()      # planning only, no job
-    except Exception:  # noqa: BLE001 -- no RDD access (e.g. a remote session): leave the scan as is
-        return df
-    if splits < cores:
-        df = df.repartition(cores)
-    return df
+    """A test table (one file or a folder of part files)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +32,14 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The ``events`` table as a file stream (the folder, filtered to that file)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+    """The ``events`` table as a file stream: the one file, or every part file of the
+    folder of that name. (The bracket makes the path a pattern, which the file source
+    accepts for a file as well as for a folder.)"""
+    schema = table(spark, sf_dir, "events").schema
+    r = spark.readStream.schema(schema)
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(sf_dir)
+    return r.parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
 
 
 def fleet_from_events(ev: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Flexible CSV ingestion.
 
-The header sniff reads at most 80 lines of the first file on the driver (metadata,
-not data). The data itself is one distributed, string-typed CSV scan:
+The header sniff reads at most 80 lines of the first file on the driver (metadata, not
+data). The data itself is one distributed, string-typed scan:
 
-* separator: the one of ``,`` ``;`` tab ``|`` most frequent in the header line
-  (the reference's first attempt silently returns one column for ``;`` files;
+* separator: the one of ``,`` ``;`` tab ``|`` most frequent in the header line, outside
+  quotes (the reference's first attempt silently returns one column for ``;`` files;
   we always sniff -- a deliberate fix);
-* preamble: the sniffed lines up to the header are dropped by content, in the
-  same single pass over the text;
+* header: the first line if no sniffed line has more fields; otherwise the file has a
+  preamble and the line with the most separators is taken;
+* preamble and header lines are dropped by position in each file: of a file's first
+  split, the first lines equal to them, as many as there are. A later data row with the
+  same text stays. All files must begin alike; one that does not is an error;
 * bad lines: rows with more fields than the header are dropped, short rows are
   padded with NULLs, as the reference's parser does.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,18 +30,25 @@ SEPARATORS = [",", ";", "\t", "|"]
 _CORRUPT = "_corrupt_record"
 
 
+def _outside_quotes(line: str) -> str:
+    return re.sub(r'"[^"]*"', "", line)
+
+
 def sniff(lines: list[str]) -> tuple[int, str]:
-    """(header line index, separator). The header is the first line with the
-    highest count of ``,`` ``;`` or tab among the first 80 lines."""
-    best, header = -1, 0
-    for i, line in enumerate(lines[:SNIFF_LINES]):
-        score = max(line.count(","), line.count(";"), line.count("\t"))
-        if score > best:
-            best, header = score, i
-    line = lines[header] if lines else ""
-    counts = [line.count(s) for s in SEPARATORS]
-    sep = SEPARATORS[counts.index(max(counts))]
-    return header, sep
+    """(header line index, separator) from the first 80 lines."""
+    def best_of(line):
+        counts = [_outside_quotes(line).count(s) for s in SEPARATORS]
+        return SEPARATORS[counts.index(max(counts))], max(counts)
+
+    lines = lines[:SNIFF_LINES]
+    if not lines:
+        return 0, SEPARATORS[0]
+    sep, n = best_of(lines[0])
+    if n and all(_outside_quotes(line).count(sep) <= n for line in lines):
+        return 0, sep
+    scores = [max(_outside_quotes(line).count(s) for s in SEPARATORS[:3]) for line in lines]
+    header = scores.index(max(scores))
+    return header, best_of(lines[header])[0]
 
 
 def header_names(line: str, sep: str) -> list[str]:
@@ -57,12 +68,12 @@ def header_names(line: str, sep: str) -> list[str]:
 
 
 def _first_lines(spark: SparkSession, path: str) -> list[str]:
-    """Up to 80 lines of the first file (by name). The file list comes from the
-    file index (``inputFiles``), not from scanning the data."""
-    files = sorted(f for f in spark.read.text(path).inputFiles() if not f.rsplit("/", 1)[-1].startswith(("_", ".")))
-    if not files:
+    """Up to 80 lines of the first file by name (found by one small aggregate over the
+    files' metadata, so no file list comes to the driver)."""
+    first = spark.read.text(path).select(F.min("_metadata.file_path")).first()[0]
+    if first is None:
         return []
-    return [r[0] for r in spark.read.text(files[0]).limit(SNIFF_LINES).collect()]
+    return [r[0] for r in spark.read.text(first).limit(SNIFF_LINES).collect()]
 
 
 def _field_count(line, sep: str):
@@ -78,46 +89,60 @@ def read_flexible_csv(spark: SparkSession, path: str, sep: str | None = None, mu
     Returns a string-typed frame with the header's column names plus ``_file``,
     ``_block``, ``_pos`` (file, split, position) for position-based labels.
 
-    One pass over the text: the sniffed preamble and header lines are dropped by
-    content (so every file's own copy goes too), blank lines are skipped, lines
-    with more fields than the header are dropped (quote-aware count), and the rest
-    is parsed in place with ``from_csv`` (short lines padded with NULLs). Records
+    Each file's own preamble and header go, blank lines are skipped, lines with more
+    fields than the header are dropped (quote-aware count), and the rest is parsed in
+    place with ``from_csv`` (short lines padded with NULLs; doubled quotes are quotes). Records
     with quoted line breaks need ``multiline=True``, which uses the CSV reader on
     whole files instead.
     """
     lines = _first_lines(spark, path)
     if not lines:
-        raise ValueError("Could not read this dataset. Please upload a valid CSV file.")
+        raise ValueError(f"{path}: no lines to read a header from")
     header_idx, sniffed = sniff(lines)
     sep = sep or sniffed
     names = header_names(lines[header_idx], sep)
     if len(names) <= 1:
-        raise ValueError("Could not read this dataset. Please upload a valid CSV file.")
+        raise ValueError(f"{path}: the header line has a single column")
     fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
     if multiline:
         out = _read_multiline(spark, path, sep, names, header_idx, fields)
     else:
-        skip = list(dict.fromkeys(lines[: header_idx + 1]))
         text = spark.read.text(path).select(
             "value", F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
-        keep = (F.length(F.trim("value")) > 0) & ~F.col("value").isin(skip) & (
-            _field_count(F.col("value"), sep) <= len(names))
+        head = [line for line in lines[: header_idx + 1] if line.strip()]
+        keep = (F.length(F.trim("value")) > 0) & (_field_count(F.col("value"), sep) <= len(names))
+        text = text.join(_head_rows(text, head, validate), ["_file", "_pos"], "left_anti")
         parsed = text.filter(keep).select(
-            F.from_csv("value", T.StructType(fields).simpleString(), {"sep": sep, "mode": "PERMISSIVE"}).alias("_r"),
+            F.from_csv("value", T.StructType(fields).simpleString(), {"sep": sep, "mode": "PERMISSIVE", "escape": '"'}).alias("_r"),
             "_file", "_block", "_pos")
         out = parsed.select(*[F.col(f"_r._c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block", "_pos")
     if validate and out.isEmpty():
-        raise ValueError("Could not read this dataset. Please upload a valid CSV file.")
+        raise ValueError(f"{path}: no data rows after the header")
     return out
 
 
+def _head_rows(text: DataFrame, head: list[str], validate: bool) -> DataFrame:
+    """(_file, _pos) of every file's preamble and header lines: the first ``len(head)`` lines
+    of its first split that equal one of them (a few rows per file)."""
+    alike = text.where((F.col("_block") == 0) & F.col("value").isin(list(dict.fromkeys(head))))
+    order = Window.partitionBy("_file").orderBy("_pos")
+    found = alike.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= len(head)).select("_file", "_pos")
+    if validate:
+        counted = text.select("_file").groupBy("_file").agg(F.count(F.lit(1)).alias("_lines"))
+        short = counted.join(found.groupBy("_file").agg(F.count(F.lit(1)).alias("_heads")), "_file", "left")
+        odd = short.where(F.coalesce("_heads", F.lit(0)) < len(head)).select("_file").first()
+        if odd is not None:
+            raise ValueError(f"{odd['_file']}: its first lines differ from the other files' header; read it on its own")
+    return found
+
+
 def _read_multiline(spark, path, sep, names, header_idx, fields) -> DataFrame:
     """Quoted line breaks: the CSV reader on whole files (each file is one task)."""
     schema = T.StructType(fields + [T.StructField(_CORRUPT, T.StringType())])
     raw = (
         spark.read.schema(schema).option("sep", sep).option("header", False).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", True).csv(path)
+        .option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", True).option("escape", '"').csv(path)
         .select("*", F.col("_metadata.file_path").alias("_file"),
                 F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
     )

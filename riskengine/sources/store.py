@@ -1,18 +1,19 @@
 """Scored-run store on Parquet.
 
-Layout under ``root`` (a shared folder):
-  machine_predictions/run_id=<id>/part-*.parquet   -- one partition per run
-  prediction_runs/part-*.parquet                   -- one row per run, written LAST
+Layout under ``root`` (a shared folder), one folder per run in both tables:
+  machine_predictions/run_id=<id>/part-*.parquet
+  prediction_runs/run_id=<id>/part-*.parquet       -- one row, written LAST
 
 The run row is the commit marker: readers semi-join predictions to the run log,
-so a batch whose writer died half-way is invisible, and re-running a batch with
-the same run id overwrites only that run's partition (idempotent).
+so a batch whose writer died half-way is invisible. Saving a run again replaces its own
+folders in both tables, and deleting one touches no other run.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,21 +36,29 @@ def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def new_run_id(mode: str = "text") -> str:
-    """Uuid hex, or an integer id below 2e9 for integer-keyed stores."""
-    u = uuid.uuid4()
-    return u.hex if mode == "text" else str(u.int % 2_000_000_000)
+def new_run_id(mode: str = "text", taken: DataFrame | None = None) -> str:
+    """Uuid hex, or for integer-keyed stores one more than the sink's largest id."""
+    if mode == "text":
+        return uuid.uuid4().hex
+    last = taken.select(F.max(F.col("run_id").try_cast("long"))).first()[0] if taken is not None else None
+    return str((last or 0) + 1)
 
 
 def predictions_frame(scored: DataFrame, run_id: Column | str, created_at: Column | None = None,
                       id_col: Column | None = None) -> DataFrame:
-    """Project a scored frame to machine_predictions rows (absent numbers -> 0, text -> '')."""
+    """Project a scored frame to machine_predictions rows (absent numbers -> 0, text ->
+    '', absent labels by position)."""
+    if S.LABEL_COLUMN not in scored.columns:
+        from riskengine.operators.indexing import with_record
+
+        placed = with_record(scored.withColumn("_place", F.monotonically_increasing_id()), ["_place"], out="_n")
+        scored = placed.withColumn(S.LABEL_COLUMN, F.format_string(S.DEFAULT_LABEL_FORMAT, F.col("_n") + 1))
     have = set(scored.columns)
     rid = F.lit(run_id) if isinstance(run_id, str) else run_id
     cols = [
         (id_col if id_col is not None else F.monotonically_increasing_id()).cast("long").alias("id"),
         rid.cast("string").alias("run_id"),
-        (F.col(S.LABEL_COLUMN) if S.LABEL_COLUMN in have else F.lit(None)).cast("string").alias(S.LABEL_COLUMN),
+        F.col(S.LABEL_COLUMN).cast("string").alias(S.LABEL_COLUMN),
         (F.col("predicted_risk") if "predicted_risk" in have else F.lit(0)).cast("int").alias("predicted_risk"),
         (F.col("risk_probability") if "risk_probability" in have else F.lit(0.0)).cast("double").alias("risk_probability"),
         (F.col("recommendation") if "recommendation" in have else F.lit("")).cast("string").alias("recommendation"),
@@ -63,9 +72,9 @@ def run_summary(scored: DataFrame, by: str | None = None, source_name: Column |
                 created_at: Column | None = None, ts_col: str | None = None) -> DataFrame:
     """Records, mean probability (0 if none), high-risk count (0 if none) per run."""
     aggs = [
-        F.count(F.lit(1)).cast("int").alias("record_count"),
+        F.count(F.lit(1)).alias("record_count"),
         F.coalesce(F.avg("risk_probability"), F.lit(0.0)).alias("average_risk"),
-        F.coalesce(F.sum("predicted_risk"), F.lit(0)).cast("int").alias("high_risk_count"),
+        F.coalesce(F.sum("predicted_risk"), F.lit(0)).cast("long").alias("high_risk_count"),
     ]
     if ts_col:
         aggs.append(F.max(ts_col).cast("timestamp").alias("_ts"))
@@ -86,22 +95,48 @@ def run_summary(scored: DataFrame, by: str | None = None, source_name: Column |
     return out
 
 
-def save_batch(scored: DataFrame, root: str, source_name: str, run_id: str | None = None) -> str:
-    """Write one scored batch; returns its run id.
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _sink_schema(spark: SparkSession, path: str, full: T.StructType) -> T.StructType:
+    """The columns (and types) the sink has; the full schema for a new one."""
+    if not _exists(spark, path):
+        return full
+    found = spark.read.option("mergeSchema", "true").parquet(path).schema
+    return T.StructType([*(f for f in found if f.name != "run_id"), T.StructField("run_id", T.StringType())])
+
+
+def _write_run(df: DataFrame, path: str, full: T.StructType) -> None:
+    """Replace one run's folder of a table, in the columns the sink has."""
+    aligned = align_to_schema(df, _sink_schema(df.sparkSession, path, full))
+    aligned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def save_batch(scored: DataFrame, root: str, source_name: str, run_id: str | None = None, mode: str = "text") -> str:
+    """Write one scored batch; returns its run id (``mode``: see ``new_run_id``).
 
-    Predictions go first (parallel writers, only this run's partition replaced),
-    then the one-row summary is appended to the run log as the commit marker.
-    """
+    Predictions go first, under the run's one timestamp and with ids above all ids of the
+    store; the summary of what was written follows as the commit marker. The input is
+    evaluated once. An empty batch leaves nothing."""
     spark = scored.sparkSession
-    rid = run_id or new_run_id()
-    preds = predictions_frame(scored, rid)
-    (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id").parquet(f"{root}/machine_predictions"))
-    runs_path = f"{root}/prediction_runs"
-    existing = _read_or_empty(spark, runs_path, S.RUNS_SCHEMA)
-    if existing.filter(F.col("run_id") == rid).limit(1).count() == 0:
-        summary = run_summary(scored, source_name=source_name).withColumn("run_id", F.lit(rid))
-        align_to_schema(summary, S.RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(runs_path)
+    runs, preds = load(spark, root)
+    rid = run_id or new_run_id(mode, runs)
+    now = F.lit(datetime.now(timezone.utc)).cast("timestamp")
+    first = (preds.where(F.col("run_id") != rid).select(F.max("id")).first()[0] or 0) + 1
+    rows = predictions_frame(scored, rid, created_at=now, id_col=F.monotonically_increasing_id() + F.lit(first))
+    _delete(spark, f"{root}/machine_predictions/run_id={rid}")
+    _write_run(rows, f"{root}/machine_predictions", S.PREDICTIONS_SCHEMA)
+    if _exists(spark, f"{root}/machine_predictions/run_id={rid}"):
+        written = load(spark, root)[1].where(F.col("run_id") == rid)
+        summary = run_summary(written, source_name=source_name, created_at=now).withColumn("run_id", F.lit(rid))
+        _write_run(summary, f"{root}/prediction_runs", S.RUNS_SCHEMA)
     return rid
 
 
@@ -115,22 +150,18 @@ def save_single(spark: SparkSession, root: str, values: dict, prediction: int, p
     return save_batch(df, root, "single_machine_demo")
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 -- a missing folder means an empty store
+def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table in its full schema: a missing folder is empty, missing columns are NULL. Any
+    other read error is raised."""
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
+    return align_to_schema(spark.read.option("mergeSchema", "true").parquet(path), schema)
 
 
 def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, predictions) of a store; schema-tolerant (older files may lack columns)."""
-    runs = _read_or_empty(spark, f"{root}/prediction_runs", S.RUNS_SCHEMA)
-    try:
-        preds = spark.read.option("mergeSchema", "true").parquet(f"{root}/machine_predictions")
-        preds = align_to_schema(preds, S.PREDICTIONS_SCHEMA)
-    except Exception:  # noqa: BLE001
-        preds = spark.createDataFrame([], S.PREDICTIONS_SCHEMA)
-    return runs, preds
+    """(runs, predictions) of a store; older files may lack columns."""
+    return (_table(spark, f"{root}/prediction_runs", S.RUNS_SCHEMA),
+            _table(spark, f"{root}/machine_predictions", S.PREDICTIONS_SCHEMA))
 
 
 def committed(preds: DataFrame, runs: DataFrame) -> DataFrame:
@@ -157,28 +188,19 @@ def recent(preds: DataFrame, runs: DataFrame, n: int = 25) -> DataFrame:
 
 
 def delete_run(spark: SparkSession, root: str, run_id: str) -> None:
-    """Remove a run and (cascade) its predictions partition."""
-    runs_path = f"{root}/prediction_runs"
-    runs = _read_or_empty(spark, runs_path, S.RUNS_SCHEMA)
-    keep = runs.filter(F.col("run_id") != run_id)
-    tmp = f"{root}/_prediction_runs_next"
-    keep.coalesce(1).write.mode("overwrite").parquet(tmp)
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    p_runs = jvm.org.apache.hadoop.fs.Path(runs_path)
-    fs = p_runs.getFileSystem(conf)
-    fs.delete(p_runs, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), p_runs)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(f"{root}/machine_predictions/run_id={run_id}"), True)
+    """Remove a run, its log row first, and (cascade) its predictions."""
+    _delete(spark, f"{root}/prediction_runs/run_id={run_id}")
+    _delete(spark, f"{root}/machine_predictions/run_id={run_id}")
 
 
 def write_csv(df: DataFrame, path: str, cols: list[str] | None = None) -> None:
     """Chosen columns with a header, no index."""
-    (df.select(*(cols or df.columns)).write.mode("overwrite").option("header", True).csv(path))
+    (df.select(*(cols or df.columns)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
 
 
 def save_model(model, path: str) -> None:
-    """MLlib writer; the feature list travels in the pipeline's assembler."""
+    """MLlib writer; features, medians, means and deviations travel in the pipeline's
+    first stage (``train.prep_parts`` reads them back)."""
     model.write().overwrite().save(path)
 
 
@@ -195,13 +217,12 @@ def save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
 
 def load_metrics(spark: SparkSession, path: str) -> dict:
     """{} when there is no file; ``f1_score`` is read as ``f1``."""
-    try:
-        rows = spark.read.text(path).collect()
-    except Exception:  # noqa: BLE001
+    if not _exists(spark, path):
         return {}
-    if not rows:
+    row = spark.read.text(path).first()
+    if row is None:
         return {}
-    d = json.loads(rows[0][0])
+    d = json.loads(row[0])
     if "f1" not in d and "f1_score" in d:
         d["f1"] = d.pop("f1_score")
     return d

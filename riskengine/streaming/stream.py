@@ -1,16 +1,15 @@
 """Structured Streaming: score a live feed (R1), alert on threshold crossings (R2),
 an idempotent run-store sink (R3) and event-time KPIs per window (R4).
 
-The batch form of each works on a static DataFrame with the same code, which is
-how the registered queries check them.
+R2 and R4 keep JVM aggregates per event-time window. Their sink writes every update of a
+window under its micro-batch number and ``latest`` reads the last update of each, so the
+newest window is there too, long before the watermark closes it. The batch form of each
+works on a static DataFrame.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,17 +17,6 @@ from riskengine import schema as S
 from riskengine.operators.analytics import kpi_aggs
 from riskengine.operators.indexing import lag_by
 
-CROSSING_SCHEMA = T.StructType(
-    [
-        T.StructField("record", T.LongType()),
-        T.StructField("machine_label", T.StringType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("risk_probability", T.DoubleType()),
-        T.StructField("crossing", T.StringType()),
-    ]
-)
-STATE_SCHEMA = T.StructType([T.StructField("above", T.BooleanType())])
-
 
 def crossings(df: DataFrame, threshold: float = 0.5, key: str = S.LABEL_COLUMN, ts: str = "ts",
               prob: str = "risk_probability", tiebreak: str = "record", bucket: int = 100_000,
@@ -43,38 +31,52 @@ def crossings(df: DataFrame, threshold: float = 0.5, key: str = S.LABEL_COLUMN,
     )
 
 
-def _crossing_state_fn(threshold: float):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        above = state.get[0] if state.exists else False
-        out = []
-        for pdf in pdfs:
-            for row in pdf.sort_values(["ts", "record"]).itertuples(index=False):
-                now = bool(row.risk_probability >= threshold)
-                if now != above:
-                    out.append((row.record, row.machine_label, row.ts, row.risk_probability,
-                                "rising" if now else "falling"))
-                above = now
-        state.update((above,))
-        if out:
-            yield pd.DataFrame(out, columns=[f.name for f in CROSSING_SCHEMA.fields])
-    return fn
-
-
-def crossings_stream(sdf: DataFrame, threshold: float = 0.5, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """R2 (stream): per-machine state holds the last side of the threshold.
-
-    Each micro-batch is sorted by event time per machine; rows later than the
-    watermark are dropped by Spark before they reach the state function. A state
-    group holds one machine's rows of one micro-batch, so its size is bounded by
-    the trigger size (``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``), not by
-    the stream; the state itself is one boolean per machine."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
+def crossing_slices(sdf: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "10 minutes",
+                    key: str = S.LABEL_COLUMN) -> DataFrame:
+    """R2 (stream): each machine's readings per event-time slice, in (time, record) order.
+    A slice is a state of its own, so a busy machine is spread over many, and rows that
+    come out of order within the watermark still find their place."""
     src = sdf.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    src = src.select("record", S.LABEL_COLUMN, ts, "risk_probability")
-    return src.groupBy(S.LABEL_COLUMN).applyInPandasWithState(
-        _crossing_state_fn(threshold), CROSSING_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    reading = F.struct(F.col(ts).alias("ts"), "record", "risk_probability")
+    return src.groupBy(F.col(key).alias("machine"), F.window(ts, width).alias("w")).agg(
+        F.sort_array(F.collect_list(reading)).alias("readings")).select(
+        "machine", F.col("w.start").alias("slice"), "readings")
+
+
+def stitch_crossings(slices: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Crossings of ``crossing_slices``' rows: inside a slice from reading to reading, and
+    from the last reading of the machine's slice before it (one row per slice)."""
+    before = F.lag(F.element_at("readings", -1)["risk_probability"]).over(Window.partitionBy("machine").orderBy("slice"))
+    linked = slices.withColumn("before", F.coalesce(before, F.lit(-1.0)))
+    t = F.lit(float(threshold))
+
+    def move(r, i):
+        was = F.when(i == 0, F.col("before")).otherwise(F.get("readings", i - 1)["risk_probability"])
+        above = r["risk_probability"] >= t
+        return F.struct(r["record"].alias("record"), r["ts"].alias("ts"), r["risk_probability"].alias("risk_probability"),
+                        F.when(above != (was >= t), F.when(above, "rising").otherwise("falling")).alias("crossing"))
+
+    moves = F.filter(F.transform("readings", move), lambda m: m["crossing"].isNotNull())
+    out = linked.select("machine", F.explode(moves).alias("m"))
+    return out.select("m.record", F.col("machine").alias(S.LABEL_COLUMN), "m.ts", "m.risk_probability", "m.crossing")
+
+
+def upsert_stream(sdf: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Write every update of an aggregated stream under its micro-batch number; a replayed
+    batch overwrites its own folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    w = sdf.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def latest(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
+    """The last written update of every key."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*keys, "v.*")
 
 
 def score_stream(sdf: DataFrame, model=None, keep: tuple[str, ...] = (), offset: float = 0.0,
@@ -92,7 +94,8 @@ def score_stream(sdf: DataFrame, model=None, keep: tuple[str, ...] = (), offset:
 
 
 def kpi_stream(sdf: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Fleet KPIs per tumbling event-time window, emitted once the watermark passes."""
+    """Fleet KPIs per tumbling event-time window: in update mode the state so far of each
+    window that changed (see ``upsert_stream``), in append mode the closed windows."""
     src = sdf.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     return src.groupBy(F.window(ts, width).alias("w")).agg(*kpi_aggs()).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
@@ -108,8 +111,6 @@ def sink_stream(sdf: DataFrame, root: str, checkpoint: str, name: str = "stream"
     from riskengine.sources.store import save_batch
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         save_batch(batch, root, source_name=name, run_id=f"{name}-{batch_id}")
 
     w = sdf.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

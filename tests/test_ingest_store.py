@@ -126,3 +126,53 @@ def test_multiline_quoted_records(spark, tmpdir_run):
     p = _write(tmpdir_run, "ml.csv", 'note\nmachine,comment,temperature\nA,"line one\nline two",70\nB,plain,80\n')
     rows = {r.machine: r for r in I.read_flexible_csv(spark, p, multiline=True).collect()}
     assert rows["A"].comment == "line one\nline two" and rows["B"].temperature == "80" and len(rows) == 2
+
+
+def test_quoted_separators_do_not_make_a_header(spark, tmpdir_run):
+    p = _write(tmpdir_run, "q.csv", 'machine,comment,temperature,label\nM1,ok,70,0\nM2,"hot, loud, shaking, oily",99,1\nM3,"say ""hi"" now",71,0\n')
+    rows = {r.machine: r for r in I.read_flexible_csv(spark, p).collect()}
+    assert set(rows) == {"M1", "M2", "M3"}
+    assert rows["M2"].comment == "hot, loud, shaking, oily" and rows["M3"].comment == 'say "hi" now'
+    out = os.path.join(tmpdir_run, "quotes")
+    ST.write_csv(spark.createDataFrame([("a", 'x "y", z')], "machine string, comment string"), out)
+    assert I.read_flexible_csv(spark, out).first().comment == 'x "y", z'
+
+
+def test_data_rows_equal_to_the_header_stay(spark, tmpdir_run):
+    p = _write(tmpdir_run, "same.csv", "export\nmachine,temperature\nA,1\nexport\nmachine,temperature\nB,2\n")
+    rows = I.read_flexible_csv(spark, p).collect()
+    assert [r.machine for r in rows] == ["A", "export", "machine", "B"]
+
+
+def test_files_with_other_headers_are_refused(spark, tmpdir_run):
+    d = os.path.join(tmpdir_run, "mixed")
+    os.makedirs(d)
+    _write(d, "a.csv", "machine,temperature,load\nA1,70,50\n")
+    _write(d, "b.csv", "machine,load,temperature\nB1,60,80\n")
+    with pytest.raises(ValueError, match="header"):
+        I.read_flexible_csv(spark, d)
+
+
+def test_store_times_ids_labels_and_errors(spark, tmpdir_run):
+    root = os.path.join(tmpdir_run, "store3")
+    one = ST.save_batch(_scored(spark, 6).repartition(3), root, "a", mode="integer")
+    two = ST.save_batch(_scored(spark, 4).drop("machine_label"), root, "b", mode="integer")
+    assert (one, two) == ("1", "2")
+    runs, preds = ST.load(spark, root)
+    assert preds.select("id").distinct().count() == 10
+    for rid in (one, two):
+        times = {r.created_at for r in preds.where(F.col("run_id") == rid).collect()}
+        times |= {r.created_at for r in runs.where(F.col("run_id") == rid).collect()}
+        assert len(times) == 1
+    assert {r.machine_label for r in preds.where("run_id = '2'").collect()} == {f"MCH-{i:04d}" for i in range(1, 5)}
+    ST.save_batch(_scored(spark, 2), root, "again", run_id="2")          # a replay replaces the summary too
+    runs, preds = ST.load(spark, root)
+    again = runs.where("run_id = '2'").collect()
+    assert len(again) == 1 and again[0].record_count == 2 and again[0].source_name == "again"
+    ST.save_batch(_scored(spark, 0), root, "none", run_id="empty")
+    assert ST.load(spark, root)[0].count() == 2
+    broken = os.path.join(tmpdir_run, "broken", "prediction_runs")
+    os.makedirs(broken)
+    _write(broken, "part-0.parquet", "not parquet")
+    with pytest.raises(Exception):
+        ST.load(spark, os.path.dirname(broken))[0].count()

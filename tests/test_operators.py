@@ -3,6 +3,7 @@ metrics, histogram, correlation, splits, store, Shapley values."""
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -60,15 +61,15 @@ def test_rolling_mean_by_hot_key_spans_buckets(spark):
     assert np.allclose(lag.previous.values, exp_lag.values, equal_nan=True)
 
 
-@pytest.mark.parametrize("method", ["auto", "rank"])
-def test_exact_quantiles_match_numpy(spark, method):
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+def test_exact_quantiles_match_numpy(spark, accuracy):
     rng = np.random.default_rng(4)
     a = np.round(rng.normal(size=301), 1)
     b = np.r_[np.full(10, np.nan), rng.random(91)]
     pdf = pd.DataFrame({"a": a[:101], "b": b})
     df = spark.createDataFrame(pdf).withColumn("b", F.when(~F.isnan("b"), F.col("b")))
     qs = [0.01, 0.5, 0.68, 0.99]
-    out = W.exact_quantiles(df, ["a", "b"], qs, method=method).collect()
+    out = W.exact_quantiles(df, ["a", "b"], qs, accuracy=accuracy).collect()
     got = {(r.column, r.q): r.value for r in out}
     for c in ("a", "b"):
         col = pdf[c].dropna().values
@@ -143,7 +144,7 @@ def test_stratified_split_and_folds(spark):
 
 
 def test_leaf_shapley_brute_force():
-    from riskengine.operators.explain import leaf_shapley
+    from riskengine.operators.explain import forest_base, tree_shapley
 
     rng = np.random.default_rng(7)
     L, m = 40, 5
@@ -168,7 +169,8 @@ def test_leaf_shapley_brute_force():
             for S_ in itertools.combinations(others, k):
                 w = math.factorial(k) * math.factorial(m - 1 - k) / math.factorial(m)
                 phi_bf[i] += w * (v(S_ + (i,)) - v(S_))
-    phi, base = leaf_shapley(x, values, lo, hi, cover)
+    tree = (values, lo, hi, cover)
+    phi, base = tree_shapley(np.vstack([x, x]), tree, block=1, leaves=7)[1], forest_base([tree])
     assert np.allclose(phi, phi_bf, atol=1e-12)
     assert math.isclose(base, v(()), abs_tol=1e-12)
     assert math.isclose(base + phi.sum(), v(tuple(range(m))), abs_tol=1e-12)
@@ -185,7 +187,7 @@ def test_forest_contributions_local_accuracy(spark):
     pdf["downtime_risk"] = ((pdf.machine_temperature + pdf.error_log_count + rng.normal(0, 5, n)) > 100).astype(int)
     df = spark.createDataFrame(pdf)
     model = TR.fit_candidate("rf", df, seed=1, num_trees=7, max_depth=4)
-    c = X.forest_contributions(df, model)
+    c = X.forest_contributions(df, model).drop("risk_probability")
     p = TR.predict(model, df).select("record", "risk_probability")
     j = c.join(p, "record").withColumn("s", sum(F.col(f"contrib_{f}") for f in S.FEATURE_COLUMNS) + F.col("base"))
     assert j.select(F.max(F.abs(F.col("s") - F.col("risk_probability")))).first()[0] < 1e-9
@@ -235,18 +237,20 @@ def test_model_save_load_and_single_prediction(spark, tmpdir_run):
     assert [r.machine for r in sc] == ["HIGH-STRESS", "STABLE", "BOUNDARY"] and sc[2].result == "Review"
 
 
-def test_hot_value_is_spread_over_ranges(spark):
-    # a third of the values identical: the rank-select must still be exact and the
-    # range partitions must split the hot value
+def test_quantiles_with_a_hot_value_and_missing_values(spark):
+    # a third of the values identical; NaN and NULL are missing; a column without values
     vals = [0.0] * 400 + list(np.linspace(1, 2, 800))
-    df = spark.createDataFrame([(float(v),) for v in vals], "a double")
-    got = {r.q: r.value for r in W.exact_quantiles(df, ["a"], [0.1, 0.33, 0.5, 0.9], method="rank").collect()}
-    for q, v in got.items():
-        assert math.isclose(v, float(np.quantile(vals, q)), abs_tol=1e-12)
-    long = df.select(F.lit("a").alias("column"), F.col("a").alias("value")).withColumn("_tie", F.monotonically_increasing_id())
-    sizes = (long.repartitionByRange(8, "column", "value", "_tie").groupBy(F.spark_partition_id().alias("p"))
-             .count().collect())
-    assert max(r["count"] for r in sizes) < 400
+    rows = [(float(v), None) for v in vals] + [(float("nan"), None), (None, None)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    for accuracy in (10_000, 30):
+        got = {(r.column, r.q): r.value for r in W.exact_quantiles(df, ["a", "b"], [0.0, 0.1, 0.33, 0.5, 0.9, 1.0], accuracy).collect()}
+        assert len(got) == 12
+        for (c, q), v in got.items():
+            assert v is None if c == "b" else math.isclose(v, float(np.quantile(vals, q)), abs_tol=1e-12)
+    assert W.exact_quantiles(df.where("false"), ["a"], [0.5]).collect()[0].value is None
+
+
+def test_dense_index_with_repeated_rows(spark):
     dup = spark.createDataFrame([(1, "x")] * 300 + [(2, "y")] * 10, "k int, s string")
     out = W.with_record(dup, ["k"], out="r", unique=False, num_partitions=4)
     assert sorted(r.r for r in out.collect()) == list(range(310)) and "_tie" not in out.columns
@@ -261,7 +265,8 @@ def test_prep_stats_match_imputed_columns(spark):
     df = spark.createDataFrame(pdf)
     for c in S.FEATURE_COLUMNS:
         df = df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
-    med, mean, std = TR.prep_stats(df, n)
+    rows, med, mean, std = TR.prep_stats(df)
+    assert rows == n
     for c in S.FEATURE_COLUMNS:
         col = pdf[c]
         m = float(col.median()) if col.notna().any() else S.FEATURE_DEFAULTS[c]
@@ -280,39 +285,59 @@ def test_clean_materialised(spark):
     assert clean_materialised(spark) >= 1
 
 
-def test_auto_quantiles_switch_to_rank_over_bound(spark):
-    rng = np.random.default_rng(11)
-    vals = rng.random(500)
-    df = spark.createDataFrame([(float(v), float(i % 3)) for i, v in enumerate(vals)], "a double, b double")
-    got = {(r.column, r.q): r.value for r in W.exact_quantiles(df, ["a", "b"], [0.25, 0.5], distinct_limit=100).collect()}
-    for q in (0.25, 0.5):
-        assert math.isclose(got[("a", q)], float(np.quantile(vals, q)), abs_tol=1e-12)   # rank path
-        assert math.isclose(got[("b", q)], float(np.quantile([i % 3 for i in range(500)], q)), abs_tol=1e-12)
+def test_threshold_sweep_keeps_the_given_rows(spark):
+    rng = np.random.default_rng(13)
+    pdf = pd.DataFrame({"downtime_risk": rng.integers(0, 2, 500), "risk_probability": np.round(rng.random(500), 2)})
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(1, float("nan")), (0, None)], "a long, b double"))
+    for ts in ([0.5, 0.5, 0.1], [round(0.01 * i, 2) for i in range(1, 100)]):
+        got = TR.threshold_sweep(df, ts).collect()
+        assert sorted(r.threshold for r in got) == sorted(ts)
+        for r in got:
+            assert r.tp == int(((pdf.downtime_risk == 1) & (pdf.risk_probability >= r.threshold)).sum())
+            assert r.tp + r.fn == int((pdf.downtime_risk == 1).sum()) + 1
 
 
-def test_leaf_table_size_is_checked(spark):
-    from riskengine.operators import explain as X
+def test_histogram_counts_values_outside(spark):
+    df = spark.createDataFrame([(v,) for v in (-0.2, 0.5, 1.0, 1.7, float("nan"), None)], "risk_probability double")
+    got = {r.bin: r["count"] for r in G.histogram(df, width=0.5).collect()}
+    assert got == {-1: 1, 0: 0, 1: 2, 3: 1}
 
-    rng = np.random.default_rng(12)
-    n = 200
-    pdf = pd.DataFrame({c: rng.normal(50, 10, n) for c in S.FEATURE_COLUMNS})
-    pdf["record"] = np.arange(n)
-    pdf["machine_label"] = "M"
-    pdf["downtime_risk"] = (pdf.load_percentage > 50).astype(int)
-    df = spark.createDataFrame(pdf)
-    model = TR.fit_candidate("rf", df, seed=1, num_trees=3, max_depth=3)
-    with pytest.raises(ValueError):
-        X.forest_contributions(df, model, max_bytes=10)
 
+def test_percent_text_is_exact_half_even(spark):
+    from riskengine.functions.scalar import percent_text
 
-def test_threshold_sweep_histogram_path_equals_wide(spark):
-    rng = np.random.default_rng(13)
-    pdf = pd.DataFrame({"downtime_risk": rng.integers(0, 2, 500), "risk_probability": np.round(rng.random(500), 2)})
-    df = spark.createDataFrame(pdf)
-    ts = [round(0.01 * i, 2) for i in range(1, 100)]
-    hist = {r.threshold: r for r in TR.threshold_sweep(df, ts).collect()}            # 99 > 32: histogram path
-    wide = {r.threshold: r for r in TR.threshold_sweep(df, ts, wide_limit=1000).collect()}
-    assert set(hist) == set(wide) == set(ts)
-    for t in ts:
-        assert (hist[t].tp, hist[t].fp, hist[t].fn, hist[t].tn) == (wide[t].tp, wide[t].fp, wide[t].fn, wide[t].tn)
-        assert hist[t].tp == int(((pdf.downtime_risk == 1) & (pdf.risk_probability >= t)).sum())
+    rng = random.Random(3)
+    values = [0.1225, 0.0625, 0.5005, 0.3125, 0.0015, 0.0025, 0.9995, 1.0, 0.0, -0.1225, -0.0004, 12.34567, 1e12]
+    values += [rng.randrange(4000) / 1600 for _ in range(300)] + [rng.randrange(20000) / 20000 for _ in range(300)]
+    values += [rng.random() for _ in range(300)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", percent_text("v").alias("t")).collect()
+    for r in got:
+        assert r.t.lstrip("-") == f"{r.v:.1%}".lstrip("-"), r
+
+
+def test_split_keeps_rows_without_a_class(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "record long, downtime_risk int")
+    train, test = SP.stratified_split(df)
+    assert train.count() + test.count() == 100 and test.where("downtime_risk is null").count() == 4
+    folds = SP.stratified_folds(df).groupBy("downtime_risk", "fold").count().collect()
+    assert len(folds) == 15 and {r["count"] for r in folds if r.downtime_risk is None} == {4}
+
+
+def test_training_needs_both_classes_only(spark):
+    row = tuple(1.0 for _ in S.FEATURE_COLUMNS)
+    schema = "record long, downtime_risk int, " + ", ".join(f"{c} double" for c in S.FEATURE_COLUMNS)
+    for labels in ([1, 2], [0, 0], [0, 1, None]):
+        df = spark.createDataFrame([(i, y, *row) for i, y in enumerate(labels)], schema)
+        with pytest.raises(ValueError):
+            TR.train_and_select(df)
+
+
+def test_scored_schema_and_positions(spark):
+    from riskengine.operators import explain as X
+    from riskengine.operators import score as SC
+
+    model = TR.LinearModel(*X.fixture_linear_model(5.0, 2.0))
+    df = spark.createDataFrame([(i, *[float(i)] * 8) for i in range(4)], "record long, " + ", ".join(f"{c} double" for c in S.FEATURE_COLUMNS))
+    out = SC.score(df, model)
+    assert set(out.columns) == {*df.columns, "machine_label", "risk_probability", "predicted_risk", "recommendation"}
+    assert [r.machine_label for r in out.orderBy("record").collect()] == ["MCH-0001", "MCH-0002", "MCH-0003", "MCH-0004"]

@@ -30,8 +30,5 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(SQLS)
-    assert rows_only <= {
-        "stratified_split", "stratified_folds", "seeded_sample", "train_select", "model_scores",
-        "scenario_check", "forest_importance", "forest_contributions", "forest_fleet_impact",
-        "model_linear_contributions",
-    }
+    assert rows_only <= {"train_select", "scenario_check", "forest_importance", "forest_contributions",
+                         "forest_fleet_impact", "model_linear_contributions"}

@@ -19,7 +19,7 @@ def test_to_number_cases(spark):
 
 def test_target_truncates_and_defaults(spark):
     df = spark.createDataFrame([("1.9",), ("0.2",), ("na",), ("pos",), ("inf",), ("-2.7",)], "t string")
-    assert [r[0] for r in df.select(to_int_target("t")).collect()] == [1, 0, 0, 0, 0, -2]
+    assert [r[0] for r in df.select(to_int_target(to_number("t"))).collect()] == [1, 0, 0, 0, 0, -2]
 
 
 def test_alias_order_and_last_duplicate_wins():

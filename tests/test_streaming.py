@@ -34,25 +34,41 @@ def test_score_stream_matches_batch(spark, tmpdir_run):
     assert diff.filter(F.abs(F.col("risk_probability") - F.col("e")) > 1e-12).count() == 0
 
 
-def test_kpi_stream_windows(spark, tmpdir_run):
+def _run_updates(spark, sdf, d, keys):
+    out = os.path.join(d, "updates")
+    R.upsert_stream(sdf, out, os.path.join(d, "updates-ck")).awaitTermination(300)
+    return R.latest(spark, out, keys, sdf.schema)
+
+
+def test_kpi_stream_has_every_window(spark, tmpdir_run):
     src, schema = _files(spark, tmpdir_run)
-    sdf = spark.readStream.schema(schema).parquet(src)
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     scored = R.score_stream(sdf, keep=("record", "ts"), offset=5.0, scale=2.0)
-    _run_memory(R.kpi_stream(scored, width="1 day", delay="0 seconds"), "kpi_stream")
-    got = spark.sql("select sum(total_assets) n from kpi_stream").first().n
-    # append mode emits windows closed by the watermark; the last open window is held back
-    assert 0 < got <= FX.fleet(spark, SF_SMALL).count()
+    got = _run_updates(spark, R.kpi_stream(scored, width="1 day", delay="60 days"), tmpdir_run, ["window_start", "window_end"])
+    n = FX.fleet(spark, SF_SMALL)
+    assert got.agg(F.sum("total_assets")).first()[0] == n.count()
+    assert got.count() == n.select(F.to_date("ts")).distinct().count()
 
 
-def test_crossings_stream_equals_batch(spark, tmpdir_run):
-    src, schema = _files(spark, tmpdir_run, n_files=1)
-    sdf = spark.readStream.schema(schema).parquet(src)
-    scored = R.score_stream(sdf, keep=("record", "ts"), offset=5.0, scale=2.0)
-    _run_memory(R.crossings_stream(scored, 0.5, delay="1 day"), "cross_stream")
-    got = {r.record for r in spark.sql("select record from cross_stream").collect()}
-    batch = R.crossings(FX.fleet_scored(spark, SF_SMALL).select("record", "machine_label", "ts", "risk_probability"),
-                        0.5, bucket=128)
-    assert got == {r.record for r in batch.collect()}
+def test_crossings_stream_equals_batch_out_of_order(spark, tmpdir_run):
+    # a hot machine, rows shuffled over several micro-batches
+    f = FX.fleet_scored(spark, SF_SMALL).withColumn("ts", F.col("ts").cast("timestamp")).withColumn(
+        "machine_label", F.when(F.col("record") % 2 == 0, "HOT").otherwise(F.col("machine_label")))
+    f = f.select("record", "machine_label", "ts", "risk_probability")
+    src = os.path.join(tmpdir_run, "feed")
+    f.repartition(4, F.xxhash64("record")).write.parquet(src)
+    sdf = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    slices = _run_updates(spark, R.crossing_slices(sdf, width="6 hours", delay="60 days"), tmpdir_run, ["machine", "slice"])
+    got = {(r.record, r.crossing) for r in R.stitch_crossings(slices, 0.5).collect()}
+    assert got == {(r.record, r.crossing) for r in R.crossings(f, 0.5, bucket=128).collect()}
+
+
+def test_events_stream_reads_a_folder_of_parts(spark, tmpdir_run):
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(3).write.parquet(os.path.join(tmpdir_run, "events.parquet"))
+    for d in (tmpdir_run, SF_SMALL):
+        name = f"parts_{len(d)}"
+        _run_memory(FX.events_stream(spark, d).select("event_id"), name)
+        assert spark.table(name).count() == 1000
 
 
 def test_sink_stream_is_idempotent(spark, tmpdir_run):
