@@ -37,9 +37,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy in the mix: the documents' columns with shard and position."""
-    mixed = mixing.shuffled(mixing.mix(docs))
-    return mixed.select(*docs.columns, "shard", "copy", "position")
+    """One row per copy in the mix: the documents' columns with shard, copy and position
+    (which replace columns of those names)."""
+    added = ["shard", "copy", "position"]
+    return mixing.shuffled(mixing.mix(docs)).select(*[c for c in docs.columns if c.lower() not in added], *added)
 
 
 STAGES = [
