@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskengine import schema as S
+from riskengine.functions.scalar import np_round
 from riskengine.operators import explain as X
 from riskengine.operators import indexing as W
 from riskengine.operators import score as SC
@@ -123,11 +124,13 @@ def q_model_choice(spark, d):
 
 
 @register("model_scores",
-          O.with_ctes() + f"SELECT record, machine_label, {', '.join(FEATS)}, risk_probability, predicted_risk, recommendation FROM scored",
-          doubles=(*FEATS, "risk_probability"))
+          O.with_ctes() + f"SELECT record, machine_label, {', '.join(FEATS)}, round_even(risk_probability * 1e4, 0) / 1e4 "
+          "AS risk_probability, predicted_risk, recommendation FROM scored", doubles=tuple(FEATS))
 def q_model_scores(spark, d):
-    """M9: the standard columns, the probability, the label and the band, and nothing else."""
-    return SC.score(FX.fleet(spark, d).select("record", "machine_label", *FEATS), _fixed_model())
+    """M9: the standard columns, the probability (at four decimals), the label and the band,
+    and nothing else."""
+    scored = SC.score(FX.fleet(spark, d).select("record", "machine_label", *FEATS), _fixed_model())
+    return scored.withColumn("risk_probability", np_round("risk_probability", 4))
 
 
 @register("predict_single",
@@ -170,7 +173,6 @@ def q_logistic_properties(spark, d):
     contribution after saving and loading; all 0 at four decimals."""
     import uuid
 
-    from riskengine.functions.scalar import np_round
     from riskengine.session import checkpoint_dir
     from riskengine.sources import store as ST
 
