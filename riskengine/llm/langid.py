@@ -45,7 +45,7 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def folded(text: str) -> bytes:
     """Lower case letters with single spaces around every run of them."""
     letters = _NOT_LETTERS.sub(" ", text.lower()).strip()
-    return f" {letters} ".encode() if letters else b""
+    return f" {letters} ".encode() if any(map(str.isalpha, letters)) else b""
 
 
 def learn(rows: list[tuple[str, str]], n_dicts: int = N_DICTS, dict_bytes: int = DICT_BYTES) -> dict[str, list[bytes]]:
