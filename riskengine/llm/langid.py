@@ -12,7 +12,10 @@ languages that tie, the one whose dictionaries hold the text's words most often
 the margin is then the difference of those counts over their sum.
 
 Texts are folded before learning and encoding alike: lower case, and every run of
-characters that are not letters becomes one space. The whole text is encoded.
+characters that are not letters becomes one space. The whole text is encoded, in pieces of
+``PIECE_BYTES`` that are compressed each on its own and whose sizes are summed: a dictionary
+saves a bounded number of bytes per frame, so in one frame the margin of a long text would
+shrink with its length.
 
 Defined results: a null text or one without a letter is ``und``, score 0, rejected; a
 corpus without labelled rows teaches nothing, so every text is ``und``; with a single
@@ -38,6 +41,7 @@ DICT_BYTES = 96 << 10
 N_DICTS = 2
 LEVEL = 6
 MARGIN = 0.005
+PIECE_BYTES = 4 << 10
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -90,8 +94,9 @@ class Classifier:
         data = folded(text) if text else b""
         if not data or not self.coders:
             return UNKNOWN, 0.0
+        pieces = [data[i:i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
         # A language with fewer dictionaries than another is compared by its mean size.
-        sizes = sorted((sum(len(c.compress(data)) for c in own) / len(own), lang) for lang, own in self.coders)
+        sizes = sorted((sum(len(c.compress(p)) for c in own for p in pieces) / len(own), lang) for lang, own in self.coders)
         if len(sizes) == 1:
             return sizes[0][1], 1.0
         best = sizes[0][0]

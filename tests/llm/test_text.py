@@ -46,6 +46,20 @@ def test_langid_awkward_rows(spark):
     assert {r["lang_pred"] for r in alone} == {"und", "en"}
 
 
+def test_long_clean_documents_are_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    labelled = docs.where(~langid.held_out())
+    learned = {t for _, t in langid.sample(labelled, "doc_id", "lang", "text", langid.SAMPLE_DOCS)}
+    long = {}
+    for r in docs.where("lang IS NOT NULL AND text IS NOT NULL").orderBy("doc_id").collect():
+        if r["text"] not in learned and len(long.get(r["lang"], "")) < 3_000_000:
+            long[r["lang"]] = long.get(r["lang"], "") + "\n" + r["text"]
+    assert len(long) == 4 and all(len(t) > 1_000_000 for t in long.values())
+    rows = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(sorted(long.items()))], "doc_id long, text string, lang string")
+    for r in langid.identify(rows, labelled).collect():
+        assert r["lang_pred"] == r["lang"] and r["accepted"] and r["score"] > 0.05
+
+
 # ----------------------------------------------------------------- token counts
 def test_token_counts_equal_the_library(spark):
     model = token_counts.load_model(open(queries.tokenizer_path(), "rb").read())
