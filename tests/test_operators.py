@@ -341,3 +341,25 @@ def test_scored_schema_and_positions(spark):
     out = SC.score(df, model)
     assert set(out.columns) == {*df.columns, "machine_label", "risk_probability", "predicted_risk", "recommendation"}
     assert [r.machine_label for r in out.orderBy("record").collect()] == ["MCH-0001", "MCH-0002", "MCH-0003", "MCH-0004"]
+
+
+FOREST_QUERIES = ("train_select", "scenario_check", "forest_importance", "forest_contributions", "forest_fleet_impact",
+                  "forest_local_accuracy")
+
+
+@pytest.mark.parametrize("name", FOREST_QUERIES)
+def test_registered_forests_fit_the_references_trees(spark, monkeypatch, name):
+    from riskengine.plans import model_queries as MQ
+    from riskengine.plans.catalog import REGISTRY
+
+    class Asked(Exception):
+        pass
+
+    def asked(*args, seed=None, num_trees=None, **kwargs):
+        raise Asked(args[3] if len(args) > 3 else num_trees)
+
+    monkeypatch.setattr(MQ.TR, "fit_candidate", asked)
+    monkeypatch.setattr(MQ.TR, "train_and_select", asked)
+    with pytest.raises(Asked) as stop:
+        REGISTRY[name].run(spark, "/root/testdata/sf0.001")
+    assert stop.value.args == (220,)
