@@ -6,9 +6,10 @@ whole text. Positions come from splitting the text at the same matches and summi
 lengths, in code points.
 
 *Battery* (kind ``random``). Candidates are runs of ``MIN_TOKEN`` or more characters of the
-base64 alphabets. Each gets the encoding it can be: hex (digits and letters a-f of one
-case), base32 (digits 2-7 and upper case letters) or base64 (both cases and digits);
-others, such as words, are no candidates. Under the hypothesis that its symbols are
+base64 alphabets. Each gets the smallest alphabet that holds it: hex (either case, also in
+groups joined by -), base32 or base36 (letters of one case and digits) or base64; of a token
+that ends in ``_`` and a run of base36, as prefixed keys do, that run is tested. Words are
+candidates like any other and are left to the tests. Under the hypothesis that its symbols are
 uniform and independent, three p-values are computed: chi-squared uniformity of the
 alphabet (Wilson-Hilferty), the number of runs above and below the alphabet's middle, and
 the lag-1 serial correlation; three times the smallest (Bonferroni) is the token's.
@@ -44,6 +45,7 @@ MIN_TOKEN = 20
 TOKEN = "[A-Za-z0-9+/_-]{%d,}" % MIN_TOKEN
 HEX_SYMBOLS = "0123456789abcdef"
 BASE32_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36_SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyz"
 BASE64_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 FALSE_RATE = 0.05
 BINS = 200
@@ -113,35 +115,47 @@ def battery(symbols: Column, alphabet: Column) -> Column:
     mean_runs = 2 * highs * lows / n + 1
     var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
     p_runs = F.when(var_runs > 0, 2 * normal_tail(F.abs(turns + 1 - mean_runs) / F.sqrt(var_runs))).otherwise(0.0)
-    mean = F.aggregate(symbols, F.lit(0.0), lambda a, v: a + v) / n
-    var = F.aggregate(symbols, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-    cov = F.aggregate(F.zip_with(here, F.slice(symbols, 1, F.size(symbols) - 1),
-                                 lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
-    p_serial = F.when(var > 0, 2 * normal_tail(F.abs(cov / var + 1 / n) * F.sqrt(n))).otherwise(0.0)
+
+    # The mean is computed once, not per symbol.
+    def serial(mean):
+        var = F.aggregate(symbols, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+        cov = F.aggregate(F.zip_with(here, F.slice(symbols, 1, F.size(symbols) - 1),
+                                     lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, v: a + v)
+        return F.when(var > 0, 2 * normal_tail(F.abs(cov / var + 1 / n) * F.sqrt(n))).otherwise(0.0)
+
+    p_serial = _let(F.aggregate(symbols, F.lit(0.0), lambda a, v: a + v) / n, serial)
     return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
 
+def tested_part(token: Column) -> Column:
+    """The key of a prefixed token, or the whole token."""
+    key = F.regexp_extract(token, "_([a-z0-9]{%d,}|[A-Z0-9]{%d,})$" % (MIN_TOKEN, MIN_TOKEN), 1)
+    return F.when(key != "", key).otherwise(token)
+
+
 def inferred(token: Column) -> Column:
-    """The encoding a token can be, or null."""
-    return (F.when(F.regexp_like(token, F.lit("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$")), "hex")
-            .when(F.regexp_like(token, F.lit("^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$")), "base32")
-            .when(F.regexp_like(token, F.lit("^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]+$")), "base64"))
+    """The smallest encoding that holds a token. Letters alone are base36: few keys are base32
+    without a digit, and the wider alphabet tells words better from keys."""
+    return (F.when(F.regexp_like(token, F.lit("^[0-9A-Fa-f]+$|^[0-9A-Fa-f]{4,}(-[0-9A-Fa-f]{4,})+$")), "hex")
+            .when(F.regexp_like(token, F.lit("^(?=.*[2-7])([A-Z2-7]+|[a-z2-7]+)$")), "base32")
+            .when(F.regexp_like(token, F.lit("^([a-z0-9]+|[A-Z0-9]+)$")), "base36").otherwise("base64"))
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, stratum, bin>> of the tokens that have an encoding. bin: the
+    """array<struct<start, end, stratum, bin>> of the tokens. bin: the
     battery's p-value in tenths of decades, 0 for p near 1."""
     def tested(s):
         token = F.substring(text, s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))
-        return _let(token, lambda tok: _let(inferred(tok), lambda enc: F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), enc.alias("encoding"), tok.alias("token"))))
+        return _let(tested_part(token), lambda tok: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), inferred(tok).alias("encoding"), tok.alias("token")))
 
     def scored(c):
         enc = c["encoding"]
-        alphabet = F.when(enc == "hex", HEX_SYMBOLS).when(enc == "base32", BASE32_SYMBOLS).otherwise(BASE64_SYMBOLS)
-        flat = F.when(enc == "hex", F.lower(c["token"])).otherwise(F.translate(c["token"], "-_", "+/"))
-        symbols = F.transform(F.sequence(F.lit(1), F.length(flat)),
-                              lambda i: (F.instr(alphabet, F.substr(flat, i, F.lit(1))) - 1).cast("double"))
+        alphabet = (F.when(enc == "hex", HEX_SYMBOLS).when(enc == "base32", BASE32_SYMBOLS)
+                    .when(enc == "base36", BASE36_SYMBOLS).otherwise(BASE64_SYMBOLS))
+        flat = (F.when(enc == "hex", F.lower(F.translate(c["token"], "-", ""))).when(enc == "base32", F.upper(c["token"]))
+                .when(enc == "base36", F.lower(c["token"])).otherwise(F.translate(c["token"], "-_", "+/")))
+        symbols = F.transform(F.split(flat, ""), lambda x: (F.instr(alphabet, x) - 1).cast("double"))
         p = _let(symbols, lambda v: battery(v, F.length(alphabet)))
         tenths = F.least(F.lit(BINS - 1), F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-30)))))
         stratum = F.concat(enc, F.lit(":"), F.floor(F.log2(F.length(c["token"]).cast("double"))).cast("string"))
@@ -149,7 +163,7 @@ def candidates(text: Column) -> Column:
                         F.greatest(F.lit(0), tenths).cast("int").alias("bin"))
 
     kind = "array<struct<start:bigint,end:bigint,stratum:string,bin:int>>"
-    spans = F.filter(F.transform(match_spans(text, TOKEN), tested), lambda c: c["encoding"].isNotNull())
+    spans = F.transform(match_spans(text, TOKEN), tested)
     return F.when(F.regexp_like(text, F.lit(TOKEN)), F.transform(spans, scored)).otherwise(_no_spans(kind))
 
 

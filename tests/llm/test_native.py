@@ -200,6 +200,25 @@ def test_battery_finds_random_tokens_only(spark):
     assert hits["random"] >= 270 and hits["plain"] <= 20
 
 
+def test_battery_tests_keys_of_every_alphabet(spark):
+    r = random.Random(5)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+    def key(symbols, n=32):
+        return "".join(r.choice(symbols) for _ in range(n))
+
+    kinds = {"base36": lambda: key(lower + digits), "base32": lambda: key(lower + "234567"), "prefix": lambda: "sk_live_" + key(lower + digits),
+             "uuid": lambda: "-".join(key("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)),
+             "letters": lambda: key(lower + upper), "hex": lambda: key(digits + "abcdefABCDEF", 40)}
+    rows = [(i, f"see {make()} here", "en", kind) for kind, make in kinds.items() for i in range(40)]
+    stems = "inter national govern ment under stand ing over come present ation character istic every where counter part".split()
+    rows += [(i, "see " + "".join(r.choice(stems) for _ in range(5)) + " and " + "-".join(r.choice(stems) for _ in range(6)), "en", "plain")
+             for i in range(400)]
+    found = secrets.scan(documents(spark, rows)).collect()
+    hits = Counter(x["source"] for x in found for s in x["spans"] if s["kind"] == "random")
+    assert all(hits[kind] >= 32 for kind in kinds) and hits["plain"] <= 40, hits
+
+
 def test_secret_query_strings(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in queries.op7_secrets(spark, SMALL).collect():
