@@ -186,7 +186,7 @@ def _named(spans: Column, kind: str) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", false_rate: float = FALSE_RATE) -> DataFrame:
     """``docs`` with base_spans and spans: array<struct<start, rank, end, kind>>, sorted; spans
-    adds the random tokens that touch no base span."""
+    adds the random tokens that base spans do not cover fully."""
     body = F.coalesce(F.col(text), F.lit(""))
     limits = thresholds(docs, body, false_rate)
     limit_of = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else None
@@ -197,8 +197,9 @@ def scan(docs: DataFrame, text: str = "text", false_rate: float = FALSE_RATE) ->
 
     def secret(c):
         limit = F.element_at(limit_of, c["stratum"]) if limit_of is not None else F.lit(None).cast("int")
-        apart = ~F.exists(F.col(names["base"]), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return (limit.isNull() | (c["bin"] < limit)) & apart
+        covered = F.aggregate(F.col(names["base"]), c["start"], lambda at, b: F.when(
+            b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+        return (limit.isNull() | (c["bin"] < limit)) & (covered < c["end"])
 
     random = _named(F.filter(names["tokens"], secret), "random")
     return with_result(found, base_spans=F.col(names["base"]),

@@ -219,6 +219,17 @@ def test_battery_tests_keys_of_every_alphabet(spark):
     assert all(hits[kind] >= 32 for kind in kinds) and hits["plain"] <= 40, hits
 
 
+def test_a_token_partly_in_a_base_span_is_masked_whole(spark):
+    r = random.Random(6)
+    heads = ["".join(r.choice("0123456789abcdef") for _ in range(16)) for _ in range(40)]
+    rows = [(i, f"see {h}-{''.join(r.choice(secrets.BASE64_SYMBOLS[:62]) for _ in range(24))} here", "en", "s") for i, h in enumerate(heads)]
+    rows += [(100 + i, f"see {h}{h} here", "en", "covered") for i, h in enumerate(heads)]
+    docs = documents(spark, rows)
+    masked = Counter(x["source"] for x in secrets.redact(docs).collect() if x["text"] == f"see {secrets.MASK} here")
+    assert masked["s"] >= 32 and masked["covered"] == 40
+    assert all(len(x["spans"]) == 1 for x in secrets.scan(docs).collect() if x["source"] == "covered")
+
+
 def test_secret_query_strings(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in queries.op7_secrets(spark, SMALL).collect():
