@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from riskengine.llm import (
-    chat, decontaminate, html_extract, langid, mixing, quality, secrets, simhash, substring, token_counts)
+    chat, collocations, decontaminate, fim, html_extract, langid, mixing, quality, secrets, simhash, substring, token_counts, token_ids)
 from riskengine.llm.common import read
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -71,9 +71,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(docs, read(spark, sf_dir, "benchmark")))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+IDS_TOKENIZER = "byte_bpe_50k.json"
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_ids.digest(token_ids.round_trip(docs, tokenizer_path(IDS_TOKENIZER)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_chat, op3_quality, op4_simhash, op5_langid, op6_html, op7_secrets, op8_substring, op9_tokens,
-                            op10_decontaminate)}
+                            op10_decontaminate, op11_fim, op12_phrases, op13_token_ids)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -179,5 +195,54 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(w.n_hit, 0)
 FROM docs d LEFT JOIN words w ON d.r = w.r LEFT JOIN found f ON d.r = f.r
 """
 
+OP11_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('{fim.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d
+  FROM documents),
+drawn AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, {', '.join(f"CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))}
+  FROM docs),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= {fim.FIM_PERCENT}
+              THEN 'plain' WHEN h4 % 100 < {fim.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+OP12_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+listed AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM pieces),
+grams AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+          FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM listed, range(1, 4) r(k))),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f
+         WHERE k >= 2 AND c >= {collocations.MIN_COUNT}),
+cuts AS (SELECT c.*, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:], ' ') AS rp
+         FROM cand c, range(1, 3) r(j) WHERE j < c.k),
+rated AS (SELECT c.lang, c.k, c.phrase, c.a, j, l.c AS l, r.c AS r,
+                 CAST({collocations.SCALE}::HUGEINT * c.a * c.a // (l.c::HUGEINT * r.c) AS BIGINT) AS score
+          FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.lp AND l.k = c.j
+          JOIN f r ON r.lang = c.lang AND r.phrase = c.rp AND r.k = c.k - c.j),
+least AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+gone AS (SELECT DISTINCT s.lang, s.phrase FROM cand s JOIN cand g ON g.lang = s.lang AND g.k > s.k
+         AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * g.a >= {collocations.CONTAINED_PERCENT} * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least JOIN totals USING (lang) ANTI JOIN gone USING (lang, phrase)
+QUALIFY rank <= {collocations.TOP}
+"""
+
 ORACLES: dict[str, str] = {"op1_mixing": OP1_SQL, "op2_chat": OP2_SQL, "op8_substring": OP8_SQL,
-                           "op10_decontaminate": OP10_SQL}
+                           "op10_decontaminate": OP10_SQL, "op11_fim": OP11_SQL, "op12_phrases": OP12_SQL}
