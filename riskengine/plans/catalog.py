@@ -12,6 +12,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskengine import schema as S
 from riskengine.functions import advise as A
@@ -1176,11 +1177,11 @@ def q_store_delete(spark, d):
     O.with_ctes() + "SELECT machine_label, record % 2 AS old, CAST(NULL AS INTEGER) AS pressure FROM scored",
 )
 def q_store_schema_drift(spark, d):
-    """A store whose files lack a column stays readable and is appended to in the
-    columns it has."""
+    """A store that lacks a column is appended to in the columns it has, which its
+    manifests state, and read in all."""
     root, s = _new_store(spark), FX.fleet_scored(spark, d)
-    older = ST.predictions_frame(s.where("record % 2 = 1"), "old", id_col=F.col("record")).drop("pressure")
-    older.write.partitionBy("run_id").parquet(f"{root}/machine_predictions")
+    ST.create_store(spark, root, T.StructType([f for f in S.PREDICTIONS_SCHEMA if f.name != "pressure"]))
+    ST.save_batch(s.where("record % 2 = 1"), root, "old", run_id="old")
     ST.save_batch(s.where("record % 2 = 0"), root, "new", run_id="new")
     _, preds = ST.load(spark, root)
     return preds.select("machine_label", (F.col("run_id") == "old").cast("long").alias("old"), F.col("pressure").cast("int"))
@@ -1214,3 +1215,40 @@ def q_metrics_roundtrip(spark, d):
     path = _new_store(spark) + "/metrics"
     ST.save_metrics(spark, {"accuracy": m["accuracy"], "f1_score": m["f1"]}, path)
     return TR.metrics_frame(spark, ST.load_metrics(spark, path))
+
+
+@register(
+    "store_empty_batch",
+    O.with_ctes() + "SELECT 'full' AS run_id, count(*) AS record_count, avg(risk_probability) AS average_risk, "
+    "CAST(sum(predicted_risk) AS BIGINT) AS high_risk_count, count(*) AS stored, min(1) AS first_id, count(*) AS last_id FROM scored "
+    "UNION ALL SELECT 'none', 0, 0.0, 0, 0, NULL, NULL", doubles=("average_risk",),
+)
+def q_store_empty_batch(spark, d):
+    """An empty batch opens the store: it is logged as a run of 0 records, and the
+    store goes on; a run saved, replaced by nothing and saved again has dense ids."""
+    root, s = _new_store(spark), FX.fleet_scored(spark, d)
+    ST.save_batch(s.where("record < 0"), root, "nothing", run_id="none")
+    ST.save_batch(s, root, "all", run_id="full")
+    runs, preds = ST.load(spark, root)
+    stored = preds.groupBy("run_id").agg(F.count(F.lit(1)).alias("stored"), F.min("id").cast("int").alias("first_id"),
+                                         F.max("id").alias("last_id"))
+    joined = runs.select("run_id", "record_count", "average_risk", "high_risk_count").join(stored, "run_id", "left")
+    return joined.fillna(0, ["stored"])
+
+
+@register(
+    "store_recent",
+    O.with_ctes() + "SELECT record + 1 AS place, machine_label, predicted_risk, risk_probability, recommendation FROM scored "
+    "WHERE record % 3 = 2 QUALIFY row_number() OVER (ORDER BY record DESC) <= 25",
+    doubles=("risk_probability",),
+)
+def q_store_recent(spark, d):
+    """The newest predictions of a store of three runs, of which one is replaced and one
+    deleted; only the newest run's folder is read."""
+    root, s = _new_store(spark), FX.fleet_scored(spark, d).withColumn("pressure", (F.col("record") + 1).cast("double"))
+    for k in (0, 1, 2, 0):
+        ST.save_batch(s.where(F.col("record") % 3 == k).orderBy("record"), root, f"third-{k}", run_id=f"run-{k}")
+    ST.delete_run(spark, root, "run-0")
+    found = ST.load_recent(spark, root, 25)
+    return found.select(F.col("pressure").cast("long").alias("place"), "machine_label", "predicted_risk",
+                        "risk_probability", "recommendation")

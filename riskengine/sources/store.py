@@ -1,12 +1,16 @@
 """Scored-run store on Parquet.
 
-Layout under ``root`` (a shared folder), one folder per run in both tables:
-  machine_predictions/run_id=<id>/part-*.parquet
-  prediction_runs/run_id=<id>/part-*.parquet       -- one row, written LAST
+Layout under ``root`` (a shared folder):
+  machine_predictions/<folder>/part-*.parquet   -- one folder per save, under a name of its own
+  _log/<bucket>/<sequence>.json                 -- one manifest per save or deletion (``run_log``)
 
-The run row is the commit marker: readers semi-join predictions to the run log,
-so a batch whose writer died half-way is invisible. Saving a run again replaces its own
-folders in both tables, and deleting one touches no other run.
+A save writes its rows first and then commits by one rename of its manifest, which holds
+the run's summary. Readers go by manifests: a folder without one does not exist for them, and
+the last manifest of a run id counts. So a save that dies at any step leaves the old run, or the
+new one, whole; an empty batch is a run of 0 records and no rows.
+
+A row's id is the run's first id, the rows of the partitions written before, and its place in
+its own partition: dense, and known from manifests without a scan of older runs.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskengine import schema as S
+from riskengine.sources import run_log
 
 RECENT_COLUMNS = [
     "machine_label", "predicted_risk", "risk_probability", "recommendation",
@@ -36,14 +41,6 @@ def align_to_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def new_run_id(mode: str = "text", taken: DataFrame | None = None) -> str:
-    """Uuid hex, or for integer-keyed stores one more than the sink's largest id."""
-    if mode == "text":
-        return uuid.uuid4().hex
-    last = taken.select(F.max(F.col("run_id").try_cast("long"))).first()[0] if taken is not None else None
-    return str((last or 0) + 1)
-
-
 def predictions_frame(scored: DataFrame, run_id: Column | str, created_at: Column | None = None,
                       id_col: Column | None = None) -> DataFrame:
     """Project a scored frame to machine_predictions rows (absent numbers -> 0, text ->
@@ -95,49 +92,77 @@ def run_summary(scored: DataFrame, by: str | None = None, source_name: Column |
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+PLACE_BITS = 33                                          # of monotonically_increasing_id
+
 
+def _columns(entry: dict | None) -> T.StructType:
+    """The columns (and types) the store has; the full schema for a new one."""
+    return T.StructType.fromJson(json.loads(entry["columns"])) if entry else S.PREDICTIONS_SCHEMA
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
+def _next(entry: dict | None, **changes) -> dict:
+    """The manifest after ``entry``: its running values carried on."""
+    kept = {"next_id": 1, "largest_run": 0, "columns": S.PREDICTIONS_SCHEMA.json(), "saved_us": 0}
+    kept |= {k: entry[k] for k in kept} if entry else {}
+    return {**kept, "seq": entry["seq"] + 1 if entry else 0, **changes}
 
-def _sink_schema(spark: SparkSession, path: str, full: T.StructType) -> T.StructType:
-    """The columns (and types) the sink has; the full schema for a new one."""
-    if not _exists(spark, path):
-        return full
-    found = spark.read.option("mergeSchema", "true").parquet(path).schema
-    return T.StructType([*(f for f in found if f.name != "run_id"), T.StructField("run_id", T.StringType())])
 
+def _commit(spark: SparkSession, root: str, change) -> dict:
+    """Commit ``change(last manifest)``; while other writers take its place, on their result."""
+    while True:
+        entry = change(run_log.last(spark, root))
+        try:
+            run_log.commit(spark, root, entry)
+            return entry
+        except run_log.Taken:
+            continue
 
-def _write_run(df: DataFrame, path: str, full: T.StructType) -> None:
-    """Replace one run's folder of a table, in the columns the sink has."""
-    aligned = align_to_schema(df, _sink_schema(df.sparkSession, path, full))
-    aligned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+def create_store(spark: SparkSession, root: str, columns: T.StructType) -> None:
+    """A store with prediction columns of its own, as an older version has left it."""
+    _commit(spark, root, lambda last: _next(last, op="columns", columns=columns.json()))
 
 
 def save_batch(scored: DataFrame, root: str, source_name: str, run_id: str | None = None, mode: str = "text") -> str:
-    """Write one scored batch; returns its run id (``mode``: see ``new_run_id``).
+    """Write one scored batch; returns its run id (S12, ``mode``: 'text' takes a
+    uuid, 'integer' one more than the store's largest).
 
-    Predictions go first, under the run's one timestamp and with ids above all ids of the
-    store; the summary of what was written follows as the commit marker. The input is
-    evaluated once. An empty batch leaves nothing."""
+    The input is evaluated once: the rows are written, their summary is taken from what was
+    written, and the manifest commits both. Saving a run again replaces it in the same commit."""
     spark = scored.sparkSession
-    runs, preds = load(spark, root)
-    rid = run_id or new_run_id(mode, runs)
-    now = F.lit(datetime.now(timezone.utc)).cast("timestamp")
-    first = (preds.where(F.col("run_id") != rid).select(F.max("id")).first()[0] or 0) + 1
-    rows = predictions_frame(scored, rid, created_at=now, id_col=F.monotonically_increasing_id() + F.lit(first))
-    _delete(spark, f"{root}/machine_predictions/run_id={rid}")
-    _write_run(rows, f"{root}/machine_predictions", S.PREDICTIONS_SCHEMA)
-    if _exists(spark, f"{root}/machine_predictions/run_id={rid}"):
-        written = load(spark, root)[1].where(F.col("run_id") == rid)
-        summary = run_summary(written, source_name=source_name, created_at=now).withColumn("run_id", F.lit(rid))
-        _write_run(summary, f"{root}/prediction_runs", S.RUNS_SCHEMA)
-    return rid
+    columns = _columns(run_log.last(spark, root))
+    folder = uuid.uuid4().hex
+    path = f"{root}/machine_predictions/{folder}"
+    rows = align_to_schema(predictions_frame(scored, run_id or "").drop("run_id", "created_at"),
+                           T.StructType([f for f in columns if f.name not in ("run_id", "created_at")]))
+    rows = rows.withColumn("id", F.monotonically_increasing_id())
+    rows.withColumn("_folder", F.lit(folder)).write.parquet(path)
+    written = rows.schema.add("_folder", "string")
+    summed = {c: F.sum(c) if c in rows.columns else F.lit(0.0) for c in ("risk_probability", "predicted_risk")}
+    parts = spark.read.schema(written).parquet(path).groupBy(F.shiftright("id", PLACE_BITS).alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), summed["risk_probability"].alias("risk"),
+        summed["predicted_risk"].cast("long").alias("high")).orderBy("part").collect()   # a row per written partition
+    n = sum(p.n for p in parts)
+    before, at = [], 0
+    for p in parts:
+        before.append({"part": p.part, "before": at})
+        at += p.n
+
+    def change(last: dict | None) -> dict:
+        number = (last["largest_run"] if last else 0) + 1
+        rid = run_id or (str(number) if mode == "integer" else folder)
+        now = max(int(datetime.now(timezone.utc).timestamp() * 1e6), last["saved_us"] if last else 0)
+        first = last["next_id"] if last else 1
+        return _next(
+            last, op="save", run_id=rid, source_name=source_name, folder=folder if n else None, record_count=n,
+            average_risk=sum(p.risk or 0.0 for p in parts) / n if n else 0.0, high_risk_count=sum(p.high or 0 for p in parts),
+            saved_us=now, first_id=first, next_id=first + n, offsets=before, written=written.json(),
+            largest_run=max(number - 1, int(rid) if rid.isascii() and rid.isdigit() else 0))
+
+    entry = _commit(spark, root, change)
+    if not n:
+        run_log.delete(spark, path)
+    return entry["run_id"]
 
 
 def save_single(spark: SparkSession, root: str, values: dict, prediction: int, probability: float,
@@ -150,18 +175,59 @@ def save_single(spark: SparkSession, root: str, values: dict, prediction: int, p
     return save_batch(df, root, "single_machine_demo")
 
 
-def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table in its full schema: a missing folder is empty, missing columns are NULL. Any
-    other read error is raised."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return align_to_schema(spark.read.option("mergeSchema", "true").parquet(path), schema)
+def _runs(live: DataFrame) -> DataFrame:
+    when = F.timestamp_micros("saved_us")
+    return live.select("run_id", "source_name", F.col("record_count").alias("total_records"), "record_count", "average_risk",
+                       F.col("high_risk_count").alias("high_risk"), "high_risk_count", when.alias("created_at"), when.alias("saved_at"))
+
+
+def _predictions(spark: SparkSession, root: str, live: DataFrame) -> DataFrame:
+    """The rows of live runs, in the full schema. Folders are read with the schema their
+    manifest states, so no footer is opened to find columns; runs of one schema are one scan."""
+    folders: dict[str, list[str]] = {}
+    for r in live.where("folder is not null").select("folder", "written").collect():
+        folders.setdefault(r.written, []).append(f"{root}/machine_predictions/{r.folder}")
+    if not folders:
+        return spark.createDataFrame([], S.PREDICTIONS_SCHEMA)
+    wide = T.StructType([f for f in S.PREDICTIONS_SCHEMA if f.name not in ("run_id", "created_at")]).add("_folder", "string")
+    scans = [align_to_schema(spark.read.schema(T.StructType.fromJson(json.loads(w))).parquet(*p), wide) for w, p in folders.items()]
+    rows = scans[0]
+    for more in scans[1:]:
+        rows = rows.unionByName(more)
+    runs = live.select(F.col("folder").alias("_folder"), "run_id", F.timestamp_micros("saved_us").alias("created_at"), "first_id",
+                       F.inline("offsets").alias("_part", "_before"))
+    place = F.col("id").bitwiseAND((1 << PLACE_BITS) - 1)
+    joined = rows.withColumn("_part", F.shiftright("id", PLACE_BITS)).join(runs, ["_folder", "_part"])
+    return align_to_schema(joined.withColumn("id", F.col("first_id") + F.col("_before") + place), S.PREDICTIONS_SCHEMA)
 
 
 def load(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(runs, predictions) of a store; older files may lack columns."""
-    return (_table(spark, f"{root}/prediction_runs", S.RUNS_SCHEMA),
-            _table(spark, f"{root}/machine_predictions", S.PREDICTIONS_SCHEMA))
+    """(runs, predictions) of a store as of now; runs may lack columns (NULL)."""
+    live = run_log.live(run_log.entries(spark, root))
+    return align_to_schema(_runs(live), S.RUNS_SCHEMA), _predictions(spark, root, live)
+
+
+def load_recent(spark: SparkSession, root: str, n: int = 25) -> DataFrame:
+    """The n newest predictions of a store. The log is read from its end, a bucket at a
+    time, until its newest live runs hold n rows; only those runs' folders are read. Times
+    never go back along the log, so no older run can hold a newer row."""
+    seen: dict[str, str] = {}
+    chosen, rows = [], 0
+    for bucket in reversed(run_log.names(spark, f"{root}/_log")):
+        found = run_log.entries(spark, root, [bucket]).where("run_id is not null").select("seq", "op", "run_id", "record_count")
+        for e in found.orderBy(F.desc("seq")).collect():     # at most a bucket of manifests
+            if rows >= n:
+                break
+            if e.run_id not in seen:
+                seen[e.run_id] = e.op
+                if e.op == "save" and e.record_count:
+                    chosen.append((bucket, e.seq))
+                    rows += e.record_count
+        if rows >= n:
+            break
+    log = run_log.entries(spark, root, sorted({b for b, _ in chosen}))
+    newest = _predictions(spark, root, log.where(F.col("seq").isin([s for _, s in chosen])))
+    return newest.orderBy(F.desc("created_at"), F.desc("id")).limit(n).select(*RECENT_COLUMNS)
 
 
 def committed(preds: DataFrame, runs: DataFrame) -> DataFrame:
@@ -188,9 +254,21 @@ def recent(preds: DataFrame, runs: DataFrame, n: int = 25) -> DataFrame:
 
 
 def delete_run(spark: SparkSession, root: str, run_id: str) -> None:
-    """Remove a run, its log row first, and (cascade) its predictions."""
-    _delete(spark, f"{root}/prediction_runs/run_id={run_id}")
-    _delete(spark, f"{root}/machine_predictions/run_id={run_id}")
+    """Remove a run and (cascade) its predictions: by a manifest first, then its folders."""
+    _commit(spark, root, lambda last: _next(last, op="delete", run_id=run_id))
+    gone = run_log.entries(spark, root).where((F.col("run_id") == run_id) & F.col("folder").isNotNull())
+    for r in gone.select("folder").collect():                # one per save of this run
+        run_log.delete(spark, f"{root}/machine_predictions/{r.folder}")
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete folders that no live run names: replaced saves and saves that died. For times
+    without writers and readers; returns the number of folders."""
+    named = {r.folder for r in run_log.live(run_log.entries(spark, root)).select("folder").collect()}
+    unused = [f for f in run_log.names(spark, f"{root}/machine_predictions") if f not in named]
+    for f in unused:
+        run_log.delete(spark, f"{root}/machine_predictions/{f}")
+    return len(unused)
 
 
 def write_csv(df: DataFrame, path: str, cols: list[str] | None = None) -> None:
@@ -217,7 +295,7 @@ def save_metrics(spark: SparkSession, metrics: dict, path: str) -> None:
 
 def load_metrics(spark: SparkSession, path: str) -> dict:
     """{} when there is no file; ``f1_score`` is read as ``f1``."""
-    if not _exists(spark, path):
+    if not run_log.exists(spark, path):
         return {}
     row = spark.read.text(path).first()
     if row is None:

@@ -100,12 +100,13 @@ def test_store_roundtrip_idempotent_and_cascade(spark, tmpdir_run):
 def test_uncommitted_batch_is_invisible(spark, tmpdir_run):
     root = os.path.join(tmpdir_run, "store2")
     ST.save_batch(_scored(spark), root, "ok")
-    # a writer that died after the predictions but before the run row
-    ST.predictions_frame(_scored(spark, 2, "Z"), "dead-run").write.mode("append").partitionBy("run_id").parquet(
-        f"{root}/machine_predictions")
+    # a writer that died after the predictions but before its manifest
+    ST.predictions_frame(_scored(spark, 2, "Z"), "dead-run").write.parquet(f"{root}/machine_predictions/dead")
     runs, preds = ST.load(spark, root)
-    assert ST.recent(preds, runs, 100).filter(F.col("machine_label").startswith("Z")).count() == 0
-    assert ST.orphans(preds, runs).count() == 2
+    assert preds.filter(F.col("machine_label").startswith("Z")).count() == 0 and preds.count() == 5
+    # frames of other origin: rows without a run row
+    dead = ST.predictions_frame(_scored(spark, 2, "Z"), "dead-run")
+    assert ST.orphans(dead, runs).count() == 2 and ST.recent(dead, runs, 100).count() == 0
 
 
 def test_align_to_schema_and_metrics(spark, tmpdir_run):
@@ -170,9 +171,9 @@ def test_store_times_ids_labels_and_errors(spark, tmpdir_run):
     again = runs.where("run_id = '2'").collect()
     assert len(again) == 1 and again[0].record_count == 2 and again[0].source_name == "again"
     ST.save_batch(_scored(spark, 0), root, "none", run_id="empty")
-    assert ST.load(spark, root)[0].count() == 2
-    broken = os.path.join(tmpdir_run, "broken", "prediction_runs")
-    os.makedirs(broken)
-    _write(broken, "part-0.parquet", "not parquet")
+    assert ST.load(spark, root)[0].count() == 3
+    broken = os.path.join(tmpdir_run, "broken", "machine_predictions")
+    one = ST.save_batch(_scored(spark, 2), os.path.dirname(broken), "a")
+    _write(os.path.join(broken, one), "part-1.parquet", "not parquet")
     with pytest.raises(Exception):
-        ST.load(spark, os.path.dirname(broken))[0].count()
+        ST.load(spark, os.path.dirname(broken))[1].count()
