@@ -90,8 +90,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = np.zeros(n + 61, np.int32)
     fits = np.arange(n)
     for s in range(WIDEST, 0, -1):                       # from few wide ids to many narrow ones
-        np.cumsum(need > s, out=wide[1:])
-        fits = fits[wide[fits + COUNTS[s]] == wide[fits]]
+        if len(fits) * COUNTS[s] < n:
+            fits = fits[(need[fits[:, None] + np.arange(COUNTS[s])] <= s).all(axis=1)]
+        else:
+            np.cumsum(need > s, out=wide[1:])
+            fits = fits[wide[fits + COUNTS[s]] == wide[fits]]
         if not len(fits):
             break
         choice[fits] = s
@@ -159,7 +162,7 @@ _SPACE_CUT = re.compile(r"(?<=\S)(?= \S)")
 FIRST = " "                                              # no piece of a split holds a space
 # A word that starts with one pre-token of letters, and what may follow that at once:
 # neither a letter nor a mark of one.
-_WORD = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)([!-@\[-`{-~].*)?", re.S).fullmatch
+_WORD = re.compile(r"([A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]{1,64})([!-@\[-`{-~][!-~]{0,63})?").fullmatch
 
 
 def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
@@ -175,66 +178,78 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-class Recent(dict):
-    """A cache of two generations: when the younger one has ``limit`` entries, it becomes the
-    older one, whose entries stay only if they are asked for again."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, text: str) -> bytes | None:
-        found = self.older.get(text)
-        if found is None:
-            found = self.make(text)
-        if len(text) <= KEPT_CHARS:
-            if len(self) >= self.limit:
-                self.older = dict(self)
-                self.clear()
-            self[text] = found
-        return found
+class Encoder(dict):
+    """Ids of texts as little-endian 32-bit bytes, word by word; the library encodes a
+    pre-token once while the worker's caches hold it. The entry of a word is what it adds behind
+    a space, None for one that single spaces do not cut off.
 
-
-class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, word by word. The library encodes a
-    pre-token once while the worker's caches hold it."""
+    A cache has two generations: one that has grown to ``limit`` entries becomes the older
+    one, whose entries stay only if they are asked for again."""
 
     def __init__(self, data: str, limit: int = CACHE_PIECES):
-        self.model = load_tokenizer(data)
+        super().__init__()
+        self.model, self.limit = load_tokenizer(data), limit
         cut = self.model.pre_tokenizer.pre_tokenize_str
         self.bytes = {ord(c): cut(c)[0][0] for c in map(chr, range(0x41, 0x100)) if _WORD(c)}
         self.space = cut(" a")[0][0][:-1]
-        self.words, self.letters = Recent(self.word, limit), Recent(self.behind_space, limit)
-        self.pieces = Recent(self.alone, limit // 4)
+        self.letters, self.pieces = {}, {}
+        self.older, self.older_letters = {}, {}
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+        if len(self.letters) > self.limit:
+            self.letters, self.older_letters = {}, self.letters
+        if len(self.pieces) > self.limit // 4:
+            self.pieces = {}
 
     def alone(self, text: str) -> bytes:
         return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def behind_space(self, letters: str) -> bytes:
-        """One pre-token, a space and letters, goes to the library's model at once."""
-        form = letters if letters.isascii() else letters.translate(self.bytes)
-        return array("I", [t.id for t in self.model.model.tokenize(self.space + form)]).tobytes()
+    def piece(self, text: str) -> bytes:
+        """Ids of what lies between two cuts."""
+        found = self.pieces.get(text)
+        if found is None:
+            found = self.alone(text)
+            if len(text) <= KEPT_CHARS:
+                self.pieces[text] = found
+        return found
 
     def careful(self, text: str) -> bytes:
         """Ids of a text with any white space, cut wherever that is safe."""
-        return b"".join([self.pieces[x] for x in _CUT.split(text)])
-
-    def word(self, word: str) -> bytes | None:
-        """Ids of a word behind a single space; None for one that single spaces do not cut off."""
-        m = _WORD(word)
-        if m and not m[2]:
-            return self.letters[word]
-        if m and "\n" not in m[2]:
-            return self.letters[m[1]] + self.pieces[m[2]]
-        if word == FIRST:
-            return b""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        return self.careful(" " + word)
+        return b"".join([self.piece(x) for x in _CUT.split(text)])
+
+    def behind_space(self, letters: str) -> bytes:
+        """One pre-token, a space and letters, goes to the library's model at once."""
+        found = self.letters.get(letters) or self.older_letters.get(letters)
+        if found is None:
+            form = letters if letters.isascii() else letters.translate(self.bytes)
+            found = array("I", [t.id for t in self.model.model.tokenize(self.space + form)]).tobytes()
+        self.letters[letters] = found
+        return found
+
+    def __missing__(self, word: str) -> bytes | None:
+        found = self.older.get(word)
+        if found is None:
+            m = _WORD(word)
+            if m:
+                letters, rest = m.groups()
+                # A word of letters alone is one object in both caches.
+                found = self.behind_space(letters) + self.piece(rest) if rest else self.behind_space(word)
+            elif word == FIRST:
+                found = b""
+            elif word and not word[0].isspace() and not word[-1].isspace():
+                found = self.careful(" " + word)
+                if len(word) > KEPT_CHARS or "\n" in word:
+                    return found
+        self[word] = found
+        return found
 
     def ids(self, text: str) -> bytes:
-        out, known = [], self.words.__getitem__
+        out, known = [], self.__getitem__
         for part in slices(text) if len(text) > SLICE_CHARS else (text,):
+            self.age()
             words = part.split(" ")
             first, words[0] = words[0], FIRST            # nothing stands in front of it
             try:

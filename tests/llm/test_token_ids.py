@@ -54,7 +54,7 @@ def test_cut_texts_encode_like_whole_ones(model, monkeypatch):
     assert [encoder.ids(t) for t in texts] == whole
     monkeypatch.setattr(K, "SLICE_CHARS", 5)
     assert [encoder.ids(t) for t in texts] == whole
-    assert len(encoder.letters) <= 200 and len(encoder.words) <= 200
+    assert len(encoder.letters) <= 210 and len(encoder) <= 210
 
 
 def test_files_equal_the_library(spark, model):
