@@ -1053,7 +1053,7 @@ def _run_updates(spark, sdf, keys: list[str]) -> DataFrame:
     from riskengine.streaming.stream import latest, upsert_stream
 
     base = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-stream-{uuid.uuid4().hex}"
-    q = upsert_stream(sdf, f"{base}/out", f"{base}/checkpoint")
+    q = upsert_stream(sdf, f"{base}/out", f"{base}/checkpoint", keys)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -1077,14 +1077,21 @@ def q_stream_scores(spark, d):
 
 @register("stream_crossings", REGISTRY["threshold_crossings"].sql, doubles=("risk_probability",))
 def q_stream_crossings(spark, d):
-    """R2 (stream): event-time slices per machine, stitched; equals the batch form."""
+    """R2 (stream): settled crossings and open slices of every machine; equals the batch form."""
+    import uuid
+
     from riskengine.operators.score import label_and_recommend, linear_score
-    from riskengine.streaming.stream import crossing_slices, stitch_crossings
+    from riskengine.session import checkpoint_dir
+    from riskengine.streaming.stream import crossings_stream, read_crossings
 
+    base = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-stream-{uuid.uuid4().hex}"
     sdf = FX.fleet_from_events(FX.events_stream(spark, d))
     scored = label_and_recommend(linear_score(sdf, offset=FX.FLEET_OFFSET, scale=FX.FLEET_SCALE))
-    slices = _run_updates(spark, crossing_slices(scored, width="1 day", delay="1 day"), ["machine", "slice"])
-    return stitch_crossings(slices, 0.5).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    q = crossings_stream(scored, f"{base}/out", f"{base}/checkpoint", threshold=0.5, width="10 days", delay="1 day")
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return read_crossings(spark, f"{base}/out", 0.5).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @register("stream_hourly_kpis", REGISTRY["hourly_kpis"].sql, doubles=("avg_risk",))

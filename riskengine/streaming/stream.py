@@ -1,10 +1,12 @@
 """Structured Streaming: score a live feed (R1), alert on threshold crossings (R2),
 an idempotent run-store sink (R3) and event-time KPIs per window (R4).
 
-R2 and R4 keep JVM aggregates per event-time window. Their sink writes every update of a
-window under its micro-batch number and ``latest`` reads the last update of each, so the
-newest window is there too, long before the watermark closes it. The batch form of each
-works on a static DataFrame.
+R2 keeps per (machine, slice) the side of its last settled reading and the readings that
+the watermark has not passed: a crossing is given out once, when no late reading can
+change it, and a slice's state goes when the watermark closes it. R4 keeps JVM aggregates per window.
+Both write what changed under its micro-batch number and fold that now and then, so
+``latest`` reads a bounded number of versions; the newest readings and windows are there
+too, long before the watermark closes them. The batch form of each works on a static DataFrame.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 from riskengine import schema as S
 from riskengine.operators.analytics import kpi_aggs
 from riskengine.operators.indexing import lag_by
+from riskengine.sources import run_log
 
 
 def crossings(df: DataFrame, threshold: float = 0.5, key: str = S.LABEL_COLUMN, ts: str = "ts",
@@ -31,52 +34,182 @@ def crossings(df: DataFrame, threshold: float = 0.5, key: str = S.LABEL_COLUMN,
     )
 
 
-def crossing_slices(sdf: DataFrame, ts: str = "ts", width: str = "1 hour", delay: str = "10 minutes",
-                    key: str = S.LABEL_COLUMN) -> DataFrame:
-    """R2 (stream): each machine's readings per event-time slice, in (time, record) order.
-    A slice is a state of its own, so a busy machine is spread over many, and rows that
-    come out of order within the watermark still find their place."""
-    src = sdf.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    reading = F.struct(F.col(ts).alias("ts"), "record", "risk_probability")
-    return src.groupBy(F.col(key).alias("machine"), F.window(ts, width).alias("w")).agg(
-        F.sort_array(F.collect_list(reading)).alias("readings")).select(
-        "machine", F.col("w.start").alias("slice"), "readings")
-
+# kind 'event': a settled crossing inside a slice: its reading (us, record, risk_probability).
+# kind 'slice': the slice as of a micro-batch: its first settled reading and the value of its
+# last settled one (with ``settled``), and in order the readings that are not settled yet.
+CHANGES = T.StructType([
+    T.StructField("machine", T.StringType()), T.StructField("slice_us", T.LongType()), T.StructField("kind", T.StringType()),
+    T.StructField("crossing", T.StringType()), T.StructField("us", T.LongType()), T.StructField("record", T.LongType()),
+    T.StructField("risk_probability", T.DoubleType()), T.StructField("settled", T.BooleanType()),
+    T.StructField("last", T.DoubleType()), T.StructField("open_us", T.ArrayType(T.LongType())),
+    T.StructField("open_record", T.ArrayType(T.LongType())), T.StructField("open_risk", T.ArrayType(T.DoubleType()))])
+_STATE = T.StructType([
+    T.StructField("first", T.BinaryType()), T.StructField("settled", T.DoubleType()), T.StructField("open", T.BinaryType())])
+_DTYPE = [("us", "<i8"), ("record", "<i8"), ("risk_probability", "<f8")]
+
+
+def crossing_changes(sdf: DataFrame, threshold: float = 0.5, ts: str = "ts", width: str = "1 hour", delay: str = "10 minutes",
+                     key: str = S.LABEL_COLUMN) -> DataFrame:
+    """R2 (stream): changes of every (machine, event-time slice), see ``CHANGES``. A slice is a
+    state of its own, so a busy machine is spread over many; the state holds the readings of
+    the last ``delay`` only, however long the slice is."""
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
-def stitch_crossings(slices: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Crossings of ``crossing_slices``' rows: inside a slice from reading to reading, and
-    from the last reading of the machine's slice before it (one row per slice)."""
-    before = F.lag(F.element_at("readings", -1)["risk_probability"]).over(Window.partitionBy("machine").orderBy("slice"))
-    linked = slices.withColumn("before", F.coalesce(before, F.lit(-1.0)))
+    src = sdf.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    w = F.window(ts, width)
+    src = src.select(F.col(key).cast("string").alias("machine"), F.unix_micros(w["start"]).alias("slice_us"),
+                     F.unix_micros(w["end"]).alias("end_us"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"),
+                     F.col("record").cast("long").alias("record"), F.col("risk_probability").cast("double").alias("risk_probability"))
+
+    def advance(group, frames, state):
+        machine, slice_us, end_us = group[0], int(group[1]), int(group[2])
+        first, settled, held = state.get if state.exists else (None, None, b"")
+        rows = [np.frombuffer(held, _DTYPE)]
+        if not state.hasTimedOut:
+            rows += [f[["us", "record", "risk_probability"]].to_records(index=False).astype(_DTYPE) for f in frames]
+        readings = np.sort(np.concatenate(rows), order=["us", "record"])
+        mark = state.getCurrentWatermarkMs() * 1000
+        closed = state.hasTimedOut or mark >= end_us
+        cut = len(readings) if closed else int(np.searchsorted(readings["us"], mark))
+        out = []
+        for r in readings[:cut]:
+            value = float(r["risk_probability"])
+            if first is None:
+                first = r.tobytes()
+            elif (value >= threshold) != (settled >= threshold):
+                out.append(("event", "rising" if value >= threshold else "falling", *r.tolist(), True, 0.0, [], [], []))
+            settled = value
+        left = readings[cut:]
+        start = np.frombuffer(first, _DTYPE)[0].tolist() if first else (0, 0, 0.0)
+        out.append(("slice", "", *start, first is not None, settled or 0.0, *(left[c].tolist() for c in left.dtype.names)))
+        if closed:
+            state.remove()
+        else:
+            state.update((first, settled, left.tobytes()))
+            state.setTimeoutTimestamp(max(end_us // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(machine, slice_us, *o) for o in out], columns=CHANGES.names)
+
+    return src.groupBy("machine", "slice_us", "end_us").applyInPandasWithState(
+        advance, CHANGES, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def stitched_crossings(events: DataFrame, slices: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """All crossings so far: the settled ones, those among the readings still open, and those
+    from a machine's slice to its next (one row per slice)."""
+    reading = lambda us, record, risk: F.struct(us.alias("us"), record.alias("record"), risk.alias("risk_probability"))
+    rows = slices.select("machine", "slice_us", F.when(F.col("settled"), F.col("last")).alias("settled"),
+                         F.when(F.col("settled"), reading(F.col("us"), F.col("record"), F.col("risk_probability"))).alias("first"),
+                         F.transform(F.arrays_zip("open_us", "open_record", "open_risk"),
+                                     lambda o: reading(o["open_us"], o["open_record"], o["open_risk"])).alias("open"))
+    last = F.coalesce(F.get("open", F.size("open") - 1)["risk_probability"], F.col("settled"))
+    before = F.lag(last).over(Window.partitionBy("machine").orderBy("slice_us"))
+    linked = rows.withColumn("before", F.coalesce(before, F.lit(-1.0)))
     t = F.lit(float(threshold))
 
-    def move(r, i):
-        was = F.when(i == 0, F.col("before")).otherwise(F.get("readings", i - 1)["risk_probability"])
+    def move(r, was):
         above = r["risk_probability"] >= t
-        return F.struct(r["record"].alias("record"), r["ts"].alias("ts"), r["risk_probability"].alias("risk_probability"),
+        return F.struct(r["us"].alias("us"), r["record"].alias("record"), r["risk_probability"].alias("risk_probability"),
                         F.when(above != (was >= t), F.when(above, "rising").otherwise("falling")).alias("crossing"))
 
-    moves = F.filter(F.transform("readings", move), lambda m: m["crossing"].isNotNull())
-    out = linked.select("machine", F.explode(moves).alias("m"))
-    return out.select("m.record", F.col("machine").alias(S.LABEL_COLUMN), "m.ts", "m.risk_probability", "m.crossing")
+    def opened(r, i):
+        return move(r, F.when(i == 0, F.coalesce("settled", "before")).otherwise(F.get("open", i - 1)["risk_probability"]))
+
+    firsts = F.filter(F.array("first"), lambda r: r.isNotNull())
+    moves = F.concat(F.transform(firsts, lambda r: move(r, F.col("before"))), F.transform("open", opened))
+    fresh = linked.select("machine", F.inline(F.filter(moves, lambda m: m["crossing"].isNotNull())))
+    found = events.select("machine", "us", "record", "risk_probability", "crossing").unionByName(fresh)
+    return found.select("record", F.col("machine").alias(S.LABEL_COLUMN), F.timestamp_micros("us").alias("ts"),
+                        "risk_probability", "crossing")
+
+
+COMPACT_EVERY = 20
+
 
+def _fold(spark: SparkSession, path: str, batch_id: int, keys: list[str], schema: T.StructType, part: str) -> None:
+    """One file set with each key's latest row up to ``batch_id``. A replay writes it anew; the
+    base before it stays for readers, what is older goes."""
+    older = [n for n in run_log.names(spark, path) if n.startswith("base=") and _number(n) < batch_id]
+    latest(spark, path, keys, schema, part, upto=batch_id, version=True).write.mode("overwrite").parquet(f"{path}/base={batch_id}")
+    if older:
+        kept = max(map(_number, older))
+        for n in run_log.names(spark, path):
+            if _number(n) < kept and n.startswith("base="):
+                run_log.delete(spark, f"{path}/{n}")
+            elif _number(n) <= kept and n.startswith("batch="):
+                run_log.delete(spark, f"{path}/{n}/{part}" if part else f"{path}/{n}")
+
+
+def _number(name: str) -> int:
+    return int(name.split("=")[1])
+
+
+def upsert_stream(sdf: DataFrame, path: str, checkpoint: str, keys: list[str], trigger: dict | None = None,
+                  part: str = "", compact_every: int = COMPACT_EVERY):
+    """Write every update of a stream under its micro-batch number; a replayed batch overwrites
+    its own folder. Every ``compact_every`` batches each key's latest row is folded into a
+    base, so a reader opens the base and fewer than ``compact_every`` batches. With ``part`` (a
+    ``column=value`` of the rows) only those rows are upserts; the others are appended."""
+    column = part.split("=")[0]
+    schema = T.StructType([f for f in sdf.schema if f.name != column])
 
-def upsert_stream(sdf: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """Write every update of an aggregated stream under its micro-batch number; a replayed
-    batch overwrites its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        out = batch.write.mode("overwrite")
+        (out.partitionBy(column) if part else out).parquet(f"{path}/batch={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            _fold(batch.sparkSession, path, batch_id, keys, schema, part)
 
     w = sdf.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def latest(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
+def version_folders(spark: SparkSession, path: str, part: str = "", upto: int | None = None) -> list[tuple[int, str]]:
+    """(batch, folder) of the newest whole base and of the batches after it."""
+    found = [n for n in run_log.names(spark, path) if "=" in n and (upto is None or _number(n) <= upto)]
+    bases = [_number(n) for n in found if n.startswith("base=") and run_log.exists(spark, f"{path}/{n}/_SUCCESS")
+             and (upto is None or _number(n) < upto)]
+    base = max(bases, default=-1)
+    out = [(base, f"{path}/base={base}")] if bases else []
+    for n in sorted((n for n in found if n.startswith("batch=") and _number(n) > base), key=_number):
+        folder = f"{path}/{n}/{part}" if part else f"{path}/{n}"
+        if run_log.exists(spark, f"{path}/{n}/_SUCCESS") and (not part or run_log.exists(spark, folder)):
+            out.append((_number(n), folder))
+    return out
+
+
+def latest(spark: SparkSession, path: str, keys: list[str], schema: T.StructType, part: str = "", upto: int | None = None,
+           version: bool = False) -> DataFrame:
     """The last written update of every key."""
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch")]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-    return last.select(*keys, "v.*")
+    rows = None
+    for number, folder in version_folders(spark, path, part, upto):
+        own = T.StructType([*schema.fields, *([T.StructField("_batch", T.LongType())] if "/base=" in folder else [])])
+        read = spark.read.schema(own).parquet(folder)
+        read = read if "_batch" in read.columns else read.withColumn("_batch", F.lit(number).cast("long"))
+        rows = read if rows is None else rows.unionByName(read)
+    if rows is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, *([T.StructField("_batch", T.LongType())] if version else [])]))
+    values = [c for c in rows.columns if c not in (*keys, "_batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"), F.max("_batch").alias("_batch"))
+    return last.select(*keys, "v.*", *(["_batch"] if version else []))
+
+
+CROSSING_KEYS = ["machine", "slice_us"]
+
+
+def crossings_stream(sdf: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+                     compact_every: int = COMPACT_EVERY, **options):
+    """R2: run ``crossing_changes`` into a folder that ``read_crossings`` reads."""
+    return upsert_stream(crossing_changes(sdf, **options), path, checkpoint, CROSSING_KEYS, trigger, "kind=slice", compact_every)
+
+
+def read_crossings(spark: SparkSession, path: str, threshold: float = 0.5) -> DataFrame:
+    """R2: all crossings of ``crossings_stream``'s folder, the newest readings included."""
+    fields = T.StructType([f for f in CHANGES if f.name != "kind"])
+    folders = [f"{path}/{n}/kind=event" for n in run_log.names(spark, path) if n.startswith("batch=")]
+    folders = [f for f in folders if run_log.exists(spark, f)]
+    events = spark.read.schema(fields).parquet(*folders) if folders else spark.createDataFrame([], fields)
+    return stitched_crossings(events, latest(spark, path, CROSSING_KEYS, fields, "kind=slice"), threshold)
 
 
 def score_stream(sdf: DataFrame, model=None, keep: tuple[str, ...] = (), offset: float = 0.0,

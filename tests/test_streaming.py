@@ -36,7 +36,7 @@ def test_score_stream_matches_batch(spark, tmpdir_run):
 
 def _run_updates(spark, sdf, d, keys):
     out = os.path.join(d, "updates")
-    R.upsert_stream(sdf, out, os.path.join(d, "updates-ck")).awaitTermination(300)
+    R.upsert_stream(sdf, out, os.path.join(d, "updates-ck"), keys).awaitTermination(300)
     return R.latest(spark, out, keys, sdf.schema)
 
 
@@ -58,9 +58,67 @@ def test_crossings_stream_equals_batch_out_of_order(spark, tmpdir_run):
     src = os.path.join(tmpdir_run, "feed")
     f.repartition(4, F.xxhash64("record")).write.parquet(src)
     sdf = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    slices = _run_updates(spark, R.crossing_slices(sdf, width="6 hours", delay="60 days"), tmpdir_run, ["machine", "slice"])
-    got = {(r.record, r.crossing) for r in R.stitch_crossings(slices, 0.5).collect()}
-    assert got == {(r.record, r.crossing) for r in R.crossings(f, 0.5, bucket=128).collect()}
+    out, ck = os.path.join(tmpdir_run, "out"), os.path.join(tmpdir_run, "ck")
+    R.crossings_stream(sdf, out, ck, width="6 hours", delay="60 days", compact_every=2).awaitTermination(300)
+    got = [(r.record, r.crossing) for r in R.read_crossings(spark, out, 0.5).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(r.record, r.crossing) for r in R.crossings(f, 0.5, bucket=128).collect()}
+
+
+def _readings(spark, n, seconds, shuffle=0):
+    """One hot machine and others, a reading each ``seconds``, out of order by ``shuffle`` places."""
+    import random
+
+    r = random.Random(6)
+    rows = [(i, "HOT" if i % 3 == 0 else f"M{i % 7}", i * seconds, r.choice([0.1, 0.4, 0.5, 0.9])) for i in range(n)]
+    rows.sort(key=lambda x: x[0] + r.uniform(0, shuffle))
+    return spark.createDataFrame(rows, "record long, machine_label string, s long, risk_probability double").select(
+        "record", "machine_label", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "risk_probability")
+
+
+def test_crossings_settle_once_and_state_stays_small(spark, tmpdir_run):
+    """Batches in time order, each a little out of order: what the watermark has passed is
+    given out once, and what is kept does not grow with the readings of a slice."""
+    rows = _readings(spark, 3000, 60, shuffle=5).collect()
+    src, out, ck = (os.path.join(tmpdir_run, x) for x in ("feed", "out", "ck"))
+    schema = _readings(spark, 1, 1).schema
+    kept, fields = [], R.T.StructType([f for f in R.CHANGES if f.name != "kind"])
+    for i in range(0, 3000, 500):
+        spark.createDataFrame(rows[i:i + 500], schema).coalesce(1).write.mode("append").parquet(src)
+        sdf = spark.readStream.schema(schema).parquet(src)
+        R.crossings_stream(sdf, out, ck, width="30 days", delay="20 minutes", compact_every=3).awaitTermination(120)
+        slices = R.latest(spark, out, R.CROSSING_KEYS, fields, "kind=slice")
+        kept.append(slices.agg(F.sum(F.size("open_us"))).first()[0])
+        got = [(r.record, r.crossing) for r in R.read_crossings(spark, out, 0.5).collect()]
+        expected = R.crossings(spark.createDataFrame(rows[:i + 500], schema), 0.5, bucket=128)
+        assert len(got) == len(set(got)) and set(got) == {(r.record, r.crossing) for r in expected.collect()}
+    assert max(kept) <= 500 + 60                         # the last micro-batch and some 20 minutes, one reading a minute
+    # the newest base and the batches behind it, whatever the number of micro-batches
+    assert len(R.version_folders(spark, out, "kind=slice")) <= 3
+
+
+def test_upserts_are_folded_and_replays_change_nothing(spark, tmpdir_run):
+    src, out, ck = (os.path.join(tmpdir_run, x) for x in ("feed", "out", "ck"))
+    frame = lambda i: spark.range(i, i + 4).selectExpr(f"timestamp_seconds({i} * 100 + id) AS ts", "CAST(id AS DOUBLE) AS risk_probability",
+                                                       "1 AS predicted_risk")
+    for i in range(9):
+        frame(i).coalesce(1).write.mode("append").parquet(src)
+    sdf = spark.readStream.schema(frame(0).schema).option("maxFilesPerTrigger", 1).parquet(src)
+    per = sdf.withWatermark("ts", "1 day").groupBy(F.window("ts", "5 minutes").alias("w")).agg(
+        F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("w"), "n")
+    R.upsert_stream(per, out, ck, ["w"], compact_every=4).awaitTermination(300)
+    expected = {}
+    for i in range(9):
+        for k in range(i, i + 4):
+            w = (i * 100 + k) // 300
+            expected[w] = expected.get(w, 0) + 1
+    read = lambda: {int(r.w.timestamp()) // 300: r.n for r in R.latest(spark, out, ["w"], per.schema).collect()}
+    assert read() == expected and len(R.version_folders(spark, out)) <= 4
+    names = os.listdir(out)
+    R._fold(spark, out, 7, ["w"], per.schema, "")       # a batch that runs again
+    assert read() == expected and set(os.listdir(out)) <= set(names)
+    os.remove(os.path.join(out, "base=7", "_SUCCESS"))  # a base that was not finished
+    assert read() == expected
 
 
 def test_events_stream_reads_a_folder_of_parts(spark, tmpdir_run):
