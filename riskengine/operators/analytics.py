@@ -83,21 +83,30 @@ def nice_width(lo: float, hi: float, nbins: int) -> float:
     return float(10 ** (exp + 1))
 
 
+LOWEST_BIN, HIGHEST_BIN = -(1 << 31), (1 << 31) - 1
+
+
 def histogram(df: DataFrame, col: str = PROB, nbins: int = 30, lo: float = 0.0, hi: float = 1.0,
               width: float | None = None) -> DataFrame:
     """Equal-width bins; every non-missing value is counted. Empty bins between ``lo``
     and ``hi`` are kept, ``hi`` itself goes in the last of them, and values outside get
-    bins of their own (negative below ``lo``)."""
+    bins of their own (negative below ``lo``). The outermost four numbers of an int are the bins
+    of -infinity, of all values too far below or above for a number, and of infinity."""
     w = width or nice_width(lo, hi, nbins)
     k = int(math.ceil(round((hi - lo) / w, 9)))
     x = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    b = F.when(x == F.lit(float(hi)), F.lit(k - 1)).otherwise(F.floor((x - F.lit(lo)) / F.lit(w)).cast("int"))
+    inf = F.lit(float("inf"))
+    far = F.least(F.greatest((x - F.lit(lo)) / F.lit(w), F.lit(float(LOWEST_BIN + 1))), F.lit(float(HIGHEST_BIN - 1)))
+    b = (F.when(x == F.lit(float(hi)), F.lit(k - 1)).when(x == inf, F.lit(HIGHEST_BIN)).when(x == -inf, F.lit(LOWEST_BIN))
+         .otherwise(F.floor(far).cast("int")))
     counts = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     spine = df.sparkSession.range(0, k).select(F.col("id").cast("int").alias("bin"))
+    bound = lambda at: (F.when(F.col("bin") == HIGHEST_BIN, inf).when(F.col("bin") == LOWEST_BIN, -inf)
+                        .otherwise(F.lit(lo) + at * F.lit(w)))
     return spine.join(counts, "bin", "full_outer").select(
         "bin",
-        (F.lit(lo) + F.col("bin") * F.lit(w)).alias("bin_start"),
-        (F.lit(lo) + (F.col("bin") + 1) * F.lit(w)).alias("bin_end"),
+        bound(F.col("bin").cast("double")).alias("bin_start"),
+        bound(F.col("bin").cast("double") + 1).alias("bin_end"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
     )
 
@@ -105,36 +114,44 @@ def histogram(df: DataFrame, col: str = PROB, nbins: int = 30, lo: float = 0.0,
 def correlation(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Full Pearson matrix as (x, y, corr) rows on pairwise-complete values.
 
-    Two one-row aggregates over the input: the columns' means, then for every pair the
-    sums of products and squares of the values less those means (the shift keeps the sums
-    from cancelling), over the rows where both are present. Only partial sums are
-    shuffled. A constant column gives NULL.
+    Two one-row aggregates over the input: first the columns' means and counts (a few
+    numbers, put into the second as literals), then sums of the values less those means
+    (the shift keeps the sums from cancelling) and of their products. Columns without missing
+    values share their sums; only pairs with a column that has some need sums over the
+    rows where both are present. Only partial sums are shuffled. A constant column gives NULL.
     """
     cols = cols or S.FEATURE_COLUMNS + [PROB]
+    k = range(len(cols))
     none = F.lit(None).cast("double")
     rows = df.select(*[F.nanvl(F.col(c).cast("double"), none).alias(f"c{i}") for i, c in enumerate(cols)])
-    means = rows.agg(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(len(cols))])
-    shift = means.select(F.struct("*").alias("m")).scalar()
-    rows = rows.select(*[(F.col(f"c{i}") - shift[f"m{i}"]).alias(f"c{i}") for i in range(len(cols))])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    sums = []
-    for i, j in pairs:
-        x, y = F.col(f"c{i}"), F.col(f"c{j}")
-        both = x.isNotNull() & y.isNotNull()
-        sums += [F.struct(
-            F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), F.sum(F.when(both, 1.0)).alias("n"),
-            F.sum(F.when(both, x)).alias("sx"), F.sum(F.when(both, y)).alias("sy"), F.sum(x * y).alias("xy"),
-            F.sum(F.when(both, x * x)).alias("xx"), F.sum(F.when(both, y * y)).alias("yy"))]
-    long = rows.agg(F.array(*sums).alias("p")).select(F.inline("p"))
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *[e for i in k for e in (
+        F.avg(f"c{i}").alias(f"m{i}"), F.count(f"c{i}").alias(f"n{i}"))]).first()
+    rows = rows.select(*[(F.col(f"c{i}") - F.lit(first[f"m{i}"] or 0.0)).alias(f"c{i}") for i in k])
+    full = [first[f"n{i}"] == first["n"] for i in k]
+    c = [F.col(f"c{i}") for i in k]
+    sums = [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c[i]).alias(f"s{i}") for i in k]]
+    parts = []
+    for i in k:
+        for j in range(i, len(cols)):
+            sums.append(F.sum(c[i] * c[j]).alias(f"p{i}_{j}"))
+            named = {"n": "n", "sx": f"s{i}", "sy": f"s{j}", "xx": f"p{i}_{i}", "yy": f"p{j}_{j}"}
+            if not (full[i] and full[j]):
+                both = c[i].isNotNull() & c[j].isNotNull()
+                for name, value in zip(named, (F.lit(1.0), c[i], c[j], c[i] * c[i], c[j] * c[j])):
+                    named[name] = f"{name}{i}_{j}"
+                    sums.append(F.sum(F.when(both, value)).alias(named[name]))
+            parts.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), F.col(f"p{i}_{j}").alias("xy"),
+                                  *[F.col(v).alias(name) for name, v in named.items()]))
+    long = rows.agg(*sums).select(F.inline(F.array(*parts)))
     n = F.col("n")
     vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / n, F.col("yy") - F.col("sy") * F.col("sy") / n
     # A variance within rounding of the squares it comes from is a constant column.
     varied = (vx > F.col("xx") * F.lit(1e-14)) & (vy > F.col("yy") * F.lit(1e-14))
     r = F.when(F.col("x") == F.col("y"), F.lit(1.0)).otherwise(
         (F.col("xy") - F.col("sx") * F.col("sy") / n) / (F.sqrt(vx) * F.sqrt(vy)))
-    half = long.select("x", "y", F.when(varied, r).alias("corr"))
-    flipped = half.where("x <> y").select(F.col("y").alias("x"), F.col("x").alias("y"), "corr")
-    return half.unionByName(flipped)
+    value = F.when(varied, r).alias("corr")
+    one, other = F.struct("x", "y", value), F.struct(F.col("y").alias("x"), F.col("x").alias("y"), value)
+    return long.select(F.inline(F.when(F.col("x") == F.col("y"), F.array(one)).otherwise(F.array(one, other))))
 
 
 def machines(df: DataFrame, label: str = S.LABEL_COLUMN, order: str = "record") -> DataFrame:

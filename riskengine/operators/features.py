@@ -26,16 +26,25 @@ def cap_outliers(df: DataFrame, cols: list[str] | None = None, lo: float = 0.01,
     return df.withColumns({c: F.least(F.greatest(F.col(c), get(c, lo)), get(c, hi)) for c in cols})
 
 
+def category_name(col: str, value) -> str:
+    """E5: the column of a category. NULL is ``<col>_null``; a text that reads ``null`` behind any
+    number of backslashes gets one more, so no two categories share a name."""
+    text = "null" if value is None else str(value)
+    escaped = value is not None and text.lstrip("\\") == "null"
+    return f"{col}_" + "\\" * escaped + text
+
+
 def one_hot(df: DataFrame, col: str, values: list) -> DataFrame:
     """E5: one 0/1 column per given category (NULL is a category like any other)."""
-    named = {f"{col}_{v}" if v is not None else f"{col}_null": F.col(col).eqNullSafe(F.lit(v)).cast("int") for v in values}
-    return df.withColumns(named)
+    return df.withColumns({category_name(col, v): F.col(col).eqNullSafe(F.lit(v)).cast("int") for v in values})
 
 
 def one_hot_long(df: DataFrame, col: str, key: str = "record") -> DataFrame:
-    """E5 for any number of categories: (key, category, 1), the entries that are not 0."""
-    return df.select(key, F.concat(F.lit(f"{col}_"), F.coalesce(F.col(col).cast("string"), F.lit("null"))).alias("category"),
-                     F.lit(1).alias("value"))
+    """E5 for any number of categories: (key, category, 1), the entries that are not 0; names as
+    ``category_name`` gives them."""
+    text = F.col(col).cast("string")
+    name = F.when(text.isNull(), "null").when(text.rlike(r"^\\*null\z"), F.concat(F.lit("\\"), text)).otherwise(text)
+    return df.select(key, F.concat(F.lit(f"{col}_"), name).alias("category"), F.lit(1).alias("value"))
 
 
 def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

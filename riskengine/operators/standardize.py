@@ -78,8 +78,9 @@ def _features(df: DataFrame, sources: dict[str, str | None], machine_alias: str
                 if bearing_all_missing:
                     parsed = derived
             else:
-                n_present = df.select(F.count(parse_column(df, src))).scalar()
-                parsed = F.when(n_present == F.lit(0), derived).otherwise(parsed)
+                # one present value decides: every task stops at its first
+                some = df.where(parse_column(df, src).isNotNull()).select(F.lit(1).alias("x")).limit(1)
+                parsed = F.when(some.select(F.count("x")).scalar() == F.lit(0), derived).otherwise(parsed)
         out.append(F.coalesce(parsed, F.lit(S.FEATURE_DEFAULTS[feat])).cast("double").alias(feat))
     return out
 

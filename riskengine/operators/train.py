@@ -304,3 +304,17 @@ def metrics_frame(spark, metrics: dict) -> DataFrame:
     """S17 shape: (metric, value) rows; the published key ``f1_score`` reads as ``f1``."""
     rows = [("f1" if k == "f1_score" else k, float(v)) for k, v in metrics.items()]
     return spark.createDataFrame(rows, "metric string, value double")
+
+
+def logistic_gradient(rows: DataFrame, parts: tuple, penalty: float, prob: str = "risk_probability",
+                      weight: str = "weight") -> DataFrame:
+    """M5: the gradient of the penalised, weighted log loss at a fitted model, one column for
+    the intercept and one per coefficient (``g_<feature>``), in one scan: the weighted mean of
+    (probability - class) times the standardised input, plus penalty times coefficient. A
+    fit is optimal just where all are 0."""
+    coef, _, med, mean, std = parts
+    miss = F.col(weight) * (F.col(prob) - F.col(S.TARGET_COLUMN))
+    z = {c: (F.coalesce(F.col(c), F.lit(float(med[c]))) - F.lit(float(mean[c]))) / F.lit(float(std[c])) for c in coef}
+    total = F.sum(weight)
+    return rows.agg((F.sum(miss) / total).alias("g_intercept"),
+                    *[(F.sum(miss * z[c]) / total + F.lit(penalty * float(coef[c]))).alias(f"g_{c}") for c in coef])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from riskengine import schema as S
 from riskengine.operators import analytics as G
+from riskengine.operators import explain as X
+from riskengine.operators import features as E
 from riskengine.operators import indexing as W
 from riskengine.operators import split as SP
 from riskengine.operators import train as TR
@@ -363,3 +365,80 @@ def test_registered_forests_fit_the_references_trees(spark, monkeypatch, name):
     with pytest.raises(Asked) as stop:
         REGISTRY[name].run(spark, "/root/testdata/sf0.001")
     assert stop.value.args == (220,)
+
+
+def test_histogram_counts_infinite_and_far_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(x,) for x in (0.05, 1.0, inf, inf, -inf, 1e300, -1e300, float("nan"), None)], "p double")
+    rows = {r.bin: r for r in G.histogram(df, "p", width=0.1).collect() if r["count"]}
+    assert sum(r["count"] for r in rows.values()) == 7
+    assert (rows[G.HIGHEST_BIN]["count"], rows[G.HIGHEST_BIN].bin_start) == (2, inf)
+    assert (rows[G.LOWEST_BIN]["count"], rows[G.LOWEST_BIN].bin_end) == (1, -inf)
+    assert rows[G.HIGHEST_BIN - 1]["count"] == 1 and rows[G.LOWEST_BIN + 1]["count"] == 1 and rows[0]["count"] == 1
+
+
+def test_correlation_with_and_without_missing_values(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(1e6, 1.0, (400, 4))
+    data[:, 3] = 7.0
+    frame = pd.DataFrame(data, columns=list("abcd"))
+    frame["e"] = frame["a"].where(rng.random(400) > 0.4) * 2 + rng.normal(0, 1, 400)
+    frame["f"] = frame["b"].where(rng.random(400) > 0.4)
+    rows = [tuple(None if pd.isna(v) else float(v) for v in r) for r in frame.itertuples(index=False)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in frame.columns))
+    got = {(r.x, r.y): r.corr for r in G.correlation(df, list(frame.columns)).collect()}
+    expected = frame.corr()
+    for (x, y), value in got.items():
+        if "d" in (x, y):
+            assert value is None
+        else:
+            assert abs(value - expected.loc[x, y]) < 1e-9, (x, y)
+    assert len(got) == 36
+    plan = G.correlation(df, list("abc"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "scalar-subquery" not in plan
+    empty = G.correlation(df.limit(0), ["a", "b"]).collect()
+    assert len(empty) == 4 and all(r.corr is None for r in empty)
+
+
+def test_one_hot_keeps_null_and_its_name_apart(spark):
+    values = ["a", None, "null", "\\null", "\\\\null", "nullable"]
+    df = spark.createDataFrame(list(enumerate(values)), "record int, c string")
+    wide = E.one_hot(df, "c", values)
+    assert len(wide.columns) == 2 + len(values)
+    for i, r in enumerate(wide.orderBy("record").collect()):
+        assert list(r[2:]) == [int(k == i) for k in range(len(values))]
+    long = {r.record: r.category for r in E.one_hot_long(df, "c").collect()}
+    assert long == {i: E.category_name("c", v) for i, v in enumerate(values)} and len(set(long.values())) == len(values)
+
+
+def test_contribution_table_sorts_inside_records_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, 1.0, -5.0, 2.0, None), (0, 3.0, 3.0, -3.0, 0.0)], "record int, a double, b double, c double, d double")
+    for c in "abcd":
+        df = df.withColumn(f"contrib_{c}", F.col(c))
+    out = X.contribution_table(df, list("abcd"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    order = {}
+    for r in out.collect():
+        order.setdefault(r.record, []).append(r.feature)
+    assert order == {1: ["b", "c", "a", "d"], 0: ["a", "b", "c", "d"]}
+
+
+def test_logistic_gradient_tells_a_fit_from_altered_coefficients(spark):
+    rng = np.random.default_rng(9)
+    rows = [(*[float(v) for v in rng.normal(50, 10, 8)], 1.0 + float(i % 3)) for i in range(400)]
+    rows = [(*r, int(r[0] + rng.normal(0, 8) > 52)) for r in rows]
+    train = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in S.FEATURE_COLUMNS) + ", w double, downtime_risk int").withColumn(
+        "machine_label", F.lit("M"))
+    train = SP.with_weights(train.drop("w"))
+    model = TR.fit_candidate("lr", train.drop("weight"), 42)
+    coef, intercept, med, mean, std = TR.linear_parts(model)
+    penalty = 1.0 / len(rows)
+
+    def worst(c, b):
+        scored_rows = TR.predict(TR.LinearModel(c, b, med, mean, std), train)
+        return max(abs(v) for v in TR.logistic_gradient(scored_rows, (c, b, med, mean, std), penalty).first())
+
+    assert worst(coef, intercept) < 5e-5
+    for c in S.FEATURE_COLUMNS:
+        assert worst({**coef, c: coef[c] + 0.05}, intercept) > 1e-3
+    assert worst(coef, intercept + 0.05) > 1e-3
