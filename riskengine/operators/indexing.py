@@ -2,10 +2,12 @@
 
 None of these puts the whole table in one task:
 
-* ``with_record`` (W1) range-partitions on the order key, numbers rows inside
-  each partition, writes that once to the checkpoint folder, and adds the row count of all earlier
-  partitions. Only the per-partition counts (one row per partition) are
-  combined in one place.
+* ``with_index`` (W1) numbers rows by keys of their own columns, without a write: the split
+  points of the ranges are a fixed function of the keys, so every evaluation cuts the same
+  ranges, and a row's number is the rows of the ranges before plus its place in its own.
+* ``with_record`` (W1) numbers rows by keys that a second evaluation may change (places in
+  the input): it range-partitions, numbers rows inside each partition and writes that once to
+  the checkpoint folder. In both, only counts (one row per range) are combined in one place.
 * ``rolling_mean`` (W2) and ``rolling_mean_by`` (W3) split the index into
   buckets and copy the last ``n - 1`` rows of each bucket into the next one
   ("halo"), so a row-frame window per bucket is exact and a hot machine is
@@ -20,6 +22,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskengine.session import checkpoint_dir
 
@@ -72,6 +75,53 @@ def with_record(df: DataFrame, order_by: list[str | Column], out: str = "record"
     return result.drop("_tie") if "_tie" in result.columns else result
 
 
+SAMPLE_PER_RANGE = 64
+SPLIT_BLOCK = 16
+
+
+def _split_points(df: DataFrame, names: list[str], ranges: int) -> list[Column]:
+    """The ranges' split points, in order: at most ``ranges - 1`` values, collected.
+
+    The points are quantiles of the rows whose key hashes fall under a bound set by the number
+    of rows: about ``SAMPLE_PER_RANGE`` a range at any size, and the same rows on every evaluation."""
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(names)]
+    n = df.select(F.count(F.lit(1))).scalar()
+    bound = F.lit(float(SAMPLE_PER_RANGE * ranges)) * F.lit(float(1 << 30)) / n
+    sample = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < bound)
+    held = sample.agg(F.sort_array(F.collect_list(F.struct(*keys))).alias("a")).where(F.size("a") > 0)
+    places = [F.floor(F.size("a") * F.lit(i) / F.lit(ranges)).cast("int") for i in range(1, ranges)]
+    points = held.select(F.explode(F.array_distinct(F.array(*[F.get("a", i) for i in places]))).alias("p")).select("p.*")
+    # Values travel as texts that read back as the same value.
+    types = [df.schema[c].dataType for c in names]
+    micros = [isinstance(t, T.TimestampType) for t in types]
+    told = points.select(*[(F.unix_micros(c) if m else F.col(c)).cast("string").alias(c) for c, m in zip(points.columns, micros)])
+    back = lambda v, t, m: F.timestamp_micros(F.lit(v).cast("long")) if m else F.lit(v).cast(t)
+    return [F.struct(*[back(v, t, m).alias(f"k{i}") for i, (v, t, m) in enumerate(zip(r, types, micros))]) for r in told.collect()]
+
+
+def with_index(df: DataFrame, order_by: list[str], out: str = "record", ranges: int | None = None) -> DataFrame:
+    """Dense 0-based row index in the order of columns that identify rows (nulls first),
+    by scans of the key columns (split points now, rows per range with the result) and one
+    shuffle of the rows by range. ``df`` must give the same rows again when it is evaluated again."""
+    spark = df.sparkSession
+    ranges = max(2, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)]
+    points, key = _split_points(df, order_by, ranges), F.struct(*keys)
+    # Two steps: the block of points, then the place in it.
+    blocks = [points[i:i + SPLIT_BLOCK] for i in range(0, len(points), SPLIT_BLOCK)]
+    upto = lambda found: F.size(F.filter(F.array(*found), lambda p: p <= key))
+    block = upto([b[0] for b in blocks]) if blocks else F.lit(0)
+    inside = F.coalesce(*[F.when(F.col("_block") == i + 1, i * SPLIT_BLOCK + upto(b)) for i, b in enumerate(blocks)], F.lit(0))
+    tagged = df.withColumn("_block", block).withColumn("_range", inside).drop("_block")
+    counts = tagged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*[F.asc_nulls_first(c) for c in order_by]))
+    # One row per range: the broadcast is bounded by ``ranges``.
+    numbered = tagged.withColumn("_place", place).join(F.broadcast(offsets), "_range")
+    return numbered.withColumn(out, F.col("_off") + F.col("_place") - 1).drop("_range", "_place", "_off")
+
+
 def _halo(df: DataFrame, idx: str, width: int, bucket: int) -> DataFrame:
     """Rows tagged with bucket ``_b``; the last ``width`` rows of each bucket also
     appear in the next bucket with ``_halo`` set. One pass: each row is exploded
@@ -104,7 +154,7 @@ def rolling_mean(df: DataFrame, col: str, n: int = 30, order: str = "record", ou
     idx = order
     if span["n"] and span["b"] - span["a"] + 1 != span["n"]:
         idx = "_dense"
-        df = with_record(df, [order], out=idx)
+        df = with_index(df, [order], out=idx)
     u = _halo(df, idx, n - 1, bucket)
     w = Window.partitionBy("_b").orderBy(idx).rowsBetween(-(n - 1), 0)
     out_df = u.withColumn(out, F.avg(_present(col)).over(w)).filter(~F.col("_halo")).drop("_b", "_halo")
@@ -122,7 +172,7 @@ def rolling_mean_by(df: DataFrame, key: str, ts: str, col: str, n: int = 30, tie
     if not skew_safe:
         w = Window.partitionBy(key).orderBy(ts, tiebreak).rowsBetween(-(n - 1), 0)
         return df.withColumn(out, F.avg(_present(col)).over(w))
-    idx = with_record(df, [key, ts, tiebreak], out="_gidx")
+    idx = with_index(df, [key, ts, tiebreak], out="_gidx")
     u = _halo(idx, "_gidx", n - 1, bucket)
     w = Window.partitionBy("_b", key).orderBy("_gidx").rowsBetween(-(n - 1), 0)
     return u.withColumn(out, F.avg(_present(col)).over(w)).filter(~F.col("_halo")).drop("_b", "_halo", "_gidx")
@@ -133,7 +183,7 @@ def lag_by(df: DataFrame, key: str, ts: str, col: str, tiebreak: str = "record",
     """Previous ``col`` of the same ``key`` in (ts, tiebreak) order (NULL for the first)."""
     if not skew_safe:
         return df.withColumn(out, F.lag(col).over(Window.partitionBy(key).orderBy(ts, tiebreak)))
-    idx = with_record(df, [key, ts, tiebreak], out="_gidx")
+    idx = with_index(df, [key, ts, tiebreak], out="_gidx")
     u = _halo(idx, "_gidx", 1, bucket)
     w = Window.partitionBy("_b", key).orderBy("_gidx")
     return u.withColumn(out, F.lag(col).over(w)).filter(~F.col("_halo")).drop("_b", "_halo", "_gidx")

@@ -38,11 +38,11 @@ def _label_expr(df: DataFrame, label_col: str | None, order_by: str | None) -> t
         return df, F.nullif(F.col(f"`{label_col}`").cast("string"), F.lit(""))
     if order_by is None:
         raise ValueError("no machine-label column: pass order_by to number machines by position")
-    from riskengine.operators.indexing import with_record
+    from riskengine.operators.indexing import with_index
 
     if order_by not in df.columns:
         raise ValueError(f"order column {order_by!r} not found")
-    indexed = with_record(df, [order_by], out="_pos")
+    indexed = with_index(df, [order_by], out="_pos")
     return indexed, F.format_string(S.DEFAULT_LABEL_FORMAT, F.col("_pos") + F.lit(1))
 
 

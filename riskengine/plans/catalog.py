@@ -369,7 +369,7 @@ def q_hourly_kpis(spark, d):
 )
 def q_row_index(spark, d):
     f = FX.fleet(spark, d)
-    return W.with_record(f, ["machine_label", "ts", "record"], out="row_index").select("record", "row_index")
+    return W.with_index(f, ["machine_label", "ts", "record"], out="row_index").select("record", "row_index")
 
 
 @register(

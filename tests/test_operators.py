@@ -442,3 +442,32 @@ def test_logistic_gradient_tells_a_fit_from_altered_coefficients(spark):
     for c in S.FEATURE_COLUMNS:
         assert worst({**coef, c: coef[c] + 0.05}, intercept) > 1e-3
     assert worst(coef, intercept + 0.05) > 1e-3
+
+
+@pytest.mark.parametrize("ranges", [2, 5, 70])
+def test_with_index_numbers_tuples_in_order(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.choice(["hot", "hot", "hot", None, "a", "é", ""]), rng.choice([None, -1.5, 0.0, float("nan"), 2.0]), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(6)
+    out = W.with_index(df, ["k", "v", "i"], out="r", ranges=ranges)
+    got = [x.i for x in sorted(out.collect(), key=lambda x: x.r)]
+    expected = [x.i for x in df.orderBy(*[F.asc_nulls_first(c) for c in ("k", "v", "i")]).collect()]
+    assert got == expected and out.agg(F.min("r"), F.max("r")).first() == (0, 899)
+    assert out.columns == ["k", "v", "i", "r"]
+    sizes = W.with_index(df, ["k", "v", "i"], ranges=ranges).groupBy(F.floor(F.col("record") / 100)).count()
+    assert {r["count"] for r in sizes.collect()} == {100}
+
+
+def test_with_index_of_few_or_no_rows_and_without_a_write(spark, tmp_path):
+    df = spark.range(3).withColumn("t", F.timestamp_seconds("id"))
+    assert [tuple(r) for r in W.with_index(df, ["t"], out="r").orderBy("id").select("id", "r").collect()] == [(0, 0), (1, 1), (2, 2)]
+    assert W.with_index(df.limit(0), ["t"], out="r").count() == 0
+    same = spark.createDataFrame([(1,)] * 40, "x int")
+    assert sorted(r.r for r in W.with_index(same, ["x"], out="r", ranges=4).collect()) == list(range(40))
+    from riskengine.session import checkpoint_dir
+    root = checkpoint_dir(spark).removeprefix("file:")
+    import os
+    names = set(os.listdir(root))
+    W.with_index(df, ["t"]).collect()
+    W.lag_by(df.withColumn("k", F.lit("m")), "k", "t", "id", tiebreak="id").collect()
+    assert set(os.listdir(root)) == names
