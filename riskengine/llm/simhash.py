@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskengine.llm.common import staged, with_result
+from riskengine.llm.common import fresh, staged, with_result
 
 SHINGLE = 4
 DISTANCE = 4
@@ -60,16 +60,19 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text: str = "text", text_hash: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; with ``text_hash`` also h, a hash of its text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(b, shingle) for b in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *batch.columns[2:]],
+                                             names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    kind = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", text).mapInArrow(
-        run, T.StructType([T.StructField("doc_id", kind), T.StructField("fp", T.LongType())]))
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())]
+    given = docs.select("doc_id", text)
+    if text_hash:
+        given, fields = docs.select("doc_id", text, F.xxhash64(text).alias("h")), [*fields, T.StructField("h", T.LongType())]
+    return given.mapInArrow(run, T.StructType(fields))
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -253,9 +256,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, text: str = "text",
-                    block: int = BLOCK) -> DataFrame:
+                    block: int = BLOCK, text_hash: bool = False) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``: the smallest doc_id reachable."""
-    marked = staged(fingerprints(docs, shingle, text), "simhash-fp")
+    marked = staged(fingerprints(docs, shingle, text, text_hash), "simhash-fp")
     fps = staged(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")),
                  "simhash-distinct")
     tree = components(links(fps.select("fp"), distance, block))
@@ -266,7 +269,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     linked = member.join(root, "root").select("fp", "least_id")
     whole = fps.join(linked, "fp", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     out = marked.join(whole, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+                      *(["h"] if text_hash else []))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -276,8 +280,16 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The row with the smallest doc_id of every component; of rows that repeat that id,
-    one. Rows without a doc_id cannot be told apart and all stay."""
-    keep = near_duplicates(docs, shingle, distance).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of every component, that of the smallest (doc_id, fingerprint, hash of the
+    text); of rows that repeat an id and a text, the one whose columns' hash is smallest. Rows that
+    share an id but are no near copies are judged apart. Rows without a doc_id cannot be told
+    apart and all stay."""
+    rows = near_duplicates(docs, shingle, distance, text_hash=True).where("doc_id is not null")
+    least = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp", "h")).alias("m"))
+    h, columns = fresh(docs, "text_hash"), [F.col(f"`{c}`") for c in docs.columns]
+    keep = least.select("m.doc_id", F.col("m.h").alias(h))
+    named = docs.withColumn(h, F.xxhash64("text")).join(keep, ["doc_id", h], "left_semi")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, T.MapType)]
+    one = named.groupBy(F.col("doc_id").alias("i"), F.col(h).alias("t")).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("row")).select("row.*")
+    return one.unionByName(docs.where("doc_id is null"))

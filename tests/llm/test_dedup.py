@@ -98,6 +98,18 @@ def test_one_row_stays_of_every_group(spark):
     assert kept[0]["spans"] == "clash"
 
 
+def test_unlike_documents_of_one_id_are_judged_apart(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "en", "a"), (1, "completely other words stand in this one", "en", "a"),
+            (2, "alpha beta gamma delta epsilon zeta", "en", "a"), (3, "a third text of yet other words here", "en", "x"),
+            (3, "a third text of yet other words here", "en", "y"), (0, "completely other words stand in this one", "en", "b")]
+    for parts in (1, 5):
+        kept = simhash.one_per_group(documents(spark, rows).repartition(parts)).collect()
+        found = sorted((r["doc_id"], r["text"][:5]) for r in kept)
+        assert found == [(0, "compl"), (1, "alpha"), (3, "a thi")]
+        third = {r["source"] for r in kept if r["doc_id"] == 3}
+        assert len(third) == 1 and third == {r["source"] for r in simhash.one_per_group(documents(spark, rows)).collect() if r["doc_id"] == 3}
+
+
 def plain_removal(rows, window):
     seen = Counter(tuple(words(r[1])[i:i + window]) for r in rows for i in range(len(words(r[1])) - window + 1))
     out = []
