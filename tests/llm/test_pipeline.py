@@ -77,5 +77,5 @@ def test_registration():
     names = list(E.queries())
     assert "pipeline" in names
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
     assert set(queries.ORACLES) <= set(E.oracle_sql())
