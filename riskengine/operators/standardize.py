@@ -147,7 +147,7 @@ def guess_mapping(columns: list[str]) -> dict[str, str | None]:
 def validate(df: DataFrame) -> DataFrame:
     """Raise on an empty input (an eager check, kept out of the lazy transform)."""
     if df.isEmpty():
-        raise ValueError("Dataset is empty.")
+        raise ValueError(f"no rows to standardise in a frame of columns {df.columns}")
     return df
 
 
