@@ -1007,6 +1007,38 @@ def q_csv_messy(spark, d):
                       "comment", "machine_temperature", "vibration_level")
 
 
+@register(
+    "csv_multiline",
+    O.with_ctes() + "SELECT row_number() OVER (ORDER BY record) - 1 AS record, machine_label, "
+    "'hot' || chr(10) || chr(10) || '\"' || dataset || '\",' || chr(10) || record AS comment, machine_temperature, vibration_level "
+    "FROM fleet WHERE record % 11 <> 0 OR record < 600",
+    doubles=("machine_temperature", "vibration_level"),
+)
+def q_csv_multiline(spark, d):
+    """Records whose quoted field holds line breaks, an empty line, separators and quotes,
+    records with fields too many among them, in several files, numbered by position."""
+    import uuid
+
+    from riskengine.session import checkpoint_dir
+    from riskengine.sources.ingest import read_flexible_csv
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-csv-{uuid.uuid4().hex}"
+    fleet, kept = FX.fleet(spark, d), ["machine_temperature", "vibration_level"]
+    comment = F.concat(F.lit('"hot\n\n""'), F.col("dataset"), F.lit('"",\n'), F.col("record").cast("string"), F.lit('"'))
+    line = F.concat_ws(",", F.col("machine_label"), comment, *[F.col(c).cast("string") for c in kept])
+    long = (F.col("record") % 11 == 0) & (F.col("record") >= 600)
+    part = F.format_string("%08d", F.floor(F.col("record") / 4000))
+    rows = fleet.select(part.alias("part"), "record", F.when(long, F.concat(line, F.lit(",9,9"))).otherwise(line).alias("line"))
+    head = F.lit(",".join(["machine id", "comment", *kept]))
+    heads = rows.select("part").distinct().select("part", F.lit(-1).cast("long").alias("record"), head.alias("line"))
+    (rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "record")
+     .select("line", "part").write.partitionBy("part").text(path))
+    raw = read_flexible_csv(spark, path, multiline=True)
+    numbered = W.with_index(raw, ["_pos"], out="record")
+    return P.standardize(numbered, order_by="record", keep=["record", "comment"]).select(
+        "record", "machine_label", "comment", "machine_temperature", "vibration_level")
+
+
 @register(
     "csv_many",
     O.with_ctes() + f"SELECT 'first' AS dataset, record, printf('MCH-%04d', record + 1) AS machine_label, {FEAT_LIST}, "
@@ -1014,7 +1046,7 @@ def q_csv_messy(spark, d):
     doubles=STD_DOUBLES,
 )
 def q_csv_many(spark, d):
-    """Two files read through ``read_many``, machines numbered by position."""
+    """Two sources of several files each read through ``read_many``, machines numbered by position."""
     import uuid
 
     from riskengine.session import checkpoint_dir
@@ -1022,7 +1054,7 @@ def q_csv_many(spark, d):
 
     base = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-csv-{uuid.uuid4().hex}"
     for name in ("first", "second"):
-        ST.write_csv(FX.fleet(spark, d).coalesce(1).sortWithinPartitions("record"), f"{base}/{name}", list(FEATS))
+        ST.write_csv(FX.fleet(spark, d).repartitionByRange("record").sortWithinPartitions("record"), f"{base}/{name}", list(FEATS))
     return read_many(spark, {n: f"{base}/{n}" for n in ("first", "second")})
 
 

@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskengine.sources.records import lines, numbered, quoted_records
+
 SNIFF_LINES = 80
 SEPARATORS = [",", ";", "\t", "|"]
-_CORRUPT = "_corrupt_record"
 
 
 def _outside_quotes(line: str) -> str:
@@ -87,47 +88,70 @@ def read_flexible_csv(spark: SparkSession, path: str, sep: str | None = None, mu
     """Read CSV files with preamble text, odd separators and bad lines.
 
     Returns a string-typed frame with the header's column names plus ``_file``,
-    ``_block``, ``_pos`` (file, split, position) for position-based labels.
+    ``_block`` (where the row's split begins) and ``_pos``, the row's position over all files
+    in order of name, for position-based labels.
 
     Each file's own preamble and header go, blank lines are skipped, lines with more
     fields than the header are dropped (quote-aware count), and the rest is parsed in
     place with ``from_csv`` (short lines padded with NULLs; doubled quotes are quotes). Records
-    with quoted line breaks need ``multiline=True``, which uses the CSV reader on
-    whole files instead.
+    with quoted line breaks need ``multiline=True``, which finds the records' ends over all
+    splits first. The header's own lines hold no line breaks; a file that ends inside quotes
+    is an error.
     """
-    lines = _first_lines(spark, path)
-    if not lines:
+    first = _first_lines(spark, path)
+    if not first:
         raise ValueError(f"{path}: no lines to read a header from")
-    header_idx, sniffed = sniff(lines)
+    header_idx, sniffed = sniff(first)
     sep = sep or sniffed
-    names = header_names(lines[header_idx], sep)
+    names = header_names(first[header_idx], sep)
     if len(names) <= 1:
         raise ValueError(f"{path}: the header line has a single column")
-    fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))]
-    if multiline:
-        out = _read_multiline(spark, path, sep, names, header_idx, fields)
-    else:
-        text = spark.read.text(path).select(
-            "value", F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
-        head = [line for line in lines[: header_idx + 1] if line.strip()]
-        keep = (F.length(F.trim("value")) > 0) & (_field_count(F.col("value"), sep) <= len(names))
-        text = text.join(_head_rows(text, head, validate), ["_file", "_pos"], "left_anti")
-        parsed = text.filter(keep).select(
-            F.from_csv("value", T.StructType(fields).simpleString(), {"sep": sep, "mode": "PERMISSIVE", "escape": '"'}).alias("_r"),
-            "_file", "_block", "_pos")
-        out = parsed.select(*[F.col(f"_r._c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block", "_pos")
+    fields = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    head = [line for line in first[: header_idx + 1] if line.strip()]
+    read = _read_records if multiline else _read_lines
+    text = read(spark, path, sep, len(names), head, validate)
+    options = {"sep": sep, "mode": "PERMISSIVE", "escape": '"', "multiLine": str(multiline).lower()}
+    parsed = text.select(F.from_csv("value", fields.simpleString(), options).alias("_r"), "_file", "_block", "_pos")
+    out = parsed.select(*[F.col(f"_r._c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block", "_pos")
     if validate and out.isEmpty():
         raise ValueError(f"{path}: no data rows after the header")
     return out
 
 
+def _kept(line, sep: str, n_fields: int):
+    """Neither blank nor with more fields than the header."""
+    return (F.length(F.trim(line)) > 0) & (_field_count(line, sep) <= n_fields)
+
+
+def _read_lines(spark, path, sep, n_fields, head, validate) -> DataFrame:
+    """value, _file, _block, _pos of the data lines; _pos counts them from 0 in file order."""
+    like_head = (F.col("_block") == 0) & F.col("value").isin(list(dict.fromkeys(head)))
+    kept = lines(spark, path).where(_kept(F.col("value"), sep, n_fields) | like_head)
+    text = kept.withColumn("_pos", F.monotonically_increasing_id())
+    return numbered(text, _head_rows(text, head, validate), "_place").drop("_pos").withColumnRenamed("_place", "_pos")
+
+
+def _read_records(spark, path, sep, n_fields, head, validate) -> DataFrame:
+    """The same for records that may hold quoted line breaks; _pos grows in file order, with gaps
+    where records were dropped."""
+    text = lines(spark, path, "\n").withColumn("_pos", F.monotonically_increasing_id())
+    bare = text.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    body = text.join(_head_rows(bare, head, validate), ["_file", "_block", "_pos"], "left_anti")
+    records, unclosed = quoted_records(body, sep)
+    if validate:
+        odd = unclosed.first()
+        if odd is not None:
+            raise ValueError(f"{odd['_file']}: ends inside a quoted field")
+    records = records.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    return records.where(_kept(F.col("value"), sep, n_fields))
+
+
 def _head_rows(text: DataFrame, head: list[str], validate: bool) -> DataFrame:
-    """(_file, _pos) of every file's preamble and header lines: the first ``len(head)`` lines
+    """(_file, _block, _pos) of every file's preamble and header lines: the first ``len(head)`` lines
     of its first split that equal one of them (a few rows per file)."""
     alike = text.where((F.col("_block") == 0) & F.col("value").isin(list(dict.fromkeys(head))))
     order = Window.partitionBy("_file").orderBy("_pos")
-    found = alike.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= len(head)).select("_file", "_pos")
+    found = alike.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= len(head)).select("_file", "_block", "_pos")
     if validate:
         counted = text.select("_file").groupBy("_file").agg(F.count(F.lit(1)).alias("_lines"))
         short = counted.join(found.groupBy("_file").agg(F.count(F.lit(1)).alias("_heads")), "_file", "left")
@@ -137,33 +161,15 @@ def _head_rows(text: DataFrame, head: list[str], validate: bool) -> DataFrame:
     return found
 
 
-def _read_multiline(spark, path, sep, names, header_idx, fields) -> DataFrame:
-    """Quoted line breaks: the CSV reader on whole files (each file is one task)."""
-    schema = T.StructType(fields + [T.StructField(_CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(schema).option("sep", sep).option("header", False).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT).option("multiLine", True).option("escape", '"').csv(path)
-        .select("*", F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_pos"))
-    )
-    # whole files are single splits: the first lines of each file are its first rows in that task
-    ranked = raw.withColumn("_n", F.row_number().over(Window.partitionBy("_file").orderBy("_pos")))
-    body = ranked.filter(F.col("_n") > header_idx + 1).drop("_n")
-    # (coalesce with a data column: Spark rejects scans that read only the corrupt-record column)
-    too_long = F.col(_CORRUPT).isNotNull() & (
-        _field_count(F.coalesce(F.col(_CORRUPT), F.col("_c0")), sep) > len(names))
-    body = body.filter(~too_long)
-    return body.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], "_file", "_block", "_pos")
-
-
 def load_dataset(spark: SparkSession, path: str, **kw) -> DataFrame:
     """Read, then standardise; machines without a label column are numbered by
     file position (MCH-0001 ...)."""
-    from riskengine.operators.indexing import with_record
+    from riskengine.operators.indexing import with_index
     from riskengine.operators.standardize import standardize
 
     raw = read_flexible_csv(spark, path, **kw)
-    ordered = with_record(raw, ["_file", "_block", "_pos"], out="record")
+    # Records with line breaks may have been dropped after they were numbered.
+    ordered = with_index(raw, ["_pos"], out="record") if kw.get("multiline") else raw.withColumn("record", F.col("_pos"))
     return standardize(ordered.drop("_file", "_block", "_pos"), order_by="record", keep=["record"])
 
 

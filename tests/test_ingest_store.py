@@ -177,3 +177,70 @@ def test_store_times_ids_labels_and_errors(spark, tmpdir_run):
     _write(os.path.join(broken, one), "part-1.parquet", "not parquet")
     with pytest.raises(Exception):
         ST.load(spark, os.path.dirname(broken))[1].count()
+
+
+@pytest.fixture()
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _awkward_files(rng, folder, n_files):
+    """Files of random records, some with fields too many; returns the records that stay."""
+    parts = ["x", "long text of many words " * 6, 'say ""so""', ",", "\n", "\n\n", '""', "a,b", "\r\n", "é"]
+    kept = []
+    for f in range(n_files):
+        text = "exported\nmachine,comment,temperature\n"
+        for i in range(rng.randrange(120, 180)):
+            field = "".join(rng.choices(parts, k=rng.randrange(0, 6)))
+            # (plain ones first: the lines that the header is sniffed from)
+            comment = f'"{field}"' if i > 80 and rng.random() < 0.8 else rng.choice(["plain", '5" pipe', "", "it's"])
+            long = i > 90 and i % 7 == 0
+            text += f"M{f}-{i},{comment},{i}" + (",9,9" if long else "") + rng.choice(["\n", "\r\n"])
+            if rng.random() < 0.1:
+                text += "\n"
+            if not long:
+                said = field.replace('""', '"') if comment.startswith('"') else comment
+                kept.append((f"M{f}-{i}", said, str(i)))
+        with open(os.path.join(folder, f"p{f}.csv"), "w", newline="") as out:
+            out.write(text)
+    return kept
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_quoted_line_breaks_over_many_splits(spark, tmpdir_run, small_splits, seed):
+    import random
+
+    kept = _awkward_files(random.Random(seed), tmpdir_run, 3)
+    raw = I.read_flexible_csv(spark, tmpdir_run, multiline=True)
+    assert raw.select("_file", "_block").distinct().count() > 30
+    rows = raw.orderBy("_pos").collect()
+    assert [r.machine for r in rows] == [k[0] for k in kept]
+    assert [(r.comment or "", r.temperature) for r in rows] == [k[1:] for k in kept]
+    numbered = I.load_dataset(spark, tmpdir_run, multiline=True).orderBy("record").collect()
+    assert [(r.record, r.machine_label) for r in numbered] == [(i, k[0]) for i, k in enumerate(kept)]
+
+
+def test_positions_over_many_splits(spark, tmpdir_run, small_splits):
+    n = 400
+    for f in range(3):
+        body = "".join(f"{f * n + i},{i % 5}" + (",9,9" if i % 50 == 49 and i > 90 else "") + "\n" + "\n" * (i % 13 == 0)
+                       for i in range(n))
+        _write(tmpdir_run, f"p{f}.csv", "site\ntemperature,vibration\n" + body)
+    kept = [f * n + i for f in range(3) for i in range(n) if not (i % 50 == 49 and i > 90)]
+    out = I.load_dataset(spark, tmpdir_run)
+    assert [(r.record, r.machine_label, int(r.machine_temperature)) for r in out.orderBy("record").collect()] == [
+        (i, f"MCH-{i + 1:04d}", t) for i, t in enumerate(kept)]
+    plan = out._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan and "riskengine-index" not in plan
+
+
+def test_a_file_that_ends_inside_quotes_is_refused(spark, tmpdir_run):
+    p = _write(tmpdir_run, "open.csv", 'machine,comment\nA,"never closed\nB,x\n')
+    with pytest.raises(ValueError, match="quoted"):
+        I.read_flexible_csv(spark, p, multiline=True)
