@@ -77,8 +77,9 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """conv_id, n_turns, formatted and loss_spans: the [start, end) character ranges of
-    ``formatted`` (code points) that hold the escaped texts of ``loss_role``."""
+    """conv_id, n_turns, formatted, loss_spans: the [start, end) character ranges of ``formatted``
+    (code points) that hold the escaped texts of ``loss_role``, and loss_mask: the same by
+    turn, as ranges of the turn's own segment (null where the turn has no loss)."""
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     parts = messages.select("conv_id", "turn", "message", head.alias("head"), escape(F.col("text")).alias("body"),
                             (F.col("role") == loss_role).alias("loss"))
@@ -87,13 +88,15 @@ def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     offset = F.coalesce(F.sum(F.length("head") + F.length("body") + F.lit(len(END))).over(before), F.lit(0))
     placed = parts.select("conv_id", "turn", "message", "loss", segment.alias("segment"),
                           (offset + F.length("head")).alias("start"),
-                          (offset + F.length("head") + F.length("body")).alias("end"))
-    rows = F.sort_array(F.collect_list(F.struct("turn", "message", "segment", "loss", "start", "end")))
+                          (offset + F.length("head") + F.length("body")).alias("end"), F.length("head").alias("first"))
+    rows = F.sort_array(F.collect_list(F.struct("turn", "message", "segment", "loss", "start", "end", "first")))
     grouped = placed.groupBy("conv_id").agg(rows.alias("rows"))
     masked = F.filter("rows", lambda r: r["loss"])
     return grouped.select(
         "conv_id", F.size("rows").cast("long").alias("n_turns"), F.array_join("rows.segment", "").alias("formatted"),
-        F.transform(masked, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("loss_spans"))
+        F.transform(masked, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"))).alias("loss_spans"),
+        F.transform("rows", lambda r: F.when(r["loss"], F.struct(
+            r["first"].alias("start"), (r["first"] + r["end"] - r["start"]).cast("int").alias("end")))).alias("loss_mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -103,8 +106,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     turns = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct(
         unescape_role(F.substring_index(F.substr(p, F.lit(len(START) + 1)), "\n", 1)).alias("role"),
         unescape(F.substr(p, F.instr(p, "\n") + 1)).alias("text")))
-    texts = F.transform("loss_spans", lambda s: unescape(
-        F.substr(F.col("formatted"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int"))))
+    # Turn by turn: a cut out of the whole text would walk it from the start for each turn.
+    said = F.zip_with(F.slice(pieces, 1, F.size("loss_mask")), "loss_mask", lambda p, m: F.when(m.isNotNull(), unescape(
+        F.substr(p, m["start"] + 1, m["end"] - m["start"]))))
+    texts = F.filter(said, lambda t: t.isNotNull())
     return formatted.withColumn("turns", turns).withColumn("loss_texts", texts)
 
 

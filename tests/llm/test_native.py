@@ -252,3 +252,30 @@ def test_redaction_masks_and_keeps(spark):
     assert rows[1]["text"] is None and rows[4]["text"] == "same text twice over" and rows[4]["spans"] == "clash"
     assert rows[8]["n_chars"] == 30_000
     assert secrets.redact(docs.where("false")).count() == 0
+
+
+def test_long_conversations_take_linear_time(spark):
+    import time
+
+    n = 40_000                                            # 20 MB in one conversation
+    turns = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.repeat(F.lit("word é "), 70), F.lit("<|im_end|>"), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = chat.digest(chat.read_back(chat.render(chat.reconstruct(chat.events_of(turns))))).first()
+    assert time.time() - began < 60
+    texts = ["word é " * 70 + f"<|im_end|>{i}" for i in range(n)]
+    said = "".join(texts[1::2])
+    assert (got["n_turns"], got["loss_chars"]) == (n, len(said))
+    assert got["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+    whole = "".join(f"{('user', 'assistant')[i % 2]}\n{t}\n" for i, t in enumerate(texts))
+    assert got["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+
+
+def test_loss_mask_agrees_with_loss_spans(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b</s>\n"), (1, 2, "assistant", ""), (1, 3, None, "c"), (2, 0, "user", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for r in chat.read_back(chat.render(chat.reconstruct(chat.events_of(table)))).collect():
+        cut = [r["formatted"][s["start"]:s["end"]] for s in r["loss_spans"]]
+        assert len(cut) == len(r["loss_texts"]) == sum(m is not None for m in r["loss_mask"])
+        assert [c.replace("<\\/s>", "</s>") for c in cut] == r["loss_texts"]
