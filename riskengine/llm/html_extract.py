@@ -55,26 +55,116 @@ LETTERS = re.compile(r"[a-z]+")
 
 
 class Block:
-    """A leaf block: text, ancestor tags, words of their class, id and role, share of link text."""
+    """A leaf block: text, nearest block-level tag, features of its open elements, share of link text."""
 
-    __slots__ = ("text", "tags", "names", "linked")
+    __slots__ = ("text", "own", "within", "linked")
 
-    def __init__(self, text, tags, names, linked):
-        self.text, self.tags, self.names, self.linked = text, tags, names, linked
+    def __init__(self, text, own, within, linked):
+        self.text, self.own, self.within, self.linked = text, own, within, linked
 
 
-def blocks_of(page: str) -> list[Block]:
+class _Open:
+    """An open element. A block-level one holds the features of itself and of those around it, in a set
+    that it shares with the one around it where it adds none; an inline one holds its own."""
+
+    __slots__ = ("tag", "feats", "inline", "closed")
+
+    def __init__(self, tag, feats, inline):
+        self.tag, self.feats, self.inline, self.closed = tag, feats, inline, False
+
+
+class _Elements:
+    """The stack of open elements. Every step costs its own elements, however many are open: the
+    places of each tag are kept apart, and an inline element that ends below others is only marked."""
+
+    def __init__(self, known):
+        self.known = known
+        self.stack: list[_Open] = []
+        self.blocks: list[_Open] = []
+        self.places: dict[str, list[int]] = {}
+        self.barriers: list[int] = []        # places of block-level elements that only their end tag ends
+        self.inline: dict[str, int] = {}     # features of open inline elements, counted
+
+    def own(self) -> str:
+        return self.blocks[-1].tag if self.blocks else ""
+
+    def within(self) -> frozenset:
+        feats = self.blocks[-1].feats if self.blocks else frozenset()
+        return feats.union(self.inline) if self.inline else feats
+
+    def links(self) -> bool:
+        return bool(self.places.get("a"))
+
+    def open(self, tag: str, names: list[str]):
+        inline = tag in INLINE
+        feats = {"name=" + n for n in names} | (set() if inline else {"in=" + tag})
+        if self.known is not None:
+            feats &= self.known
+        if inline:
+            for f in feats:
+                self.inline[f] = self.inline.get(f, 0) + 1
+        else:
+            around = self.blocks[-1].feats if self.blocks else frozenset()
+            feats = around if feats <= around else around | feats
+        one = _Open(tag, feats, inline)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(one)
+        if not inline:
+            self.blocks.append(one)
+            if tag not in CLOSED_BY:
+                self.barriers.append(len(self.stack) - 1)
+
+    def _end(self, one: _Open):
+        self.places[one.tag].pop()
+        one.closed = True
+        if not one.inline:
+            self.blocks.pop()
+            if one.tag not in CLOSED_BY:
+                self.barriers.pop()
+            return
+        for f in one.feats:
+            self.inline[f] -= 1
+            if not self.inline[f]:
+                del self.inline[f]
+
+    def cut(self, place: int):
+        """Ends the element at this place and all above it."""
+        while len(self.stack) > place:
+            one = self.stack.pop()
+            if not one.closed:
+                self._end(one)
+
+    def close(self, tag: str):
+        places = self.places.get(tag)
+        if not places:
+            return
+        if tag not in INLINE:
+            self.cut(places[-1])
+            return
+        self._end(self.stack[places[-1]])
+        while self.stack and self.stack[-1].closed:
+            self.stack.pop()
+
+    def make_way(self, tag: str):
+        """Ends the paragraph, item or cell that a block-level tag ends by beginning."""
+        ending = [self.places[t][-1] for t, ends in CLOSED_BY.items() if (ends is None or tag in ends) and self.places.get(t)]
+        nearest = max(ending, default=-1)
+        if nearest > (self.barriers[-1] if self.barriers else -1):
+            self.cut(nearest)
+
+
+def blocks_of(page: str, known: set[str] | None = None) -> list[Block]:
+    """The page's leaf blocks, in time linear in the page. ``known``: the only element features kept."""
     found: list[Block] = []
-    stack: list[tuple[str, list[str]]] = []
+    elements = _Elements(known)
     parts: list[str] = []
-    link_chars, link_depth = 0, 0
+    link_chars = 0
 
     def flush():
         nonlocal link_chars
         text = " ".join("".join(parts).split())
         if text:
-            found.append(Block(text, [t for t, _ in stack if t not in INLINE], [n for _, ns in stack for n in ns],
-                               min(1.0, link_chars / len(text))))
+            found.append(Block(text, elements.own(), elements.within(), min(1.0, link_chars / len(text))))
         parts.clear()
         link_chars = 0
 
@@ -82,7 +172,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal link_chars
         text = entities.unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if link_depth:
+        if elements.links():
             link_chars += len(text)
 
     pos = 0
@@ -110,30 +200,16 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "br":
             parts.append(" ")
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                if tag in INLINE:
-                    del stack[at]
-                else:
-                    del stack[at:]
-                link_depth = sum(t == "a" for t, _ in stack)
+            elements.close(tag)
             continue
         if tag not in INLINE:
-            for i in range(len(stack) - 1, -1, -1):
-                ends = CLOSED_BY.get(stack[i][0], ())
-                if ends is None or tag in ends:
-                    del stack[i:]
-                    link_depth = sum(t == "a" for t, _ in stack)
-                    break
-                if stack[i][0] not in INLINE and stack[i][0] not in CLOSED_BY:
-                    break
+            elements.make_way(tag)
         if tag not in VOID and not (attributes.endswith("/") and tag not in INLINE):
             names = []
             if "=" in attributes:
                 for q in NAMES.findall(attributes):
                     names += LETTERS.findall("".join(q).lower())
-            stack.append((tag, names))
-            link_depth += tag == "a"
+            elements.open(tag, names)
     flush()
     return found
 
@@ -147,9 +223,7 @@ def features_of(blocks: list[Block]) -> list[list[str]]:
     out = []
     last = max(1, len(blocks) - 1)
     for i, b in enumerate(blocks):
-        feats = {"own=" + (b.tags[-1] if b.tags else "")}
-        feats.update("in=" + t for t in b.tags)
-        feats.update("name=" + n for n in b.names)
+        feats = {"own=" + b.own, *b.within}
         feats.add(f"words={bisect_right(WORD_EDGES, b.text.count(' ') + 1)}")
         feats.add(f"links={bisect_right(LINK_EDGES, b.linked)}")
         feats.add("end=" + ("stop" if b.text[-1] in ".!?" else "other"))
@@ -171,13 +245,14 @@ class Extractor:
                 named.append(features_of(blocks))
                 labels.append([MAIN if b.text in main else OTHER for b in blocks])
         self.ids = {f: i for i, f in enumerate(sorted({f for s in named for fs in s for f in fs}))}
+        self.names = set(self.ids)
         self.model = LinearChain(len(self.ids)).fit([[self.known(fs) for fs in s] for s in named], labels)
 
     def known(self, feats: list[str]) -> list[int]:
         return [self.ids[f] for f in feats if f in self.ids]
 
     def extract(self, page: str | None) -> str:
-        blocks = blocks_of(page) if page else []
+        blocks = blocks_of(page, self.names) if page else []
         path = self.model.decode([self.known(fs) for fs in features_of(blocks)])
         return " ".join(b.text for b, y in zip(blocks, path) if y == MAIN)
 
