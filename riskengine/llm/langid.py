@@ -126,10 +126,10 @@ def cleaned(rows: list[tuple[str, str]], n_dicts: int, dict_bytes: int) -> list[
 def sample(docs: DataFrame, key: str, lang: str, text: str, n: int) -> list[tuple[str, str]]:
     """For each language at most ``n`` labelled texts with the smallest key hashes."""
     chosen = set(sample_by(docs.where(F.col(text).isNotNull()), lang, key, n))
-    found = (docs.where(F.col(key).isin(sorted({k for _, k in chosen})) & F.col(text).isNotNull())
-             .select(F.col(lang), F.xxhash64(key), F.col(key), F.col(text))
-             .limit(4 * max(1, len(chosen))).collect())
-    rows = sorted({(r[0], r[1], r[2], r[3]) for r in found if (r[0], r[2]) in chosen})
+    # Of rows that repeat a language and key, the smallest text.
+    found = (docs.where(F.col(key).isin(sorted({k for _, k in chosen})) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+             .groupBy(F.col(lang), F.xxhash64(key), F.col(key)).agg(F.min(text)).collect())
+    rows = sorted((r[0], r[1], r[2], r[3]) for r in found if (r[0], r[2]) in chosen)
     return [(r[0], r[3]) for r in rows]
 
 

@@ -131,9 +131,9 @@ def sample(docs: DataFrame, labels: DataFrame, n: int) -> list[tuple[bytes, int]
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.max((F.col("quality") > 0).cast("int")).alias("good"))
     quality = {i: good for good, i in sample_by(marked, "good", "doc_id", n)}
-    texts = (docs.where(F.col("doc_id").isin(sorted(quality)) & F.col("text").isNotNull())
-             .select("doc_id", "text").limit(4 * max(1, len(quality))).collect())
-    first = {r["doc_id"]: r["text"] for r in sorted(texts, reverse=True)}
+    # Of rows that repeat an id, the smallest text.
+    first = {r["doc_id"]: r["text"] for r in docs.where(F.col("doc_id").isin(sorted(quality)) & F.col("text").isNotNull())
+             .groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
     return [(first[i].encode(), quality[i]) for i in sorted(first)]
 
 

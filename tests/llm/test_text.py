@@ -258,3 +258,32 @@ def test_html_awkward_rows(spark):
     got = html_extract.digest(html_extract.extract(pages, train_pages=200)).collect()
     assert sorted(((r["page_id"], r["text"], r["n_chars"]) for r in got), key=str) == sorted(
         [(1, "", 0), (2, "", 0), (None, "", 0), (3, "Kept text here. Kept text here.", 31)] + [(3, "Kept text here. Kept text here.", 31)], key=str)
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    names = "".join(f"<div class=c{i}a>x" for i in range(n // 4))
+    for page, blocks in (("<div>x " * n, n), ("<td>x<p>" * n, n), ("<div>" * n + "</i></section>x" * n, n), (names, n // 4),
+                         ("<b>" * n + "<div>x" * n + "</b>" * n, n), ("<" * n, 1), ("<!--" * n, 0)):
+        began = time.time()
+        assert len(html_extract.blocks_of(page, {"in=div", "name=c"})) == blocks
+        assert time.time() - began < 10
+
+
+def test_inline_names_end_with_their_element():
+    blocks = html_extract.blocks_of("<div class=x><b class=y>one<p>two</b>three</p>four</div>")
+    assert [(b.text, b.own, sorted(b.within)) for b in blocks] == [
+        ("one", "div", ["in=div", "name=x", "name=y"]), ("twothree", "p", ["in=div", "in=p", "name=x"]), ("four", "div", ["in=div", "name=x"])]
+
+
+def test_samples_take_one_row_of_repeated_ids(spark):
+    rows = [(i % 3, "en", f"some text number {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(0, 1.0), (1, 0.0), (2, 1.0), (2, 0.0)], "doc_id long, quality double")
+    least = [min(t for d, _, t in rows if d == i) for i in range(3)]
+    for parts in (1, 7):
+        some = docs.repartition(parts)
+        assert quality.sample(some, labels, 5) == [(t.encode(), y) for t, y in zip(least, (1, 0, 1))]
+        assert sorted(t for _, t in langid.sample(some, "doc_id", "lang", "text", 5)) == sorted(least)
