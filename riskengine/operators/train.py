@@ -171,7 +171,7 @@ def prep_stats(train: DataFrame) -> tuple[int, dict, dict, dict]:
     return n, med, mean, std
 
 
-def _fit(kind, train: DataFrame, stats, seed: int, num_trees: int, max_depth: int):
+def fit_pipeline(kind, train: DataFrame, stats, seed: int, num_trees: int, max_depth: int):
     from riskengine.operators.split import with_weights
 
     n, med, mean, std = stats
@@ -184,7 +184,7 @@ def fit_candidate(kind: str, train: DataFrame, seed: int = 42, num_trees: int =
 
     checkpoint_dir(train.sparkSession)
     train = train.persist()          # read by the statistics, the weights and the fit
-    model = _fit(kind, train, prep_stats(train), seed, num_trees, max_depth)
+    model = fit_pipeline(kind, train, prep_stats(train), seed, num_trees, max_depth)
     train.unpersist()
     return model
 
@@ -261,7 +261,7 @@ def cv_scores(df: DataFrame, kinds: tuple[str, ...] | str = ("lr", "rf"), k: int
 
     def one(task):
         kind, f = task
-        m = _fit(kind, folded.filter(F.col("fold") != f).drop("fold"), stats[f], seed, num_trees, max_depth)
+        m = fit_pipeline(kind, folded.filter(F.col("fold") != f).drop("fold"), stats[f], seed, num_trees, max_depth)
         held = folded.filter(F.col("fold") == f).drop("fold")
         return (kind, f, float(classification_metrics(predict(m, held)).select("f1").first()[0]))
 
@@ -291,7 +291,7 @@ def train_and_select(df: DataFrame, candidates: tuple[str, ...] = ("lr", "rf"),
     scores = cv_scores(train, candidates, k, seed, num_trees, max_depth, parallelism)
     means = {r["model"]: float(r["f1"]) for r in scores.groupBy("model").agg(F.avg("f1").alias("f1")).collect()}
     best = choose(scores, candidates).first()["model"]
-    model = _fit(best, train, prep_stats(train), seed, num_trees, max_depth)
+    model = fit_pipeline(best, train, prep_stats(train), seed, num_trees, max_depth)
     m = classification_metrics(predict(model, test)).first()
     metrics = {"accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"], "f1": m["f1"],
                "cv_f1": means[best]}

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskengine import schema as S
 from riskengine.functions.scalar import np_round
 from riskengine.operators import explain as X
+from riskengine.operators import forests as FR
 from riskengine.operators import indexing as W
 from riskengine.operators import score as SC
 from riskengine.operators import split as SP
@@ -237,3 +238,143 @@ def q_model_linear_contributions(spark, d):
     coef, intercept, med, mean, std = TR.linear_parts(_fitted(spark, d, "lr"))
     c = X.linear_contributions(_training_frame(spark, d), coef, intercept, mean, std, median=med)
     return X.contribution_table(c)
+
+
+# ----------------------------------------- a forest of stated splits, counted on the fleet
+FOREST_SPLITS = [
+    ("vibration_level", 6.0, ("runtime_hours", 5200.0, None, None), ("machine_temperature", 88.5, None, None)),
+    ("error_log_count", 2.5, ("vibration_level", 3.25, None, None), ("runtime_hours", 4100.0, None, None)),
+    ("machine_temperature", 79.0, None, ("error_log_count", 0.5, None, ("vibration_level", 6.0, None, None)))]
+USED = sorted({c for c in FEATS if any(f"'{c}'" in repr(t) for t in FOREST_SPLITS)}, key=FEATS.index)
+
+
+def _forest_sql() -> list[str]:
+    """The forest as tables: ``nodes`` (every split with the class counts of itself and its sides) and
+    ``leaves`` (share over trees, and per used feature the interval and the product of covers)."""
+    counts, nodes, leaves = [], [], []
+
+    def walk(tree, i, path, bounds, covers):
+        key = f"t{i}_{len(counts)}"
+        condition = " AND ".join(path) or "TRUE"
+        counts.extend(f"CAST(count(*) FILTER (WHERE {condition} AND downtime_risk = {y}) AS DOUBLE) AS {key}_{y}" for y in (0, 1))
+        if tree is None:
+            cells = ", ".join(f"CAST({lo!r} AS DOUBLE) AS lo{j}, CAST({hi!r} AS DOUBLE) AS hi{j}" for j, (lo, hi) in enumerate(bounds))
+            shares = ", ".join(f"{' * '.join(covers[j]) or 'CAST(1.0 AS DOUBLE)'} AS c{j}" for j in range(len(USED)))
+            leaves.append(f"SELECT coalesce({key}_1 / nullif({key}_0 + {key}_1, 0), 0) / {len(FOREST_SPLITS)} AS value, {cells}, {shares} FROM counts")
+            return key
+        f, cut, left, right = tree
+        j = USED.index(f)
+        ends = {}
+        for side, sub in (("l", left), ("r", right)):
+            lo, hi = bounds[j]
+            part = (lo, min(hi, cut)) if side == "l" else (max(lo, cut), hi)
+            child = f"t{i}_{len(counts)}"
+            cover = f"coalesce(({child}_0 + {child}_1) / nullif({key}_0 + {key}_1, 0), 0.5)"
+            ends[side] = walk(sub, i, [*path, f"{FR.prepared_sql(f)} {'<=' if side == 'l' else '>'} {cut!r}"],
+                              [part if k == j else b for k, b in enumerate(bounds)],
+                              [[*c, cover] if k == j else c for k, c in enumerate(covers)])
+        nodes.append(f"SELECT {i} AS tree, '{f}' AS feature, {key}_0 AS n0, {key}_1 AS n1, " + ", ".join(
+            f"{ends[s]}_{y} AS {s}{y}" for s in "lr" for y in (0, 1)) + " FROM counts")
+        return key
+
+    for i, tree in enumerate(FOREST_SPLITS):
+        walk(tree, i, [], [(-1e300, 1e300)] * len(USED), [[] for _ in USED])
+    return ["counts AS (SELECT " + ", ".join(counts) + " FROM actual)", "nodes AS (" + " UNION ALL ".join(nodes) + ")",
+            "leaves AS (" + " UNION ALL ".join(leaves) + ")"]
+
+
+def _holds(j: int, c: str) -> str:
+    return f"{FR.prepared_sql(c)} > lo{j} AND {FR.prepared_sql(c)} <= hi{j}"
+
+
+_TABLES = _forest_sql()
+_HIT = " AND ".join(_holds(j, c) for j, c in enumerate(USED))
+
+
+def _shapley_sql() -> list[str]:
+    """Every coalition's value for every machine, and from them the contributions by definition."""
+    from math import factorial
+
+    m = len(USED)
+    weight = [factorial(k) * factorial(m - 1 - k) / factorial(m) for k in range(m)]
+    factors = " * ".join(f"CASE WHEN (s >> {j}) & 1 = 1 THEN CASE WHEN {_holds(j, c)} THEN 1.0 ELSE 0.0 END ELSE c{j} END"
+                         for j, c in enumerate(USED))
+    with_i = "CASE bit_count(s) " + " ".join(f"WHEN {k + 1} THEN {w!r}" for k, w in enumerate(weight)) + " END"
+    without = "CASE bit_count(s) " + " ".join(f"WHEN {k} THEN {-w!r}" for k, w in enumerate(weight)) + " END"
+    phi = ", ".join(f"sum(v * CASE WHEN (s >> {j}) & 1 = 1 THEN {with_i} ELSE {without} END) AS p_{c}" for j, c in enumerate(USED))
+    long = " UNION ALL ".join(
+        f"SELECT a.record, '{c}' AS feature, a.{c} AS input_value, {f'phi.p_{c}' if c in USED else 'CAST(0.0 AS DOUBLE)'} AS contribution "
+        "FROM actual a JOIN phi USING (record)" for c in FEATS)
+    return [f"worth AS (SELECT record, s, sum(value * {factors}) AS v FROM actual, leaves, range({2 ** m}) AS r(s) GROUP BY record, s)",
+            f"phi AS (SELECT record, {phi} FROM worth GROUP BY record)", f"told AS ({long})"]
+
+
+def _stated_forest(spark, d):
+    return FR.model_of(spark, FR.counted(_training_frame(spark, d), FOREST_SPLITS))
+
+
+@register("stated_forest_scores",
+          O.with_ctes(*_TABLES, f"p AS (SELECT a.record, sum(value) AS risk_probability FROM actual a, leaves WHERE {_HIT} GROUP BY a.record)",
+                      actual=True)
+          + f"SELECT record, risk_probability, CAST(risk_probability >= 0.5 AS INTEGER) AS predicted_risk, "
+          f"{O.recommendation_sql()} AS recommendation FROM p", doubles=("risk_probability",))
+def q_stated_forest_scores(spark, d):
+    """M6, M9: a forest of stated splits, its leaves counted on the fleet, scores the whole fleet."""
+    scored = SC.score(_training_frame(spark, d), _stated_forest(spark, d))
+    return scored.select("record", "risk_probability", "predicted_risk", "recommendation")
+
+
+@register("stated_forest_sql",
+          O.with_ctes(*_TABLES, actual=True) + f"SELECT a.record, sum(value) AS probability FROM actual a, leaves WHERE {_HIT} GROUP BY a.record",
+          doubles=("probability",))
+def q_stated_forest_sql(spark, d):
+    """M9: the same forest compiled to one SQL expression."""
+    trees = FR.trees_of(_stated_forest(spark, d))
+    return _training_frame(spark, d).select("record", F.expr(FR.probability_sql(trees)).alias("probability"))
+
+
+_GINI = "(1.0 - pow({a} / nullif({a} + {b}, 0), 2) - pow({b} / nullif({a} + {b}, 0), 2))"
+_GAIN = " - ".join(f"coalesce(({a} + {b}) * {_GINI.format(a=a, b=b)}, 0)" for a, b in (("n0", "n1"), ("l0", "l1"), ("r0", "r1")))
+
+
+@register("stated_forest_importance",
+          O.with_ctes(*_TABLES, f"gains AS (SELECT tree, feature, sum({_GAIN}) AS g FROM nodes GROUP BY tree, feature)",
+                      "shares AS (SELECT feature, g / sum(g) OVER (PARTITION BY tree) AS s FROM gains)",
+                      "names AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in FEATS) + "]) AS feature)", actual=True)
+          + "SELECT feature, round_even(coalesce(sum(s), 0) / (SELECT sum(s) FROM shares) * 100.0, 2) AS importance "
+          "FROM names LEFT JOIN shares USING (feature) GROUP BY feature", doubles=("importance",))
+def q_stated_forest_importance(spark, d):
+    """Importances of the forest, from the class counts of its nodes."""
+    return X.importance(spark, _stated_forest(spark, d))
+
+
+_SCENES = ("scenes AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{name}', " + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in values) + ")" for name, values, _ in S.SCENARIOS)
+    + ") AS s(machine, " + ", ".join(FEATS) + "))")
+
+
+@register("stated_forest_scenarios",
+          O.with_ctes(*_TABLES, _SCENES, f"p AS (SELECT machine, sum(value) AS p FROM scenes, leaves WHERE {_HIT} GROUP BY machine)", actual=True)
+          + f"SELECT machine, CASE WHEN p >= 0.5 THEN '{S.STATUS_HIGH}' ELSE '{S.STATUS_LOW}' END AS prediction, "
+          "printf('%.1f%%', p * 100.0) AS probability, CASE WHEN (machine LIKE 'HIGH%' AND p >= 0.5) OR (machine LIKE 'STABLE%' AND p < 0.5) "
+          "THEN 'Pass' ELSE 'Review' END AS result FROM p")
+def q_stated_forest_scenarios(spark, d):
+    """The three fixed machines, scored by the forest counted on the fleet."""
+    return SC.scenario_check(spark, _stated_forest(spark, d))
+
+
+@register("stated_forest_contributions",
+          O.with_ctes(*_TABLES, *_shapley_sql(), actual=True) + "SELECT record, feature, input_value, contribution, "
+          f"CASE WHEN contribution > 0 THEN '{S.DIRECTION_UP}' ELSE '{S.DIRECTION_DOWN}' END AS direction FROM told",
+          doubles=("input_value", "contribution"))
+def q_stated_forest_contributions(spark, d):
+    """Contributions of the whole fleet, against Shapley values by their definition."""
+    return X.contribution_table(X.forest_contributions(_training_frame(spark, d), _stated_forest(spark, d)))
+
+
+@register("stated_forest_impact",
+          O.with_ctes(*_TABLES, *_shapley_sql(), actual=True)
+          + "SELECT feature, avg(abs(contribution)) AS mean_abs_contribution FROM told GROUP BY feature", doubles=("mean_abs_contribution",))
+def q_stated_forest_impact(spark, d):
+    """Mean |contribution| per feature over the whole fleet."""
+    return X.fleet_contributions(X.forest_contributions(_training_frame(spark, d), _stated_forest(spark, d)))
