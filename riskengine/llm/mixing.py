@@ -9,8 +9,9 @@ in DataFrame and SQL functions only.
 2. *Blocks.* A source of n words is cut by document hash into about sqrt(n) blocks, so a
    hot source has many small blocks rather than one large group, and the number of
    blocks grows slowly. Every block is taken floor(target / size) times; the remainder
-   is filled with blocks in hash order, in ``FILL_PASSES`` passes: each pass takes the
-   first blocks that still fit.
+   is filled with blocks in hash order, in passes: each pass takes the first blocks that
+   still fit, until no block fits. So a source misses its target by less than the
+   smallest block it has left.
 3. *Tree.* Each taken copy of a block is a unit; each source's units are its quota. The
    root holds all quotas; a node splits its output shards in halves, drawing how many
    units of each source go left from the multivariate hypergeometric distribution, one
@@ -38,7 +39,7 @@ from riskengine.llm.common import WORD, fresh, power_of_two, staged, with_result
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SHARD_WORDS = 1 << 22
-FILL_PASSES = 3
+FILL_STEP = 4          # passes of the fill between two looks at what is left
 SEED = 17
 
 
@@ -89,14 +90,20 @@ def block_copies(blocked: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     per = per.withColumn("extra", F.lit(0))
     own = Window.partitionBy("idx")
     order = own.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(FILL_PASSES):
-        free = (F.col("extra") == 0) & (F.col("base") < max_epochs) & (F.col("words") <= F.col("missing"))
-        per = per.withColumn("free", free)
-        upto = F.sum(F.when(F.col("free"), F.col("words")).otherwise(0)).over(order)
-        per = per.withColumn("now", F.col("free") & (upto <= F.col("missing")))
-        took = F.sum(F.when(F.col("now"), F.col("words")).otherwise(0)).over(own)
-        per = per.withColumn("took", took).withColumn("missing", F.col("missing") - F.col("took").cast("double"))
-        per = per.withColumn("extra", F.when(F.col("now"), 1).otherwise(F.col("extra")))
+    free = (F.col("extra") == 0) & (F.col("base") < max_epochs) & (F.col("words") <= F.col("missing"))
+    while True:
+        # Every pass takes a block of each source that has one that fits: the end is certain, and
+        # what is missing shrinks to a part of itself with each pass.
+        for _ in range(FILL_STEP):
+            per = per.withColumn("free", free)
+            upto = F.sum(F.when(F.col("free"), F.col("words")).otherwise(0)).over(order)
+            per = per.withColumn("now", F.col("free") & (upto <= F.col("missing")))
+            took = F.sum(F.when(F.col("now"), F.col("words")).otherwise(0)).over(own)
+            per = per.withColumn("took", took).withColumn("missing", F.col("missing") - F.col("took").cast("double"))
+            per = per.withColumn("extra", F.when(F.col("now"), 1).otherwise(F.col("extra")))
+        per = staged(per.drop("free", "now", "took"), "mix-fill")
+        if per.where(free).isEmpty():
+            break
     return per.select("idx", "block", (F.col("base") + F.col("extra")).alias("copies"))
 
 

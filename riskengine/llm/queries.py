@@ -94,7 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = rf"""
-WITH docs AS (
+WITH RECURSIVE docs AS (
   SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size,
          CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
   FROM documents),
@@ -123,16 +123,19 @@ blocks AS (
   SELECT source, block, source_size, target, CAST(sum(size) AS BIGINT) AS words,
          CASE WHEN source_size > 0 THEN least(3, CAST(floor(target / source_size) AS INTEGER)) ELSE 0 END AS base
   FROM placed GROUP BY source, block, source_size, target),
-p0 AS (SELECT *, target - CAST(base * source_size AS DOUBLE) AS missing, 0 AS extra FROM blocks),
-{', '.join(f"""
-f{i} AS (SELECT *, extra = 0 AND base < 3 AND words <= missing AS free FROM p{i}),
-n{i} AS (SELECT *, free AND sum(CASE WHEN free THEN words ELSE 0 END) OVER (
-           PARTITION BY source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= missing AS now FROM f{i}),
-p{i + 1} AS (SELECT source, block, source_size, target, words, base,
-           missing - CAST(sum(CASE WHEN now THEN words ELSE 0 END) OVER (PARTITION BY source) AS DOUBLE) AS missing,
-           CASE WHEN now THEN 1 ELSE extra END AS extra FROM n{i})""" for i in range(mixing.FILL_PASSES))}
+fill AS (
+  SELECT 0 AS pass, *, target - CAST(base * source_size AS DOUBLE) AS missing, 0 AS extra FROM blocks
+  UNION ALL
+  SELECT pass + 1, source, block, source_size, target, words, base,
+         missing - CAST(sum(CASE WHEN now THEN words ELSE 0 END) OVER (PARTITION BY source) AS DOUBLE),
+         CASE WHEN now THEN 1 ELSE extra END
+  FROM (SELECT *, free AND sum(CASE WHEN free THEN words ELSE 0 END) OVER (
+                    PARTITION BY source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= missing AS now
+        FROM (SELECT *, extra = 0 AND base < 3 AND words <= missing AS free FROM fill) f) n
+  QUALIFY bool_or(now) OVER ()),
+filled AS (SELECT * FROM fill WHERE pass = (SELECT max(pass) FROM fill))
 SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.size * (b.base + b.extra) AS BIGINT) AS taken
-FROM placed d JOIN p{mixing.FILL_PASSES} b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block
+FROM placed d JOIN filled b ON d.source IS NOT DISTINCT FROM b.source AND d.block = b.block
 """
 
 

@@ -254,6 +254,21 @@ def test_redaction_masks_and_keeps(spark):
     assert secrets.redact(docs.where("false")).count() == 0
 
 
+def test_blocks_fill_until_none_fits(spark):
+    # 100 words missing; blocks in order 60, 50, 21, 20, 10, 10, 5: taken 60, then 21, then 10, then 5.
+    words = [60, 50, 21, 20, 10, 10, 5]
+    rows = [(0, i, sum(words), 100.0, w) for i, w in enumerate(words)]
+    rows += [(1, i, 4950, 5000.0 + 2477.0, i) for i in range(100)] + [(2, 0, 0, 0.0, 0)]
+    blocked = spark.createDataFrame(rows, "idx int, block long, source_size long, target double, size long")
+    copies = {(r["idx"], r["block"]): r["copies"] for r in mixing.block_copies(blocked).collect()}
+    assert [copies[(0, i)] for i in range(7)] == [1, 0, 1, 0, 1, 0, 1]
+    for idx, target in ((0, 100.0), (1, 7477.0)):
+        own = [(w, copies[(i, b)]) for i, b, _, _, w in rows if i == idx]
+        left = target - sum(w * c for w, c in own)
+        base = min(c for _, c in own)
+        assert left >= 0 and all(w > left for w, c in own if c == base)
+
+
 def test_long_conversations_take_linear_time(spark):
     import time
 
