@@ -32,7 +32,7 @@ def _cuts(hashed: DataFrame, label: str, shares: list[float]) -> DataFrame:
     place = F.ceil(F.col("share") * F.col("total"))
     cut_bins = each.withColumn("place", place).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("n") < F.col("place")))
     cut_bins = cut_bins.select(F.col("_class").alias("_c"), F.col("_bin").alias("_b"), "i", (F.col("place") - F.col("upto") + F.col("n")).alias("rank"))
-    inside = binned.join(cut_bins, F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_b")))
+    inside = binned.join(F.broadcast(cut_bins), F.col("_class").eqNullSafe(F.col("_c")) & (F.col("_bin") == F.col("_b")))
     order = Window.partitionBy("_c", "i").orderBy("_u", "_key")
     chosen = inside.withColumn("r", F.row_number().over(order)).where(F.col("r") == F.col("rank"))
     return chosen.groupBy("_c").agg(F.sort_array(F.collect_list(F.struct("_u", "_key"))).alias("_cuts"))
@@ -41,7 +41,8 @@ def _cuts(hashed: DataFrame, label: str, shares: list[float]) -> DataFrame:
 def _placed(df: DataFrame, label: str, key: str, shares: list[float], seed: int) -> DataFrame:
     """``df`` with _part: how many of the class's cuts lie before the row."""
     hashed = df.withColumn("_u", uniform_of(key, seed)).withColumn("_key", F.col(key))
-    joined = hashed.join(_cuts(hashed, label, shares), F.col(label).eqNullSafe(F.col("_c")), "left")
+    # One row per class: joined by class, the rows of a class would meet in one task.
+    joined = hashed.join(F.broadcast(_cuts(hashed, label, shares)), F.col(label).eqNullSafe(F.col("_c")), "left")
     own = F.struct("_u", "_key")
     part = F.size(F.filter(F.coalesce("_cuts", F.array()), lambda c: c < own))
     return joined.withColumn("_part", part).drop("_u", "_key", "_c", "_cuts")

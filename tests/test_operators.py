@@ -471,3 +471,18 @@ def test_with_index_of_few_or_no_rows_and_without_a_write(spark, tmp_path):
     W.with_index(df, ["t"]).collect()
     W.lag_by(df.withColumn("k", F.lit("m")), "k", "t", "id", tiebreak="id").collect()
     assert set(os.listdir(root)) == names
+
+
+def test_rows_of_a_class_stay_spread_over_tasks(spark):
+    df = spark.range(4000).repartition(8).selectExpr("id AS record", "CAST(id % 4 = 0 AS INT) AS downtime_risk")
+    kept = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}   # no help from sizes
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        train, _ = SP.stratified_split(df)
+        sizes = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 3200 and max(sizes) < 600
