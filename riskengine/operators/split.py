@@ -79,6 +79,6 @@ def balanced_weights(df: DataFrame, label: str = S.TARGET_COLUMN) -> DataFrame:
 
 
 def with_weights(df: DataFrame, label: str = S.TARGET_COLUMN, out: str = "weight") -> DataFrame:
-    """Attach the balanced weight of each row's class."""
+    """Attach the balanced weight of each row's class (one row per class is broadcast; rows stay where they are)."""
     w = balanced_weights(df, label).select(F.col(label).alias("_class"), F.col("weight").alias(out))
-    return df.join(w, F.col(label).eqNullSafe(F.col("_class"))).drop("_class")
+    return df.join(F.broadcast(w), F.col(label).eqNullSafe(F.col("_class"))).drop("_class")

@@ -481,7 +481,7 @@ def test_rows_of_a_class_stay_spread_over_tasks(spark):
         for k, v in kept.items():
             spark.conf.set(k, v)
         train, _ = SP.stratified_split(df)
-        sizes = [r["count"] for r in train.groupBy(F.spark_partition_id()).count().collect()]
+        sizes = [r["count"] for r in SP.with_weights(train).groupBy(F.spark_partition_id()).count().collect()]
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
