@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskengine.sources.records import lines, numbered, quoted_records
+from riskengine.sources.records import lines, numbered, quoted_records, refuse_other_heads
 
 SNIFF_LINES = 80
 SEPARATORS = [",", ";", "\t", "|"]
@@ -128,7 +128,8 @@ def _read_lines(spark, path, sep, n_fields, head, validate) -> DataFrame:
     like_head = (F.col("_block") == 0) & F.col("value").isin(list(dict.fromkeys(head)))
     kept = lines(spark, path).where(_kept(F.col("value"), sep, n_fields) | like_head)
     text = kept.withColumn("_pos", F.monotonically_increasing_id())
-    return numbered(text, _head_rows(text, head, validate), "_place").drop("_pos").withColumnRenamed("_place", "_pos")
+    least = len(head) if validate else 0
+    return numbered(text, _head_rows(text, head), "_place", least).drop("_pos").withColumnRenamed("_place", "_pos")
 
 
 def _read_records(spark, path, sep, n_fields, head, validate) -> DataFrame:
@@ -136,7 +137,11 @@ def _read_records(spark, path, sep, n_fields, head, validate) -> DataFrame:
     where records were dropped."""
     text = lines(spark, path, "\n").withColumn("_pos", F.monotonically_increasing_id())
     bare = text.withColumn("value", F.regexp_replace("value", "\r$", ""))
-    body = text.join(_head_rows(bare, head, validate), ["_file", "_block", "_pos"], "left_anti")
+    heads = _head_rows(bare, head)
+    if validate:
+        found = heads.select("_file", F.lit(1).alias("_heads"))
+        refuse_other_heads(lines(spark, path, "\n").select("_file", F.lit(0).alias("_heads")).unionByName(found), len(head))
+    body = text.join(heads, ["_file", "_block", "_pos"], "left_anti")
     records, unclosed = quoted_records(body, sep)
     if validate:
         odd = unclosed.first()
@@ -146,19 +151,12 @@ def _read_records(spark, path, sep, n_fields, head, validate) -> DataFrame:
     return records.where(_kept(F.col("value"), sep, n_fields))
 
 
-def _head_rows(text: DataFrame, head: list[str], validate: bool) -> DataFrame:
+def _head_rows(text: DataFrame, head: list[str]) -> DataFrame:
     """(_file, _block, _pos) of every file's preamble and header lines: the first ``len(head)`` lines
     of its first split that equal one of them (a few rows per file)."""
     alike = text.where((F.col("_block") == 0) & F.col("value").isin(list(dict.fromkeys(head))))
     order = Window.partitionBy("_file").orderBy("_pos")
-    found = alike.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= len(head)).select("_file", "_block", "_pos")
-    if validate:
-        counted = text.select("_file").groupBy("_file").agg(F.count(F.lit(1)).alias("_lines"))
-        short = counted.join(found.groupBy("_file").agg(F.count(F.lit(1)).alias("_heads")), "_file", "left")
-        odd = short.where(F.coalesce("_heads", F.lit(0)) < len(head)).select("_file").first()
-        if odd is not None:
-            raise ValueError(f"{odd['_file']}: its first lines differ from the other files' header; read it on its own")
-    return found
+    return alike.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= len(head)).select("_file", "_block", "_pos")
 
 
 def load_dataset(spark: SparkSession, path: str, **kw) -> DataFrame:

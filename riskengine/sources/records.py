@@ -4,18 +4,24 @@ Files are read as lines, many splits at once. A split is known by its file and t
 which it begins, and only a few numbers of each split are combined:
 
 * ``numbered``: a line's place in the input is the lines of the splits before plus its place
-  in its own. Nothing is sorted, shuffled by order or written.
+  in its own. Lines are neither sorted nor shuffled; only the splits' counts are written.
 * ``quoted_records``: whether a line break lies inside quotes depends on all text before it.
   A line maps the state before it (outside or inside quotes) to the state after it; maps
   are composed within each split and then over the splits of a file, so every line knows its
   state, and a file of records with line breaks is read by as many tasks as it has splits.
+
+The splits' numbers (one row per split) are written once to the shared folder and broadcast.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskengine.session import checkpoint_dir
+
 SPLIT = ["_file", "_block"]
 
 
@@ -31,23 +37,41 @@ def lines(spark: SparkSession, path: str, line_end: str | None = None) -> DataFr
                                     F.col("_metadata.file_block_start").alias("_block"))
 
 
-def numbered(rows: DataFrame, heads: DataFrame, out: str) -> DataFrame:
+def _kept_once(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskengine-records-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def refuse_other_heads(heads: DataFrame, least: int) -> None:
+    """``heads``: _file and _heads (how many were found) by file or by split. A file of fewer than ``least`` is refused."""
+    odd = heads.groupBy("_file").agg(F.sum("_heads").alias("_heads")).where(F.col("_heads") < least).select("_file").first()
+    if odd is not None:
+        raise ValueError(f"{odd['_file']}: its first lines differ from the other files' header; read it on its own")
+
+
+def numbered(rows: DataFrame, heads: DataFrame, out: str, least: int = 0) -> DataFrame:
     """``rows`` (with _file, _block, and _pos growing inside a split) less the rows listed in
-    ``heads`` (_file, _block, _pos; a few of each file), with their dense number from 0.
+    ``heads`` (_file, _block, _pos; a few of each file), with their dense number from 0. A file with
+    fewer than ``least`` of them is refused.
 
-    The splits (one row each) are joined as Spark sees fit by size. A row whose split was not
+    The splits (one row each) are counted now and broadcast. A row whose split was not
     counted, because the files changed in between, ends the query."""
     listed = heads.groupBy(*SPLIT).agg(F.collect_list("_pos").alias("_heads"))
     splits = rows.groupBy(*SPLIT).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")).join(listed, SPLIT, "left")
     splits = splits.withColumn("_heads", F.coalesce("_heads", F.array().cast("array<bigint>")))
     earlier = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum(F.col("_n") - F.size("_heads")).over(earlier), F.lit(0)))
-    told = rows.join(splits.drop("_n"), SPLIT, "left").where(~F.coalesce(F.array_contains("_heads", F.col("_pos")), F.lit(False)))
+    splits = _kept_once(splits.withColumn("_before", F.coalesce(F.sum(F.col("_n") - F.size("_heads")).over(earlier), F.lit(0))))
+    if least:
+        refuse_other_heads(splits.select("_file", F.size("_heads").alias("_heads")), least)
+    told = rows.join(F.broadcast(splits), SPLIT, "left").where(~F.coalesce(F.array_contains("_heads", F.col("_pos")), F.lit(False)))
     place = F.col("_before") + F.col("_pos") - F.col("_first") - F.size(F.filter("_heads", lambda h: h < F.col("_pos")))
-    counted = F.col("_first").isNotNull() & (F.col("_pos") >= F.col("_first"))
+    counted = F.col("_first").isNotNull() & F.col("_pos").between(F.col("_first"), F.col("_first") + F.col("_n") - 1)
     number = F.when(counted, place).otherwise(
         F.raise_error(F.concat(F.lit("files changed while they were read: "), "_file")).cast("long"))
-    return told.withColumn(out, number).drop("_first", "_heads", "_before")
+    return told.withColumn(out, number).drop("_first", "_n", "_heads", "_before")
 
 
 def _after(line: Column, sep: str, inside: bool) -> Column:

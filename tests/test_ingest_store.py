@@ -244,3 +244,24 @@ def test_a_file_that_ends_inside_quotes_is_refused(spark, tmpdir_run):
     p = _write(tmpdir_run, "open.csv", 'machine,comment\nA,"never closed\nB,x\n')
     with pytest.raises(ValueError, match="quoted"):
         I.read_flexible_csv(spark, p, multiline=True)
+
+
+def _csv_parts(path, rows):
+    for part in range(2):
+        with open(os.path.join(path, f"p{part}.csv"), "w") as f:
+            f.write("machine id,note,vibration\n" + "".join(rows(part, i) for i in range(50)))
+    return path
+
+
+def test_positions_take_no_shuffle_of_lines(spark, tmpdir_run):
+    path = _csv_parts(tmpdir_run, lambda p, i: f"M{p}-{i},x,{i}.5\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw = I.read_flexible_csv(spark, path)
+        plan = raw._jdf.queryExecution().executedPlan().toString()
+        got = [(r["machine id"], r["_pos"]) for r in raw.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    assert sorted(got, key=lambda g: g[1]) == [(f"M{p}-{i}", 50 * p + i) for p in range(2) for i in range(50)]
