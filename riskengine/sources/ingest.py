@@ -141,7 +141,7 @@ def _read_records(spark, path, sep, n_fields, head, validate) -> DataFrame:
     if validate:
         found = heads.select("_file", F.lit(1).alias("_heads"))
         refuse_other_heads(lines(spark, path, "\n").select("_file", F.lit(0).alias("_heads")).unionByName(found), len(head))
-    body = text.join(heads, ["_file", "_block", "_pos"], "left_anti")
+    body = text.join(F.broadcast(heads), ["_file", "_block", "_pos"], "left_anti")
     records, unclosed = quoted_records(body, sep)
     if validate:
         odd = unclosed.first()

@@ -10,7 +10,8 @@ which it begins, and only a few numbers of each split are combined:
   are composed within each split and then over the splits of a file, so every line knows its
   state, and a file of records with line breaks is read by as many tasks as it has splits.
 
-The splits' numbers (one row per split) are written once to the shared folder and broadcast.
+What later steps read again is written once to the shared folder: the splits' numbers (one row
+per split, broadcast to the lines), and the pieces of records, whose lines are shuffled once.
 """
 
 from __future__ import annotations
@@ -114,18 +115,18 @@ def quoted_records(rows: DataFrame, sep: str) -> tuple[DataFrame, DataFrame]:
         opens("_s0").alias("_n0"), opens("_s1").alias("_n1"))
     splits = _states(splits, ["_file"], "_block").withColumn("_n", F.when(F.col("_s0") == 1, F.col("_n1")).otherwise(F.col("_n0")))
     earlier = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(*SPLIT, F.col("_s0").alias("_entry"), leaves("_s0").alias("_exit"), "_n",
-                           F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    splits = _kept_once(splits.select(*SPLIT, F.col("_s0").alias("_entry"), leaves("_s0").alias("_exit"), "_n",
+                                      F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
     upto = Window.partitionBy(*SPLIT).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     begun = lined.select("value", *SPLIT, "_pos", opens("_s0").over(upto).alias("_b0"), opens("_s1").over(upto).alias("_b1"))
     nth = F.when(F.col("_entry") == 1, F.col("_b1")).otherwise(F.col("_b0"))
     # A record passes the split's end if it was open before it, or is the last and still open after it.
-    part = begun.join(splits, SPLIT).withColumn("_nth", nth).withColumn(
+    part = begun.join(F.broadcast(splits), SPLIT).withColumn("_nth", nth).withColumn(
         "_cut", (F.col("_nth") == 0) | ((F.col("_nth") == F.col("_n")) & (F.col("_exit") == 1)))
     joined = lambda order: F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(order, "value"))), lambda r: r["value"]), "\n")
-    pieces = part.groupBy(*SPLIT, "_nth").agg(joined("_pos").alias("value"), F.first("_cut").alias("_cut"),
-                                              (F.first("_before") + F.col("_nth") - 1).alias("_number"))
+    pieces = _kept_once(part.groupBy(*SPLIT, "_nth").agg(
+        joined("_pos").alias("value"), F.first("_cut").alias("_cut"), (F.first("_before") + F.col("_nth") - 1).alias("_number")))
     whole = pieces.where(~F.col("_cut")).select("value", *SPLIT, F.col("_number").alias("_pos"))
     cut = pieces.where("_cut").groupBy("_file", "_number").agg(joined("_block").alias("value"), F.min("_block").alias("_block"))
     records = whole.unionByName(cut.select("value", *SPLIT, F.col("_number").alias("_pos")))

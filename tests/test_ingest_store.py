@@ -265,3 +265,11 @@ def test_positions_take_no_shuffle_of_lines(spark, tmpdir_run):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "Exchange hashpartitioning" not in plan and "Window" not in plan
     assert sorted(got, key=lambda g: g[1]) == [(f"M{p}-{i}", 50 * p + i) for p in range(2) for i in range(50)]
+
+
+def test_records_with_line_breaks_are_found_once(spark, tmpdir_run):
+    path = _csv_parts(tmpdir_run, lambda p, i: f'M{p}-{i},"a\n""b"",\n{i}",{i}.5\n')
+    raw = I.read_flexible_csv(spark, path, multiline=True)
+    assert all("riskengine-records-" in f for f in raw.inputFiles())      # later steps do not read the lines again
+    got = [(r["machine id"], r["note"]) for r in raw.orderBy("_pos").collect()]
+    assert got == [(f"M{p}-{i}", f'a\n"b",\n{i}') for p in range(2) for i in range(50)]
