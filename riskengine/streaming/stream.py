@@ -3,7 +3,8 @@ an idempotent run-store sink (R3) and event-time KPIs per window (R4).
 
 R2 keeps per (machine, slice) the side of its last settled reading and the readings that
 the watermark has not passed: a crossing is given out once, when no late reading can
-change it, and a slice's state goes when the watermark closes it. R4 keeps JVM aggregates per window.
+change it, and a slice's state goes when the watermark closes it. The machines of a hash
+bucket share one state per slice. R4 keeps JVM aggregates per window.
 Both write what changed under its micro-batch number and fold that now and then, so
 ``latest`` reads a bounded number of versions; the newest readings and windows are there
 too, long before the watermark closes them. The batch form of each works on a static DataFrame.
@@ -44,15 +45,42 @@ CHANGES = T.StructType([
     T.StructField("last", T.DoubleType()), T.StructField("open_us", T.ArrayType(T.LongType())),
     T.StructField("open_record", T.ArrayType(T.LongType())), T.StructField("open_risk", T.ArrayType(T.DoubleType()))])
 _STATE = T.StructType([
-    T.StructField("first", T.BinaryType()), T.StructField("settled", T.DoubleType()), T.StructField("open", T.BinaryType())])
+    T.StructField("machines", T.ArrayType(T.StringType())), T.StructField("told", T.BinaryType()), T.StructField("open", T.BinaryType())])
 _DTYPE = [("us", "<i8"), ("record", "<i8"), ("risk_probability", "<f8")]
+# Per machine of a state: its first settled reading, its last settled value, whether it has
+# any, and how many of the open readings (held in machine order) are its own.
+_TOLD = [*_DTYPE, ("last", "<f8"), ("settled", "?"), ("n_open", "<i8")]
+STATE_BUCKETS = 512
+
+
+def _settle(told, machine, readings, threshold: float):
+    """Places of the crossings among settled ``readings``, in order of (machine, time); ``told``
+    is brought up to date. A machine's first settled reading of a slice is no event."""
+    import numpy as np
+
+    if not len(readings):
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.diff(machine, prepend=-1))
+    ends = np.append(starts[1:], len(machine)) - 1
+    whose = machine[starts]
+    known = told["settled"][whose]
+    above = readings["risk_probability"] >= threshold
+    was = np.roll(above, 1)
+    was[starts] = np.where(known, told["last"][whose] >= threshold, above[starts])
+    for c in readings.dtype.names:
+        told[c][whose[~known]] = readings[c][starts[~known]]
+    told["last"][whose] = readings["risk_probability"][ends]
+    told["settled"][whose] = True
+    return np.flatnonzero(above != was)
 
 
 def crossing_changes(sdf: DataFrame, threshold: float = 0.5, ts: str = "ts", width: str = "1 hour", delay: str = "10 minutes",
-                     key: str = S.LABEL_COLUMN) -> DataFrame:
-    """R2 (stream): changes of every (machine, event-time slice), see ``CHANGES``. A slice is a
-    state of its own, so a busy machine is spread over many; the state holds the readings of
-    the last ``delay`` only, however long the slice is."""
+                     key: str = S.LABEL_COLUMN, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """R2 (stream): changes of every (machine, event-time slice), see ``CHANGES``. The machines of
+    a hash bucket share a state per slice, so the number of states follows the slices and not
+    the machines, and a busy machine is spread over many; the state holds the readings of the
+    last ``delay`` only, however long the slice is, and two readings per machine. The number
+    of ``buckets`` belongs to the checkpoint."""
     import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -61,37 +89,60 @@ def crossing_changes(sdf: DataFrame, threshold: float = 0.5, ts: str = "ts", wid
     w = F.window(ts, width)
     src = src.select(F.col(key).cast("string").alias("machine"), F.unix_micros(w["start"]).alias("slice_us"),
                      F.unix_micros(w["end"]).alias("end_us"), F.col(ts), F.unix_micros(F.col(ts)).alias("us"),
-                     F.col("record").cast("long").alias("record"), F.col("risk_probability").cast("double").alias("risk_probability"))
+                     # A frame with a missing whole number would turn all of them into doubles.
+                     F.coalesce(F.col("record").cast("long"), F.lit(-1 << 63)).alias("record"),
+                     F.col("risk_probability").cast("double").alias("risk_probability"))
+    src = src.withColumn("bucket", F.pmod(F.xxhash64("machine"), F.lit(buckets)))
 
     def advance(group, frames, state):
-        machine, slice_us, end_us = group[0], int(group[1]), int(group[2])
-        first, settled, held = state.get if state.exists else (None, None, b"")
-        rows = [np.frombuffer(held, _DTYPE)]
+        slice_us, end_us = int(group[1]), int(group[2])
+        machines, told, held = state.get if state.exists else ([], b"", b"")
+        place = {m: i for i, m in enumerate(machines)}
+        told = np.frombuffer(told, _TOLD)
+        rows, whose = [np.frombuffer(held, _DTYPE)], [np.repeat(np.arange(len(told)), told["n_open"])]
         if not state.hasTimedOut:
-            rows += [f[["us", "record", "risk_probability"]].to_records(index=False).astype(_DTYPE) for f in frames]
-        readings = np.sort(np.concatenate(rows), order=["us", "record"])
+            for f in frames:
+                codes, names = pd.factorize(f["machine"], use_na_sentinel=False)
+                at = [place.setdefault(m if isinstance(m, str) else None, len(place)) for m in names]
+                rows.append(f[["us", "record", "risk_probability"]].to_records(index=False).astype(_DTYPE))
+                whose.append(np.array(at, np.int64)[codes])
+        told = np.concatenate([told, np.zeros(len(place) - len(told), _TOLD)])
+        readings, machine = np.concatenate(rows), np.concatenate(whose)
+        changed = np.zeros(len(place), bool)
+        changed[machine[len(whose[0]):]] = True
+        order = np.lexsort((readings["risk_probability"], readings["record"], readings["us"], machine))
+        readings, machine = readings[order], machine[order]
         mark = state.getCurrentWatermarkMs() * 1000
         closed = state.hasTimedOut or mark >= end_us
-        cut = len(readings) if closed else int(np.searchsorted(readings["us"], mark))
-        out = []
-        for r in readings[:cut]:
-            value = float(r["risk_probability"])
-            if first is None:
-                first = r.tobytes()
-            elif (value >= threshold) != (settled >= threshold):
-                out.append(("event", "rising" if value >= threshold else "falling", *r.tolist(), True, 0.0, [], [], []))
-            settled = value
-        left = readings[cut:]
-        start = np.frombuffer(first, _DTYPE)[0].tolist() if first else (0, 0, 0.0)
-        out.append(("slice", "", *start, first is not None, settled or 0.0, *(left[c].tolist() for c in left.dtype.names)))
+        past = (readings["us"] < mark) | closed
+        own, settled = machine[past], readings[past]
+        found = _settle(told, own, settled, threshold)
+        changed[own] = True
+        left, left_own = readings[~past], machine[~past]
+        told["n_open"] = np.bincount(left_own, minlength=len(told))
+        stop = np.cumsum(told["n_open"])
+        names, moved, n = list(place), settled[found], len(found)
+        if n:
+            yield pd.DataFrame({
+                "machine": [names[i] for i in own[found]], "slice_us": slice_us, "kind": "event",
+                "crossing": np.where(moved["risk_probability"] >= threshold, "rising", "falling").astype(object),
+                **{c: moved[c] for c in moved.dtype.names}, "settled": True, "last": 0.0,
+                **{c: [[]] * n for c in ("open_us", "open_record", "open_risk")}}, columns=CHANGES.names)
+        some = np.flatnonzero(changed)
+        parts = [(stop[i] - told["n_open"][i], stop[i]) for i in some]
+        if len(some):
+            yield pd.DataFrame({
+                "machine": [names[i] for i in some], "slice_us": slice_us, "kind": "slice", "crossing": "",
+                **{c: told[c][some] for c in (*left.dtype.names, "settled", "last")},
+                **{f"open_{c.split('_')[0]}": [left[c][a:b].tolist() for a, b in parts] for c in left.dtype.names}},
+                columns=CHANGES.names)
         if closed:
             state.remove()
         else:
-            state.update((first, settled, left.tobytes()))
+            state.update((names, told.tobytes(), left.tobytes()))
             state.setTimeoutTimestamp(max(end_us // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(machine, slice_us, *o) for o in out], columns=CHANGES.names)
 
-    return src.groupBy("machine", "slice_us", "end_us").applyInPandasWithState(
+    return src.groupBy("bucket", "slice_us", "end_us").applyInPandasWithState(
         advance, CHANGES, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -97,6 +97,27 @@ def test_crossings_settle_once_and_state_stays_small(spark, tmpdir_run):
     assert len(R.version_folders(spark, out, "kind=slice")) <= 3
 
 
+def test_crossings_of_many_machines_share_states(spark, tmpdir_run):
+    """Few states for many machines, over batches, one machine without a name."""
+    import random
+
+    r = random.Random(8)
+    rows = [(i, f"M{r.randrange(900)}" if i % 9 else None, (i + r.randrange(30)) * 60, r.choice([0.1, 0.4, 0.5, 0.9]))
+            for i in range(3000)]
+    src, out, ck = (os.path.join(tmpdir_run, x) for x in ("feed", "out", "ck"))
+    frame = lambda some: spark.createDataFrame(some, "record long, machine_label string, s long, risk_probability double").select(
+        "record", "machine_label", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "risk_probability")
+    for some in (rows[:1000], rows[1000:]):
+        frame(some).coalesce(1).write.mode("append").parquet(src)
+        sdf = spark.readStream.schema(frame(some[:1]).schema).parquet(src)
+        q = R.crossings_stream(sdf, out, ck, width="1 day", delay="12 hours", buckets=4)
+        q.awaitTermination(120)
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4 * 4
+    got = [(x.record, x.machine_label, x.crossing) for x in R.read_crossings(spark, out, 0.5).collect()]
+    expected = R.crossings(frame(rows), 0.5, bucket=128).collect()
+    assert len(got) == len(expected) and set(got) == {(x.record, x.machine_label, x.crossing) for x in expected}
+
+
 def test_upserts_are_folded_and_replays_change_nothing(spark, tmpdir_run):
     src, out, ck = (os.path.join(tmpdir_run, x) for x in ("feed", "out", "ck"))
     frame = lambda i: spark.range(i, i + 4).selectExpr(f"timestamp_seconds({i} * 100 + id) AS ts", "CAST(id AS DOUBLE) AS risk_probability",
