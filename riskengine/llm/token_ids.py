@@ -77,6 +77,25 @@ _ARROW = pa.schema([
 
 # -- the code
 
+def _chain(follows: np.ndarray, doublings: int = 5) -> np.ndarray:
+    """0, follows[0], follows[follows[0]] ... below its length: one walk in strides of
+    ``2 ** doublings`` steps, then the steps of all strides at once."""
+    n = len(follows)
+    one = np.append(np.minimum(follows, n), n)
+    far = one
+    for _ in range(doublings):
+        far = far[far]
+    at, walk = 0, []
+    while at < n:
+        walk.append(at)
+        at = int(far[at])
+    steps = [np.array(walk)]
+    for _ in range((1 << doublings) - 1):
+        steps.append(one[steps[-1]])
+    chain = np.stack(steps, axis=1).ravel()
+    return chain[chain < n]
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, marks) of ids below 2^64."""
     values, n = np.ascontiguousarray(ids, np.uint64), len(ids)
@@ -86,10 +105,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     need = _NARROWEST[np.minimum(padded, 0xFFFF)]        # the narrowest selector of each id
     large = np.flatnonzero(padded > 0xFFFF)
     need[large] = np.searchsorted(_LIMITS, padded[large], side="right") + 1
-    choice = np.zeros(n, np.int8)                        # escape, where nothing fits
+    every = min(int(need.max()), WIDEST + 1)             # from this selector on, all ids fit
+    choice = np.full(n, every if every <= WIDEST else ESCAPE, np.int8)
     wide = np.zeros(n + 61, np.int32)
     fits = np.arange(n)
-    for s in range(WIDEST, 0, -1):                       # from few wide ids to many narrow ones
+    for s in range(every - 1, 0, -1):                    # from few wide ids to many narrow ones
         if len(fits) * COUNTS[s] < n:
             fits = fits[(need[fits[:, None] + np.arange(COUNTS[s])] <= s).all(axis=1)]
         else:
@@ -98,11 +118,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(fits):
             break
         choice[fits] = s
-    step, at, starts = np.maximum(COUNTS[choice], 1).tolist(), 0, []
-    while at < n:                                        # the chain of words
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+    starts = _chain(np.arange(n) + np.maximum(COUNTS[choice], 1))
     chosen = choice[starts]
     place = np.arange(len(starts)) + np.concatenate([[0], np.cumsum(chosen == ESCAPE)[:-1]])
     words = np.zeros(int(place[-1]) + 1 + int(chosen[-1] == ESCAPE), np.uint64)
@@ -111,8 +127,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == ESCAPE:
             words[place[own] + 1] = values[starts[own]]
             continue
-        parts = padded[starts[own][:, None] + np.arange(COUNTS[s])] << (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-        words[place[own]] = np.bitwise_or.reduce(parts, axis=1) | np.uint64(int(s) << 60)
+        first = starts[own]
+        word = padded[first] | np.uint64(int(s) << 60)
+        for i in range(1, COUNTS[s]):
+            word |= padded[first + i] << np.uint64(i * int(BITS[s]))
+        words[place[own]] = word
     return words.astype("<u8"), starts[::MARK_EVERY].astype(np.int32)
 
 
@@ -193,6 +212,7 @@ class Encoder(dict):
         self.bytes = {ord(c): cut(c)[0][0] for c in map(chr, range(0x41, 0x100)) if _WORD(c)}
         self.space = cut(" a")[0][0][:-1]
         self.letters, self.pieces = {}, {}
+        self.line_end = self.alone("\n")
         self.older, self.older_letters = {}, {}
 
     def age(self) -> None:
@@ -220,18 +240,39 @@ class Encoder(dict):
         """Ids of a text with any white space, cut wherever that is safe."""
         return b"".join([self.piece(x) for x in _CUT.split(text)])
 
+    def token(self, letters: str, lead: str = "") -> bytes:
+        """One pre-token, letters behind a space or nothing, goes to the library's model at once."""
+        form = letters if letters.isascii() else letters.translate(self.bytes)
+        return array("I", [t.id for t in self.model.model.tokenize(lead + form)]).tobytes()
+
     def behind_space(self, letters: str) -> bytes:
-        """One pre-token, a space and letters, goes to the library's model at once."""
         found = self.letters.get(letters) or self.older_letters.get(letters)
         if found is None:
-            form = letters if letters.isascii() else letters.translate(self.bytes)
-            found = array("I", [t.id for t in self.model.model.tokenize(self.space + form)]).tobytes()
+            found = self.token(letters, self.space)
         self.letters[letters] = found
         return found
 
+    def line_start(self, word: str) -> bytes:
+        """Ids of a word without white space that nothing but a line end precedes."""
+        found = self.pieces.get(word)
+        if found is None:
+            m = _WORD(word)
+            if not m:
+                return self.piece(word)
+            letters, rest = m.groups()
+            found = self.pieces[word] = self.token(letters) + (self.piece(rest) if rest else b"")
+        return found
+
     def __missing__(self, word: str) -> bytes | None:
+        if "\n" in word:                                 # not kept: its parts are
+            parts = word.split("\n")
+            if parts == word.split():                    # single line ends between words
+                return self[parts[0]] + b"".join([self.line_end + self.line_start(x) for x in parts[1:]])
         found = self.older.get(word)
         if found is None:
+            if word.isascii() and word.isalpha() and len(word) <= KEPT_CHARS:
+                self[word] = found = self.behind_space(word)
+                return found
             m = _WORD(word)
             if m:
                 letters, rest = m.groups()

@@ -57,6 +57,34 @@ def test_cut_texts_encode_like_whole_ones(model, monkeypatch):
     assert len(encoder.letters) <= 210 and len(encoder) <= 210
 
 
+def test_line_ends_cost_no_split_text(model, monkeypatch):
+    """Words at single line ends come from the caches: the library sees a line's first word once."""
+    with open(PATH, encoding="utf-8") as f:
+        encoder = K.Encoder(f.read(), 1000)
+    text = "One more.\nÉté it's\n2nd line\ndon't,\nÉté\n(x)\nlast"
+    whole = np.array(model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert encoder.ids(text) == whole
+    asked = []
+    monkeypatch.setattr(K.Encoder, "careful", lambda self, t: asked.append(t) or b"".join(self.piece(x) for x in K._CUT.split(t)))
+    monkeypatch.setattr(K.Encoder, "alone", lambda self, t: pytest.fail(t))
+    assert encoder.ids(text) == whole and encoder.ids(text) == whole
+    assert asked == ["One"] * 2                          # a text's first word
+    odd = "a\n\nb c\n d e \nf g\n"                      # other white space than single line ends
+    monkeypatch.undo()
+    assert encoder.ids(odd) == np.array(model.encode(odd, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_chain_is_the_plain_walk():
+    r = random.Random(3)
+    for n in (1, 2, 31, 32, 33, 5000):
+        step = [r.choice([1, 2, 3, 60]) for _ in range(n)]
+        at, walk = 0, []
+        while at < n:
+            walk.append(at)
+            at += step[at]
+        assert K._chain(np.arange(n) + np.array(step)).tolist() == walk
+
+
 def test_files_equal_the_library(spark, model):
     r = random.Random(4)
     rows = [(i, "".join(r.choice(PARTS) for _ in range(r.randrange(60))), "en", "s") for i in range(-50, 400)]
