@@ -63,6 +63,7 @@ SLICE_CHARS = 1 << 20
 CACHE_PIECES = 400_000
 BROADCAST_SHARDS = 1 << 20
 KEPT_CHARS = 64
+ENDS = tuple(".,;:!?")
 
 DOC = T.StructType([T.StructField("key", T.LongType()), T.StructField("end", T.LongType())])
 BLOCK = T.StructType([
@@ -151,9 +152,11 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
         if s == ESCAPE:
             continue
         own = (selector == s) & ~literal
-        shift = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-        mask = np.uint64((1 << int(BITS[s])) - 1)
-        out[(ends[own] - COUNTS[s])[:, None] + np.arange(COUNTS[s])] = (words[own] & PAYLOAD)[:, None] >> shift & mask
+        width, mask = np.uint64(BITS[s]), np.uint64((1 << int(BITS[s])) - 1)
+        rest, first = words[own] & PAYLOAD, ends[own] - COUNTS[s]
+        for i in range(COUNTS[s]):
+            out[first + i] = rest & mask
+            rest >>= width
     return out[:n]
 
 
@@ -200,7 +203,8 @@ def slices(text: str, size: int = SLICE_CHARS) -> Iterator[str]:
 class Encoder(dict):
     """Ids of texts as little-endian 32-bit bytes, word by word; the library encodes a
     pre-token once while the worker's caches hold it. The entry of a word is what it adds behind
-    a space, None for one that single spaces do not cut off.
+    a space, that of a line end and a word what both add behind a word; None for one that
+    single spaces and line ends do not cut off.
 
     A cache has two generations: one that has grown to ``limit`` entries becomes the older
     one, whose entries stay only if they are asked for again."""
@@ -252,27 +256,23 @@ class Encoder(dict):
         self.letters[letters] = found
         return found
 
-    def line_start(self, word: str) -> bytes:
-        """Ids of a word without white space that nothing but a line end precedes."""
-        found = self.pieces.get(word)
-        if found is None:
-            m = _WORD(word)
-            if not m:
-                return self.piece(word)
-            letters, rest = m.groups()
-            found = self.pieces[word] = self.token(letters) + (self.piece(rest) if rest else b"")
-        return found
+    def behind_line_end(self, word: str) -> bytes:
+        m = _WORD(word)
+        if not m:
+            return self.line_end + self.careful(word)
+        letters, rest = m.groups()
+        return self.line_end + self.token(letters) + (self.piece(rest) if rest else b"")
 
     def __missing__(self, word: str) -> bytes | None:
-        if "\n" in word:                                 # not kept: its parts are
-            parts = word.split("\n")
-            if parts == word.split():                    # single line ends between words
-                return self[parts[0]] + b"".join([self.line_end + self.line_start(x) for x in parts[1:]])
         found = self.older.get(word)
         if found is None:
-            if word.isascii() and word.isalpha() and len(word) <= KEPT_CHARS:
-                self[word] = found = self.behind_space(word)
-                return found
+            if word.isascii() and len(word) <= KEPT_CHARS:   # the usual forms of _WORD, without it
+                if word.isalpha():
+                    self[word] = found = self.behind_space(word)
+                    return found
+                if word[-1:] in ENDS and word[:-1].isalpha():
+                    self[word] = found = self.behind_space(word[:-1]) + self.piece(word[-1])
+                    return found
             m = _WORD(word)
             if m:
                 letters, rest = m.groups()
@@ -280,9 +280,12 @@ class Encoder(dict):
                 found = self.behind_space(letters) + self.piece(rest) if rest else self.behind_space(word)
             elif word == FIRST:
                 found = b""
-            elif word and not word[0].isspace() and not word[-1].isspace():
-                found = self.careful(" " + word)
-                if len(word) > KEPT_CHARS or "\n" in word:
+            elif word and not word[-1].isspace():
+                if not word[0].isspace():
+                    found = self.careful(" " + word)
+                elif word[0] == "\n" and not word[1].isspace():
+                    found = self.behind_line_end(word[1:])
+                if len(word) > KEPT_CHARS:
                     return found
         self[word] = found
         return found
@@ -291,7 +294,9 @@ class Encoder(dict):
         out, known = [], self.__getitem__
         for part in slices(text) if len(text) > SLICE_CHARS else (text,):
             self.age()
-            words = part.split(" ")
+            # A line's first word is a word of its own. An empty one stands where a line end
+            # follows a space, a bare line end where one precedes: such texts are cut with care.
+            words = part.replace("\n", " \n").split(" ")
             first, words[0] = words[0], FIRST            # nothing stands in front of it
             try:
                 found = b"".join(map(known, words))
