@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskengine import schema as S
+from riskengine.operators.growth import FittedForest
 from riskengine.session import checkpoint_dir
 
 MAX_NODES = 2000
@@ -93,14 +94,15 @@ def model_of(spark: SparkSession, trees: list):
     """Counted trees over the raw features (missing ones take their defaults) as a pipeline model."""
     from pyspark.ml import PipelineModel
     from pyspark.ml.classification import RandomForestClassificationModel
-    from riskengine.operators.train import fit_pipeline
+    from riskengine.operators.split import with_weights
+    from riskengine.operators.train import _pipeline
 
     # A pipeline of the same shape gives the stages, the format and the forest's metadata.
     one = [(f"m{i}", *[float(i)] * len(S.FEATURE_COLUMNS), i % 2) for i in range(4)]
     frame = spark.createDataFrame(one, "machine_label string, " + ", ".join(f"{c} double" for c in S.FEATURE_COLUMNS)
                                   + f", {S.TARGET_COLUMN} int")
     neutral = (4, dict(S.FEATURE_DEFAULTS), {c: 0.0 for c in S.FEATURE_COLUMNS}, {c: 1.0 for c in S.FEATURE_COLUMNS})
-    shape = fit_pipeline("rf", frame, neutral, seed=1, num_trees=len(trees), max_depth=1)
+    shape = _pipeline("rf", *neutral, seed=1, num_trees=len(trees), max_depth=1).fit(with_weights(frame))
     path = f"{checkpoint_dir(spark).rstrip('/')}/forest-stated-{uuid.uuid4().hex}"
     shape.stages[-1].write().save(path)
     schema = spark.read.parquet(f"{path}/data").schema
@@ -122,8 +124,19 @@ def model_of(spark: SparkSession, trees: list):
 def trees_of(model, max_nodes: int = MAX_NODES) -> list:
     """A pipeline's forest as counted trees over its prepared features."""
     forest = model.stages[-1]
-    if forest.totalNumNodes > max_nodes:
-        raise ValueError(f"{forest.totalNumNodes} nodes: more than {max_nodes} are not put into one expression")
+    total = forest.totalNumNodes
+    if total > max_nodes:
+        raise ValueError(f"{total} nodes: more than {max_nodes} are not put into one expression")
+    if isinstance(forest, FittedForest):
+        nodes = {(r["tree"], r["id"]): r for r in forest.nodes().collect()}
+
+        def nested(t, i):
+            r = nodes[t, i]
+            if r["feature"] < 0:
+                return (r["w0"], r["w1"])
+            return S.FEATURE_COLUMNS[r["feature"]], r["threshold"], nested(t, 2 * i), nested(t, 2 * i + 1)
+
+        return [nested(t, 1) for t in range(forest.getNumTrees)]
 
     def walked(node):
         if node.numDescendants() == 0:
